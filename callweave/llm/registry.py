@@ -1,6 +1,8 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
+from .op2_packing import op2_packing
+from .op3_tokenfile import op3_tokenfile
 from .op4_simhash import op4_simhash
 
-QUERIES = {q.__name__: q for q in (op4_simhash,)}
+QUERIES = {q.__name__: q for q in (op2_packing, op3_tokenfile, op4_simhash)}
 ORACLES: dict[str, str] = {}
