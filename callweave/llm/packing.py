@@ -2,9 +2,10 @@
 
 `plan` works on the number of pieces of each length, not on pieces: at most `capacity` counts, whatever the input. The
 longest length left opens a sequence; of the lengths left, one, a pair or a triple that adds up to its gap exactly fills
-it, as often as the counts allow; what has no such complement is packed best fit, decreasing. The plan is a list of
-patterns (lengths in a sequence) with repetitions. Each use takes up a length or a pattern, so there are a few times
-`capacity` of them at most, which bounds what is sent to the executors.
+it, as often as the counts allow; what has no such complement is packed best fit, decreasing. ROUNDS of complement sizes
+are tried, and the plan of fewest sequences is taken. The plan is a list of patterns (lengths in a sequence) with
+repetitions. Each use takes up a length or a pattern, so there are a few times `capacity` of them at most, which bounds
+what is sent to the executors.
 
 Every piece has a rank among those of its length (its partition's count before it, plus those of earlier partitions), and
 a slot of a pattern takes a run of ranks; so pieces find their places with no shuffle of their own.

@@ -150,7 +150,8 @@ def _classes(fps: DataFrame, find: Callable[[DataFrame, int], DataFrame], node:
     linked = nodes.join(roots, F.col("fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("least").alias("class_least"))
     of_linked = linked.join(least, "root").select("fp", "class_least")
-    of_node = nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("class_least", "least").alias("component_id"))
+    # stored, so that Spark can split the rows of a fingerprint that very many documents have
+    of_node, _ = stored(nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("class_least", "least").alias("component_id")), "classes")
     return fps.select("doc_id", "fp").join(of_node, "fp").select("doc_id", "fp", "component_id")
 
 
