@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, ship, stored, utf8
-from .tokens import END_ID, default_path, encoder
+from .tokens import END_ID, default_path, encoded, encoder
 
 Pattern = tuple[int, ...]
 
@@ -138,13 +138,11 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, ids: boo
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         seen: Counter[int] = Counter()
         for b in batches(it, "t", 4 << 20):
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = enc.encode(text.decode()) + end
+            for doc, data in zip(b.column(0).to_pylist(), encoded([t.decode() for t in b.column(1).to_pylist()], enc, end_id), strict=True):
                 n = len(data) // 4
                 first = (n - 1) % capacity + 1
                 for k, at in enumerate([0, *range(first, n, capacity)]):

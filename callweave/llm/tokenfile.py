@@ -15,15 +15,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import batches, ship, utf8
-from .tokens import END_ID, default_path, encoder
+from .tokens import END_ID, default_path, encoded, encoder
 from .wavelet import WaveletMatrix
 
-SHARD = 1 << 20
-SCHEMA = "part int, shard int, n_docs long, n_tokens long, doc_ids binary, null_ids int, lengths binary, matrix binary"
+SHARD = 1 << 17
+SCHEMA = "part int, shard int, inner long, n_docs long, n_tokens long, doc_ids binary, null_ids int, lengths binary, matrix binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, shard: int = SHARD) -> None:
@@ -34,8 +33,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         bits = max(enc.vocabulary - 1, end_id, 1).bit_length()
-        end = np.array([end_id], "<u4").tobytes()
-        part, number = TaskContext.get().partitionId(), 0
+        part, number, inner = TaskContext.get().partitionId(), 0, 0  # inner: ids of this partition's earlier shards
         held: list[bytes] = []
         ids: list[int | None] = []
 
@@ -43,17 +41,16 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
             m = WaveletMatrix.build(np.frombuffer(b"".join(held), "<u4"), bits)
             known = np.array([i or 0 for i in ids], "<i8")
-            values = [part, number, len(ids), m.n, known.tobytes(), ids.count(None), lengths.astype("<i8").tobytes(), m.to_bytes()]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+            values = [part, number, inner, len(ids), m.n, known.tobytes(), ids.count(None), lengths.astype("<i8").tobytes(), m.to_bytes()]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         total = 0
         for b in batches(it, "t", 4 << 20):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                data = enc.encode(text.decode()) + end
+            for doc, data in zip(b.column(0).to_pylist(), encoded([t.decode() for t in b.column(1).to_pylist()], enc, end_id), strict=True):
                 if held and total + len(data) > 4 * shard:
                     yield row()
-                    number, total = number + 1, 0
+                    number, inner, total = number + 1, inner + total // 4, 0
                     held.clear()
                     ids.clear()
                 held.append(data)
@@ -69,17 +66,15 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """doc_id, start (ids before it), n_tokens, ids_crc32 and, if asked for, ids (unsigned 32-bit little-endian) of each document under path."""
     shards = spark.read.schema(SCHEMA).parquet(path)
-    # partitions are doc_id ranges in order: one number for each goes to the driver, then come the shards within it
+    # partitions are doc_id ranges in order; the driver gets one number for each, some thousands at most
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     ends = np.cumsum([0] + [r["n"] for r in parts]).tolist()
-    bases = spark.createDataFrame([(r["part"], b) for r, b in zip(parts, ends, strict=False)], "part int, base long")
-    earlier = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    inner = F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))
-    starts = shards.select("part", "shard", inner.alias("inner")).join(bases, "part").select("part", "shard", (F.col("inner") + F.col("base")).alias("start"))
+    bases = {r["part"]: b for r, b in zip(parts, ends, strict=False)}
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for start, doc_ids, nulls, lengths, matrix in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for part, inner, doc_ids, nulls, lengths, matrix in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                start = bases[part] + inner
                 data = WaveletMatrix.from_bytes(matrix).decode().astype("<u4").tobytes()
                 n = np.frombuffer(lengths, "<i8")
                 at = np.concatenate(([0], np.cumsum(n)))
@@ -91,5 +86,5 @@ def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
                     columns = [pa.array(known[lo:hi], mask=np.arange(lo, hi) < nulls), pa.array(start + at[lo:hi]), pa.array(n[lo:hi]), pa.array(crc)]
                     yield pa.RecordBatch.from_arrays(columns + [pa.array(own, pa.binary())] * ids, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * ids)
 
-    rows = shards.join(starts, ["part", "shard"]).select("start", "doc_ids", "null_ids", "lengths", "matrix")
+    rows = shards.select("part", "inner", "doc_ids", "null_ids", "lengths", "matrix")
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * ids)

@@ -1,8 +1,9 @@
-"""Token ids of texts by the `tokenizers` library, with words' ids kept per worker.
+"""Token ids of texts by the `tokenizers` library, with the ids of words kept per worker.
 
 A byte-level tokenizer cuts texts by a pattern of which every match ends before a single space between two other
-characters, so the parts between such spaces are encoded alone and give the same ids as the whole. Parts recur; their ids
-are kept in a table of at most KEPT parts, which is emptied when it is full. Other kinds of tokenizer encode whole texts.
+characters, so the parts between such spaces are encoded alone and give the same ids as the whole. Parts recur. Each gets
+a number at its first sight and its ids a place in a pool, so a text is a list of numbers, and its ids one gather. The
+table is emptied after texts that leave it with more than KEPT parts. Other kinds of tokenizer encode whole texts.
 """
 
 from __future__ import annotations
@@ -10,11 +11,18 @@ from __future__ import annotations
 import json
 import os
 import re
-from struct import pack
+
+import numpy as np
+
+from .common import ranges
 
 END_ID = 2
-#: Parts kept by a worker, and the longest of them in characters.
-KEPT, LONGEST = 400_000, 40
+#: Parts kept by a worker: some 200 bytes each.
+KEPT = 700_000
+#: Parts encoded at once, and how a byte-level vocabulary writes a space.
+RUN, SPACE = 4000, "\u0120"
+#: A letter before one of these ends a match of the pattern, so such an end is encoded apart.
+ENDS = (".", ",")
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -25,8 +33,20 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Numbers(dict):
+    """Part to number; a new one gets the next number."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = n = len(self)
+        self.new.append(part)
+        return n
+
+
 class Encoder:
-    """encode(text): its ids as little-endian unsigned 32-bit integers, without an end id."""
+    """encode(texts): all their ids joined, and the end of each text in them, without end ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,36 +58,107 @@ class Encoder:
         cut = spec.get("pre_tokenizer") or {}
         self._parts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation")
         self.vocabulary = self._tokenizer.get_vocab_size()
-        self._kept: dict[str, bytes] = {}
+        self._spaced = np.zeros(self.vocabulary, bool)  # ids of tokens that begin with a space
+        for token, i in self._tokenizer.get_vocab().items():
+            self._spaced[i] = token.startswith(SPACE)
+        self._end_ids = {c: self._whole(c) for c in ENDS}
+        self._clear()
+
+    def _clear(self) -> None:
+        self._numbers = _Numbers()
+        self._pool, self._used = np.zeros(1 << 20, np.uint32), 0
+        self._at, self._length = np.zeros((2, 1 << 18), np.int64)
+        self._odd = np.zeros(1 << 18, bool)
 
-    def whole(self, text: str) -> bytes:
-        ids = self._tokenizer.encode(text, add_special_tokens=False).ids
-        return pack(f"<{len(ids)}I", *ids)
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else [], np.uint32)
 
-    def encode(self, text: str) -> bytes:
+    def _place(self, numbers: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Put the joined ids of parts into the pool."""
+        while self._used + len(ids) > len(self._pool):
+            self._pool = np.concatenate((self._pool, np.zeros_like(self._pool)))
+        self._pool[self._used : self._used + len(ids)] = ids
+        self._at[numbers] = self._used + np.cumsum(lengths) - lengths
+        self._length[numbers] = lengths
+        self._used += len(ids)
+
+    def _grow(self) -> None:
+        while len(self._at) < len(self._numbers):
+            self._at, self._length, self._odd = (np.concatenate((x, np.zeros_like(x))) for x in (self._at, self._length, self._odd))
+
+    def _spot(self) -> None:
+        """Mark new parts that a space ends or begins: their texts are cut in another way."""
+        self._grow()
+        self._odd[[self._numbers[p] for p in self._numbers.new if not p or p[0].isspace() or p[-1].isspace()]] = True
+        self._any_odd = bool(self._odd.any())
+
+    def _with_odd(self, rows: list[np.ndarray]) -> list[int]:
+        if not self._any_odd:
+            return []
+        hit = np.flatnonzero(self._odd[np.concatenate(rows)])
+        return np.unique(np.searchsorted(np.cumsum([len(r) for r in rows]), hit, side="right")).tolist()
+
+    def _learn(self) -> None:
+        """Place the new parts. They are encoded in long runs: a part holds no space but the one before it, so tokens that begin with a space tell where each starts."""
+        numbers, new = self._numbers, self._numbers.new
+        ended = [p for p in new if p[-1:] in ENDS and p[:-1].isalpha()]
+        stems = [numbers[p[:-1]] for p in ended]  # may be new themselves
+        self._grow()
+        apart = set(ended)
+        plain = [p for p in new if p not in apart and not self._odd[numbers[p]]]
+        for lo in range(0, len(plain), RUN):
+            some = plain[lo : lo + RUN]
+            own = np.array([numbers[p] for p in some])
+            ids = self._whole(" " + " ".join(some))
+            at = np.append(np.flatnonzero(self._spaced[ids]), len(ids))
+            if len(at) == len(some) + 1:
+                self._place(own, ids, np.diff(at))
+            else:  # not a vocabulary as expected
+                each = [self._whole(f" {p}") for p in some]
+                self._place(own, np.concatenate(each), np.array([len(e) for e in each]))
+        if ended:
+            lengths = self._length[stems]
+            lasts = [self._end_ids[p[-1]] for p in ended]
+            more = np.array([len(x) for x in lasts])
+            stop = np.cumsum(lengths + more)
+            ids = np.zeros(int(stop[-1]), np.uint32)
+            ids[ranges(stop - lengths - more, lengths)] = self._pool[ranges(self._at[stems], lengths)]
+            ids[ranges(stop - more, more)] = np.concatenate(lasts)
+            self._place(np.array([numbers[p] for p in ended]), ids, lengths + more)
+        new.clear()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self._parts:
-            return self.whole(text)
-        parts, kept = text.split(" "), self._kept
-        first = self.whole(parts[0]) if parts[0] and not parts[0][-1].isspace() else None
-        if first is not None:
-            try:
-                return first + b"".join(map(kept.__getitem__, parts[1:]))
-            except KeyError:
-                pass
-        if first is None or not all(p and not p[0].isspace() and not p[-1].isspace() for p in parts[1:]):
-            parts = _SPLIT.split(text)
-            first = self.whole(parts[0])
-        if len(kept) > KEPT:
-            kept.clear()
-        new: dict[str, bytes] = {}
-        out = [first]
-        for p in parts[1:]:
-            ids = kept.get(p) or new.get(p)
-            if ids is None:
-                ids = new[p] = self.whole(f" {p}")
-            out.append(ids)
-        kept.update((p, ids) for p, ids in new.items() if len(p) <= LONGEST)
-        return b"".join(out)
+            each = [self._whole(t) for t in texts]
+            return np.concatenate(each), np.cumsum([len(x) for x in each])
+        numbers, rows = self._numbers, []
+        for text in texts:
+            parts = text.split(" ")
+            rows.append(np.fromiter(map(numbers.__getitem__, parts), np.int64, len(parts)))
+        heads = [t.split(" ", 1)[0] for t in texts]
+        odd: dict[int, list[tuple[int, str]]] = {k: [(0, h)] for k, h in enumerate(heads)}  # what has no number: heads have no space before them
+        self._spot()
+        for k in self._with_odd(rows):
+            parts = _SPLIT.split(texts[k])
+            odd[k] = [(0, parts[0])] + [(i, f" {p}") for i, p in enumerate(parts) if i and (" " in p or p[-1].isspace())]
+            some = {i for i, _ in odd[k]}
+            rows[k] = np.array([0 if i in some else numbers[p] for i, p in enumerate(parts)], np.int64)
+        self._learn()
+        counts = np.array([len(r) for r in rows])
+        flat = np.concatenate(rows)
+        first = np.cumsum(counts) - counts
+        places = [first[k] + i for k, own in odd.items() for i, _ in own]
+        apart = [self._whole(p) for own in odd.values() for _, p in own]
+        lengths, at = self._length[flat], self._at[flat]
+        own = np.array([len(x) for x in apart])
+        # what has no number goes behind the pool, for this gather alone
+        lengths[places], at[places] = own, self._used + np.cumsum(own) - own
+        pool = np.concatenate((self._pool[: self._used], *apart))
+        ends = np.cumsum(lengths)[first + counts - 1]
+        ids = pool[ranges(at, lengths)]
+        if len(numbers) > KEPT:
+            self._clear()
+        return ids, ends
 
 
 def encoder(path: str) -> Encoder:
@@ -75,3 +166,11 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def encoded(texts: list[str], enc: Encoder, end_id: int) -> list[bytes]:
+    """The ids of each text with the end id, as little-endian unsigned 32-bit integers."""
+    ids, ends = enc.encode(texts)
+    end = np.array([end_id], "<u4").tobytes()
+    data, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+    return [data[a:b] + end for a, b in zip([0, *ends], ends, strict=False)]

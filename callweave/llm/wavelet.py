@@ -36,8 +36,9 @@ class WaveletMatrix:
         for shift in range(bits - 1, -1, -1):
             ones = (seq & seq.dtype.type(1 << shift)) != 0
             planes.append(np.packbits(ones, bitorder="little"))
-            seq = np.concatenate((seq[~ones], right := seq[ones]))
-            zeros.append(len(seq) - len(right))
+            left = np.flatnonzero(~ones)  # indices are several times faster than masks here
+            seq = seq.take(np.concatenate((left, np.flatnonzero(ones))))
+            zeros.append(len(left))
         return cls(len(ids), planes, zeros)
 
     def to_bytes(self) -> bytes:
@@ -131,7 +132,7 @@ class WaveletMatrix:
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             z = self.zeros[level]
             above = np.empty(self.n, kind)
-            above[~ones] = cur[:z]
-            above[ones] = cur[z:] | kind(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~ones)] = cur[:z]
+            above[np.flatnonzero(ones)] = cur[z:] | kind(1 << (self.bits - 1 - level))
             cur = above
         return cur
