@@ -3,6 +3,8 @@
 from .op2_packing import op2_packing
 from .op3_tokenfile import op3_tokenfile
 from .op4_simhash import op4_simhash
+from .op8_substring import SQL as OP8_SQL
+from .op8_substring import op8_substring
 
-QUERIES = {q.__name__: q for q in (op2_packing, op3_tokenfile, op4_simhash)}
-ORACLES: dict[str, str] = {}
+QUERIES = {q.__name__: q for q in (op2_packing, op3_tokenfile, op4_simhash, op8_substring)}
+ORACLES = {"op8_substring": OP8_SQL}
