@@ -1,10 +1,10 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
+from . import op8_substring as _op8
+from . import op10_winnow as _op10
 from .op2_packing import op2_packing
 from .op3_tokenfile import op3_tokenfile
 from .op4_simhash import op4_simhash
-from .op8_substring import SQL as OP8_SQL
-from .op8_substring import op8_substring
 
-QUERIES = {q.__name__: q for q in (op2_packing, op3_tokenfile, op4_simhash, op8_substring)}
-ORACLES = {"op8_substring": OP8_SQL}
+QUERIES = {q.__name__: q for q in (op2_packing, op3_tokenfile, op4_simhash, _op8.op8_substring, _op10.op10_winnow)}
+ORACLES = {"op8_substring": _op8.SQL, "op10_winnow": _op10.SQL}
