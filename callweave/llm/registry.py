@@ -6,7 +6,8 @@ from .op2_packing import op2_packing
 from .op3_tokenfile import op3_tokenfile
 from .op4_simhash import op4_simhash
 from .op5_quality import op5_quality
+from .op6_media import op6_media
 from .op9_langid import op9_langid
 
-QUERIES = {q.__name__: q for q in (op2_packing, op3_tokenfile, op4_simhash, op5_quality, _op8.op8_substring, op9_langid, _op10.op10_winnow)}
+QUERIES = {q.__name__: q for q in (op2_packing, op3_tokenfile, op4_simhash, op5_quality, op6_media, _op8.op8_substring, op9_langid, _op10.op10_winnow)}
 ORACLES = {"op8_substring": _op8.SQL, "op10_winnow": _op10.SQL}
