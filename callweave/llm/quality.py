@@ -5,8 +5,8 @@ one before it, or the one two before, is one of two marker words, whichever word
 to DIM weights; a text's value for a feature is its count over the square root of the text's words, so a score is a sum
 of weights over occurrences: a sparse dot product without a sort.
 
-Training rows are the labelled rows whose doc_id's crc32 (as text) leaves no HELD remainder by FOLDS, of at most LONGEST
-bytes; of these the SAMPLE least by a hash of doc_id. Passes over them are in an order drawn from a fixed seed. One FTRL
+Training rows are the labelled rows whose doc_id's crc32 (as text) leaves no HELD remainder by FOLDS; of these the SAMPLE
+least by a hash of doc_id, if their texts have LONGEST bytes at most. Passes over them are in an order drawn from a fixed seed. One FTRL
 step takes one row. The intercept alone scores texts without words, null ones too. With no training rows all scores are
 0.5; with repeated doc_ids each row counts. Repeated label rows of one doc_id that agree count once; contradictory ones
 both count.
@@ -105,9 +105,13 @@ def held_out(folds: int, held: int) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on docs (doc_id, text) with labels (doc_id, quality)."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t")).where(~held_out(FOLDS, HELD) & (F.octet_length("t") <= LONGEST))
-    rows = own.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "t", "y").limit(sample).select("t", "y").collect()
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(FOLDS, HELD))
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).distinct()
+    # sample rows at most: they can be broadcast, so that no text is moved but the sample's
+    some = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t")).join(some, "doc_id").where(F.octet_length("t") <= LONGEST)
+    # copies of a row by repeated ids may be many: the sample's size holds for them, too
+    rows = own.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "t").limit(sample).select("t", "y").collect()
     if not rows:
         return Model(np.zeros(DIM, np.float32), 0.0)
     return train([bytes(r["t"]) for r in rows], np.array([r["y"] for r in rows], float))
