@@ -130,7 +130,7 @@ def asked(slices: DataFrame, ask: Callable[[pa.RecordBatch], Iterator[tuple[int,
     return slices.mapInArrow(run, "slice long, part int, question binary")
 
 
-def answered(questions: DataFrame, answer: Callable[[int, list[int], list[bytes]], Iterator[tuple[int, bytes]]]) -> DataFrame:
+def answered(slices: Slices, questions: DataFrame, answer: Callable[[int, list[int], list[bytes]], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """slice, answers (array of part, answer): answer(part, its slices, their questions) gives (slice, answer)."""
 
     def groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[bytes]]]:
@@ -154,7 +154,8 @@ def answered(questions: DataFrame, answer: Callable[[int, list[int], list[bytes]
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in some], pa.int64()), pa.array([part] * len(some), pa.int32()), pa.array([a for _, a in some], pa.binary())], ["slice", "part", "answer"])
 
     out = questions.select("part", "slice", "question").repartition("part").sortWithinPartitions("part").mapInArrow(run, "slice long, part int, answer binary")
-    return out.groupBy("slice").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))
+    # as many partitions as the slices' buckets: their join then moves no slice
+    return out.repartition(slices.buckets, "slice").groupBy("slice").agg(F.collect_list(F.struct("part", "answer")).alias("answers"))
 
 
 def joined(slices: DataFrame, answers: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def _repeated(slices: packed.Slices, k: int, parts: int) -> DataFrame:
             if hit.any():
                 yield number, _flags(hit)
 
-    return packed.answered(packed.asked(slices.frame, ask), answer)
+    return packed.answered(slices, packed.asked(slices.frame, ask), answer)
 
 
 def _candidates(row: pa.RecordBatch, h: np.ndarray, parts: int) -> np.ndarray:
@@ -78,7 +78,7 @@ def _candidates(row: pa.RecordBatch, h: np.ndarray, parts: int) -> np.ndarray:
     return hit[np.searchsorted(tops, h >> low)]
 
 
-def _later(rows: DataFrame, k: int, parts: int) -> DataFrame:
+def _later(slices: packed.Slices, rows: DataFrame, k: int, parts: int) -> DataFrame:
     """Second round. Answers: the hashes of a slice of which another slice has an earlier window."""
 
     def ask(row: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
@@ -103,7 +103,7 @@ def _later(rows: DataFrame, k: int, parts: int) -> DataFrame:
             if later[lo:hi].any():
                 yield own, keys[lo:hi][later[lo:hi]].tobytes()
 
-    return packed.answered(packed.asked(rows, ask), answer)
+    return packed.answered(slices, packed.asked(rows, ask), answer)
 
 
 def removed(counts: np.ndarray, at: np.ndarray, repeats: np.ndarray, k: int) -> np.ndarray:
@@ -119,7 +119,7 @@ def deduplicated(docs: DataFrame, k: int = 20, text: bool = False) -> DataFrame:
     slices = packed.sliced(docs)
     parts = slices.partitions()
     rows = packed.joined(slices.frame, _repeated(slices, k, parts))
-    later = _later(rows, k, parts)
+    later = _later(slices, rows, k, parts)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

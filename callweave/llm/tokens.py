@@ -18,7 +18,7 @@ from .common import ranges
 
 END_ID = 2
 #: Parts kept by a worker: some 200 bytes each.
-KEPT = 700_000
+KEPT = 500_000
 #: Parts encoded at once, and how a byte-level vocabulary writes a space.
 RUN, SPACE = 4000, "\u0120"
 #: A letter before one of these ends a match of the pattern, so such an end is encoded apart.
