@@ -9,7 +9,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -67,6 +67,18 @@ def utf8(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string").cast("binary"), F.lit(b""))
 
 
+def filtered(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns, for which keep(texts as bytes) is true; whatever the columns' names."""
+    ship(docs.sparkSession)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, 0, 4 << 20):
+            out = b.filter(pa.array(np.asarray(keep(b.column(0).to_pylist()), bool)))
+            yield pa.RecordBatch.from_arrays(out.columns[1:], out.schema.names[1:])
+
+    return docs.select(utf8().alias("text as bytes"), *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, docs.schema)
+
+
 def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
     """Consecutive row ranges whose sizes sum to about limit; a larger single row is a range of its own."""
     start, total = 0, 0
@@ -79,11 +91,11 @@ def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
-def batches(it: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that a binary column holds about limit bytes in each."""
+def batches(it: Iterator[pa.RecordBatch], column: str | int, limit: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut so that a binary column (by name or place) holds about limit bytes in each."""
     for b in it:
         if b.num_rows:
-            c = b.column(b.schema.get_field_index(column))
+            c = b.column(column if isinstance(column, int) else b.schema.get_field_index(column))
             sizes = np.asarray(pc.fill_null(pc.binary_length(c), 0), dtype=np.int64)
             for lo, hi in slices(sizes, limit):
                 yield b.slice(lo, hi - lo)
@@ -108,4 +120,4 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
-__all__ = ["batches", "drop", "mix", "ranges", "scratch", "ship", "slices", "stored", "table", "utf8"]
+__all__ = ["batches", "drop", "filtered", "mix", "ranges", "scratch", "ship", "slices", "stored", "table", "utf8"]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, ship, utf8
+from .common import batches, filtered, ship, utf8
 from .words import hashes, runs
 
 BITS = 20
@@ -117,19 +117,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return train([bytes(r["t"]) for r in rows], np.array([r["y"] for r in rows], float))
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, score for each of docs (doc_id, text); or its columns keep and score."""
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, score for each of docs (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # DIM weights, whatever the input
-    keep = keep or ["doc_id"]
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double"
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, "__t", 4 << 20):
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(shared.value.scores(b.column(0).to_pylist()))], [*keep, "score"])
+        for b in batches(it, 1, 4 << 20):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shared.value.scores(b.column(1).to_pylist()))], ["doc_id", "score"])
 
-    return docs.select(utf8().alias("__t"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t")).mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs with a score of at least threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    return filtered(docs, lambda texts: shared.value.scores(texts) >= threshold)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -138,4 +142,4 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     return out.select("doc_id", held_out(FOLDS, HELD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-__all__ = ["Model", "features", "fit", "held_out", "quality", "scored", "train"]
+__all__ = ["Model", "accepted", "features", "fit", "held_out", "quality", "scored", "train"]

@@ -365,7 +365,7 @@ def masked(docs: DataFrame, scanner: Scanner | None = None, path: str = "source"
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         at = names.index("text")
-        for b in batches(it, "__t", 4 << 20):
+        for b in batches(it, len(names), 4 << 20):
             texts = b.column(len(names)).to_pylist()
             out, n_chars = b.column(at).to_pylist(), b.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
             for i, (t, found) in enumerate(zip(texts, own.scan(texts, b.column(len(names) + 1).to_pylist()), strict=True)):
@@ -384,4 +384,4 @@ def masked(docs: DataFrame, scanner: Scanner | None = None, path: str = "source"
                 columns[names.index("n_chars")] = pa.array(n_chars, columns[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(*names, utf8().alias("__t"), paths.alias("__p")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in names), utf8().alias("text as bytes"), paths.alias("path as text")).mapInArrow(run, schema)

@@ -171,3 +171,13 @@ def similar(docs: DataFrame, k: int = 5, radius: int = 16) -> DataFrame:
         return links(grouped, radius)
 
     return _classes(fps, find).select("doc_id", "component_id")
+
+
+def without_copies(docs: DataFrame, k: int = 5, radius: int = 16) -> DataFrame:
+    """The rows of docs, with all their columns, less all but one of each class of `similar`: the one of the least doc_id, null ids last; of rows of one doc_id, any one."""
+    rows, _ = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("number")), "rows")
+    # classes are found over row numbers that ascend by doc_id within a node, whatever the ids are
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").cast("long").alias("doc_id"), F.col("number").alias("number"))
+    classes = similar(rows.select(F.col("number").alias("doc_id"), "text"), k, radius).select(F.col("doc_id").alias("number"), F.col("component_id"))
+    best = classes.join(rows.select("number", "doc_id"), "number").groupBy("component_id").agg(F.min(order).alias("best"))
+    return rows.join(best.select(F.col("best.number").alias("number")), "number", "left_semi").select("row.*")

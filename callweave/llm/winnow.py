@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, ship, stored, utf8
+from .common import batches, filtered, ship, stored, utf8
 from .words import hashes, runs, split, starts
 
 N, K, W = 8, 5, 4
@@ -113,27 +113,29 @@ def _result(doc_ids: pa.Array, counts: np.ndarray, places: dict[int, list[tuple[
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
 
 
-def _carried(docs: DataFrame, items: list[tuple[str, bytes]], keep: list[str]) -> DataFrame:
-    index = Index(items)
-    schema = SCHEMA + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+def _found(index: Index, texts: list[bytes]) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], dict[int, set[str]]]:
+    """For texts: their words, places (start, words) of occurring windows, and those windows' items."""
+    words, counts = split(texts, TABLE)
+    ends = np.cumsum(counts)
+    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    items: dict[int, set[str]] = defaultdict(set)
+    for at, n in index.hits(hashes(words, int(counts.sum())), counts):
+        doc = np.searchsorted(ends, at, side="right")
+        for i, p in zip(doc.tolist(), (at - (ends - counts)[doc]).tolist(), strict=True):
+            if (got := index.windows.get(b" ".join(words[i][p : p + n]))) is not None:
+                places[i].append((p, n))
+                items[i].update(got)
+    return counts, places, items
+
+
+def _carried(docs: DataFrame, index: Index) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, "__t", 4 << 20):
-            words, counts = split(b.column(1).to_pylist(), TABLE)
-            h = hashes(words, int(counts.sum()))
-            ends = np.cumsum(counts)
-            places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            found: dict[int, set[str]] = defaultdict(set)
-            for at, n in index.hits(h, counts):
-                doc = np.searchsorted(ends, at, side="right")
-                for i, p in zip(doc.tolist(), (at - (ends - counts)[doc]).tolist(), strict=True):
-                    if (got := index.windows.get(b" ".join(words[i][p : p + n]))) is not None:
-                        places[i].append((p, n))
-                        found[i].update(got)
-            out = _result(b.column(0), counts, places, found)
-            yield pa.RecordBatch.from_arrays(out.columns + b.columns[2:], out.schema.names + keep)
+        for b in batches(it, 1, 4 << 20):
+            yield _result(b.column(0), *_found(shared.value, b.column(1).to_pylist()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("__id"), utf8().alias("__t"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t")).mapInArrow(run, SCHEMA)
 
 
 def _hits_joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -187,20 +189,44 @@ def _hits_joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return texts.join(hits, "row", "left").select("doc_id", "t", "places", "items").mapInArrow(digest, SCHEMA)
 
 
+def _index(benchmark: DataFrame, carried: int) -> tuple[DataFrame, Index | None]:
+    """The benchmark's items (item, t), and their index if it may be carried."""
+    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), utf8().alias("t"))
+    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > carried:
+        return items, None
+    return items, Index([(r["item"], bytes(r["t"])) for r in items.collect()])
+
+
+def _words(items: DataFrame) -> DataFrame:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            own = split(b.column(1).to_pylist(), TABLE)[0]
+            rows = [(i, w) for i, w in zip(b.column(0).to_pylist(), own, strict=True) if w]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([w for _, w in rows], pa.list_(pa.binary()))], ["item", "words"])
+
+    return items.mapInArrow(run, "item string, words array<binary>")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, carried: int = CARRIED) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, items, contaminated (two items or more) for each of docs (doc_id, text), against benchmark (item_id, text)."""
     ship(docs.sparkSession)
-    items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), utf8().alias("t"))
-    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= carried:
-        found = _carried(docs, [(r["item"], bytes(r["t"])) for r in items.collect()], [])
-    else:
-
-        def words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                own = split(b.column(1).to_pylist(), TABLE)[0]
-                rows = [(i, w) for i, w in zip(b.column(0).to_pylist(), own, strict=True) if w]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([w for _, w in rows], pa.list_(pa.binary()))], ["item", "words"])
-
-        found = _hits_joined(docs, items.mapInArrow(words, "item string, words array<binary>"))
+    items, index = _index(benchmark, carried)
+    found = _carried(docs, index) if index else _hits_joined(docs, _words(items))
     return found.withColumn("contaminated", F.col("n_items") >= 2)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least_items: int = 1, carried: int = CARRIED) -> DataFrame:
+    """The rows of docs that hold windows of fewer than least_items items, with all their columns."""
+    items, index = _index(benchmark, carried)
+    if index is None:  # rows get numbers, by which those found go
+        numbered, _ = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), utf8().alias("text"), F.monotonically_increasing_id().alias("doc_id")), "numbered")
+        bad = _hits_joined(numbered, _words(items)).where(F.col("n_items") >= least_items).select("doc_id")
+        return numbered.join(bad, "doc_id", "left_anti").select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def keep(texts: list[bytes]) -> np.ndarray:
+        found = _found(shared.value, texts)[2]
+        return np.array([len(found.get(i, ())) < least_items for i in range(len(texts))], bool)
+
+    return filtered(docs, keep)
