@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, ship, utf8
-from .tokens import END_ID, default_path, encoded, encoder
+from .tokens import END_ID, default_path, encoder
 from .wavelet import WaveletMatrix
 
-SHARD = 1 << 17
+SHARD = 1 << 16
 SCHEMA = "part int, shard int, inner long, n_docs long, n_tokens long, doc_ids binary, null_ids int, lengths binary, matrix binary"
 
 
@@ -34,33 +34,44 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         enc = encoder(tokenizer)
         bits = max(enc.vocabulary - 1, end_id, 1).bit_length()
         part, number, inner = TaskContext.get().partitionId(), 0, 0  # inner: ids of this partition's earlier shards
-        held: list[bytes] = []
+        held: list[np.ndarray] = []  # runs of ids of whole documents
+        lengths: list[np.ndarray] = []
         ids: list[int | None] = []
 
         def row() -> pa.RecordBatch:
-            lengths = np.fromiter(map(len, held), np.int64, len(held)) // 4
-            m = WaveletMatrix.build(np.frombuffer(b"".join(held), "<u4"), bits)
+            n = np.concatenate(lengths)
+            m = WaveletMatrix.build(np.concatenate(held), bits)
             known = np.array([i or 0 for i in ids], "<i8")
-            values = [part, number, inner, len(ids), m.n, known.tobytes(), ids.count(None), lengths.astype("<i8").tobytes(), m.to_bytes()]
+            values = [part, number, inner, len(ids), m.n, known.tobytes(), ids.count(None), n.astype("<i8").tobytes(), m.to_bytes()]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
 
         total = 0
         for b in batches(it, "t", 4 << 20):
-            for doc, data in zip(b.column(0).to_pylist(), encoded([t.decode() for t in b.column(1).to_pylist()], enc, end_id), strict=True):
-                if held and total + len(data) > 4 * shard:
+            doc_ids = b.column(0).to_pylist()
+            own, ends = enc.encode([t.decode() for t in b.column(1).to_pylist()])
+            own = np.insert(own, ends, end_id)  # after each document
+            ends = ends + np.arange(1, len(ends) + 1)
+            sizes = np.diff(ends, prepend=0)
+            at = 0
+            while at < len(sizes):
+                room = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + shard - total, side="right"))
+                to = max(room, at + (not held))  # a document longer than a shard is a shard
+                if to > at:
+                    held.append(own[ends[at] - sizes[at] : ends[to - 1]])
+                    lengths.append(sizes[at:to])
+                    ids += doc_ids[at:to]
+                    total += int(sizes[at:to].sum())
+                if to < len(sizes):
                     yield row()
-                    number, inner, total = number + 1, inner + total // 4, 0
-                    held.clear()
-                    ids.clear()
-                held.append(data)
-                ids.append(doc)
-                total += len(data)
+                    number, inner, total = number + 1, inner + total, 0
+                    held, lengths, ids = [], [], []
+                at = to
         if held:
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t").mapInArrow(run, SCHEMA).write.parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t").mapInArrow(run, SCHEMA).write.option("compression", "snappy").parquet(path)
 
 
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:

@@ -18,7 +18,9 @@ from .common import ranges
 
 END_ID = 2
 #: Parts kept by a worker: some 200 bytes each.
-KEPT = 500_000
+KEPT = 600_000
+#: Texts' first words up to this length are kept, too.
+LONGEST_HEAD = 40
 #: Parts encoded at once, and how a byte-level vocabulary writes a space.
 RUN, SPACE = 4000, "\u0120"
 #: A letter before one of these ends a match of the pattern, so such an end is encoded apart.
@@ -69,6 +71,7 @@ class Encoder:
         self._pool, self._used = np.zeros(1 << 20, np.uint32), 0
         self._at, self._length = np.zeros((2, 1 << 18), np.int64)
         self._odd = np.zeros(1 << 18, bool)
+        self._heads: dict[str, np.ndarray] = {}
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else [], np.uint32)
@@ -82,6 +85,14 @@ class Encoder:
         self._length[numbers] = lengths
         self._used += len(ids)
 
+    def _head(self, text: str) -> np.ndarray:
+        """_whole of what has no number, which for texts' first words recurs."""
+        if (ids := self._heads.get(text)) is None:
+            ids = self._whole(text)
+            if len(text) <= LONGEST_HEAD:
+                self._heads[text] = ids
+        return ids
+
     def _grow(self) -> None:
         while len(self._at) < len(self._numbers):
             self._at, self._length, self._odd = (np.concatenate((x, np.zeros_like(x))) for x in (self._at, self._length, self._odd))
@@ -148,7 +159,7 @@ class Encoder:
         flat = np.concatenate(rows)
         first = np.cumsum(counts) - counts
         places = [first[k] + i for k, own in odd.items() for i, _ in own]
-        apart = [self._whole(p) for own in odd.values() for _, p in own]
+        apart = [self._head(p) for own in odd.values() for _, p in own]
         lengths, at = self._length[flat], self._at[flat]
         own = np.array([len(x) for x in apart])
         # what has no number goes behind the pool, for this gather alone
@@ -156,7 +167,7 @@ class Encoder:
         pool = np.concatenate((self._pool[: self._used], *apart))
         ends = np.cumsum(lengths)[first + counts - 1]
         ids = pool[ranges(at, lengths)]
-        if len(numbers) > KEPT:
+        if len(numbers) > KEPT or len(self._heads) > KEPT // 8:
             self._clear()
         return ids, ends
 
