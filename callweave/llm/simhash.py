@@ -6,9 +6,10 @@ which keeps tables' groups small; any m finds all links. Groups are compared by
 give a spanning star of their links at most. A group larger than CELL is dealt to cells, of which each pair of rows
 shares one. Classes are found by spreading the least member with pointer jumping in Spark tables.
 
-`near_duplicates` takes radius-limited links of documents' fingerprints as they are. `similar` is for similarity 0.8: the
-distance of such a pair reaches 16 bits, beyond what block tables can find, so its groups are documents that share a
-band of shingle minima, and the fingerprints' distance within a group decides.
+`near_duplicates` takes radius-limited links of documents' fingerprints as they are. `similar` is for a Jaccard similarity
+of 0.8 of the shingles: the distance of such a pair reaches 20 bits, beyond what block tables can find. Its groups are
+documents that share a band of shingle minima; pairs of a group within the radius are compared by SKETCH minima, whose
+share of equal ones estimates the similarity with a standard error of 0.035 there. AGREE is two such errors below 0.8.
 
 Rows with a null text or without words have fingerprint zero and link like any other. Null ids stay, with the class of
 their fingerprint. Empty input gives an empty result; other columns are not looked at.
@@ -34,40 +35,49 @@ CELL = 4096
 PORTION = 1 << 16
 #: (fingerprints up to, blocks): more blocks give longer keys and more tables. All of them find the same links.
 BLOCKS = ((1 << 24, 6), (1 << 31, 7), (1 << 62, 8))
-#: Bands of shingle minima, minima in each: a pair of similarity 0.8 shares a band but for 1 in 4,800.
-BANDS, ROWS = 16, 4
+#: Bands of shingle minima, minima in each: a pair of similarity 0.8 shares a band but for 1 in 560.
+BANDS, ROWS = 12, 4
+#: Minima of a sketch, a byte each; the radius and the share of equal minima (less chance) of a link of `similar`.
+SKETCH, RADIUS, AGREE = 128, 20, 0.73
+#: Pairs whose sketches are compared at once.
+PAIRS = 1 << 16
 TEXTS = 4 << 20
 
 
+def _sketch(h: np.ndarray, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys of shingle hashes, and the low bytes of their minima."""
+    if not len(h):
+        return np.zeros(BANDS, np.uint64), np.zeros(SKETCH, np.uint8)
+    h = np.unique(mix(h))
+    least = np.array([(h * m).min() for m in multipliers], np.uint64)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for i in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[i : BANDS * ROWS : ROWS])
+    return key, (mix(least) >> np.uint64(56)).astype(np.uint8)
+
+
 def fingerprints(docs: DataFrame, k: int, bands: bool = False) -> DataFrame:
-    """doc_id, fp (64 bits as a long) of k-word shingles of A-Z lower-cased text; with bands: the keys of its bands."""
+    """doc_id, fp (64 bits as a long) of k-word shingles of A-Z lower-cased text; with bands: the keys of its bands and its sketch."""
     ship(docs.sparkSession)
-    multipliers = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    multipliers = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, "t", TEXTS):
-            fps, keys = [], []
+            fps, keys, sketches = [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_hashes(text.lower().split(), k)
                 fps.append(simhash(h))
                 if bands:
-                    h = np.unique(mix(h))
-                    if len(h):
-                        least = np.array([(h * m).min() for m in multipliers], np.uint64).reshape(BANDS, ROWS)
-                        key = np.arange(BANDS, dtype=np.uint64)
-                        for i in range(ROWS):
-                            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, i])
-                    else:
-                        key = np.zeros(BANDS, np.uint64)
+                    key, sketch = _sketch(h, multipliers)
                     keys.append(key.view(np.int64))
+                    sketches.append(sketch.tobytes())
             columns = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
-            names = ["doc_id", "fp"]
             if bands:
-                columns.append(pa.ListArray.from_arrays(np.arange(0, (len(fps) + 1) * BANDS, BANDS, dtype=np.int32), np.concatenate(keys)))
-                names.append("bands")
-            yield pa.RecordBatch.from_arrays(columns, names)
+                at = np.arange(0, (len(fps) + 1) * BANDS, BANDS, dtype=np.int32)
+                columns += [pa.ListArray.from_arrays(at, np.concatenate(keys)), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "bands", "sketch"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t")).mapInArrow(run, "doc_id long, fp long" + ", bands array<long>" * bands)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t")).mapInArrow(run, "doc_id long, fp long" + ", bands array<long>, sketch binary" * bands)
 
 
 def block_tables(nodes: DataFrame, radius: int, count: int) -> DataFrame:
@@ -81,47 +91,60 @@ def block_tables(nodes: DataFrame, radius: int, count: int) -> DataFrame:
 
 
 def _dealt(grouped: DataFrame) -> DataFrame:
-    """With a cell: 0, or for groups over CELL rows one cell for each pair of the group's portions."""
+    """group and the columns but table and key; groups over CELL rows are dealt to one cell for each pair of their portions."""
     hot = grouped.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     k = F.ceil(F.col("n") / CELL).cast("long")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k"))
     cells = F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.least(own, j) * F.col("k") + F.greatest(own, j)))
-    return grouped.join(hot.select("table", "key", k.alias("k")), ["table", "key"], "left").select("table", "key", F.explode(cells).alias("cell"), "fp")
+    rest = [c for c in grouped.columns if c not in ("table", "key")]
+    dealt = grouped.join(hot.select("table", "key", k.alias("k")), ["table", "key"], "left").select("table", "key", F.explode(cells).alias("cell"), *rest)
+    # one 64-bit number for a group: two groups under one number only add pairs that their distance then decides
+    return dealt.select(F.xxhash64("table", "key", "cell").alias("group"), *rest)
+
 
+def links(grouped: DataFrame, radius: int, agree: float | None = None) -> DataFrame:
+    """src, dst: a spanning star of the links found in each portion of groups.
 
-def links(grouped: DataFrame, radius: int) -> DataFrame:
-    """src, dst: a spanning star of the links found in each portion of groups; grouped: table, key, fp, without repeated rows."""
+    grouped: table, key, fp, without repeated rows; with agree, sketch as well, and links need that share of equal minima.
+    """
     ship(grouped.sparkSession)
 
-    def portions(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def portions(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        held: list[tuple[np.ndarray, ...]] = []
         for b in it:
             if not b.num_rows:
                 continue
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
-            if sum(len(k) for k, _ in held) >= PORTION:
-                key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.searchsorted(key, key[-1], side="left"))  # the last group may go on
+            sketch = (np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, SKETCH),) if agree else ()
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), *sketch))
+            if sum(len(x[0]) for x in held) >= PORTION:
+                rows = [np.concatenate(x) for x in zip(*held, strict=True)]
+                cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))  # the last group may go on
                 if cut:
-                    yield key[:cut], fp[:cut]
-                held = [(key[cut:], fp[cut:])]
+                    yield tuple(x[:cut] for x in rows)
+                held = [tuple(x[cut:] for x in rows)]
         if held:
-            key, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield key, fp
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp in portions(it):
+        for key, fp, *sketch in portions(it):
             values, at = np.unique(fp.view(np.uint64), return_inverse=True)
             parent = np.arange(len(values))
             for a, b in bitslice.near_pairs(key, fp.view(np.uint64), radius):
-                bitslice.merge(parent, at[a], at[b])
+                for lo in range(0, len(a), PAIRS):
+                    x, y = a[lo : lo + PAIRS], b[lo : lo + PAIRS]
+                    if agree:
+                        apart = parent[at[x]] != parent[at[y]]
+                        x, y = x[apart], y[apart]
+                        equal = (sketch[0][x] == sketch[0][y]).mean(axis=1)
+                        near = (equal - 1 / 256) / (1 - 1 / 256) >= agree
+                        x, y = x[near], y[near]
+                    bitslice.merge(parent, at[x], at[y])
             linked = np.flatnonzero(parent != np.arange(len(values)))
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(values[linked].view(np.int64)), pa.array(values[parent[linked]].view(np.int64))], ["src", "dst"])
 
-    # one 64-bit group number: two groups under one number only add links that the radius then decides
-    group = F.xxhash64("table", "key", "cell")
-    return _dealt(grouped).select(group.alias("group"), "fp").repartition("group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long").distinct()
+    columns = ["group", "fp"] + ["sketch"] * bool(agree)
+    return _dealt(grouped).select(*columns).repartition("group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long").distinct()
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -162,22 +185,24 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, k: int = 5, radius: int = 16) -> DataFrame:
-    """doc_id, component_id: links join documents that share a band of shingle minima and are within radius bits."""
+def similar(docs: DataFrame, k: int = 5, radius: int = RADIUS, agree: float = AGREE) -> DataFrame:
+    """doc_id, component_id: links join documents that share a band of shingle minima, are within radius bits and agree in their sketches."""
     fps, _ = stored(fingerprints(docs, k, bands=True), "fps")
 
     def find(nodes: DataFrame, count: int) -> DataFrame:
-        grouped = fps.select("fp", F.posexplode("bands").alias("table", "key")).distinct()
-        return links(grouped, radius)
+        # copies of a text are one row of a group
+        one = fps.groupBy("fp").agg(F.min_by(F.struct("bands", "sketch"), "doc_id").alias("x")).select("fp", "x.*")
+        grouped = one.select("fp", "sketch", F.posexplode("bands").alias("table", "key"))
+        return links(grouped, radius, agree)
 
     return _classes(fps, find).select("doc_id", "component_id")
 
 
-def without_copies(docs: DataFrame, k: int = 5, radius: int = 16) -> DataFrame:
+def without_copies(docs: DataFrame, k: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, less all but one of each class of `similar`: the one of the least doc_id, null ids last; of rows of one doc_id, any one."""
     rows, _ = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("number")), "rows")
     # classes are found over row numbers that ascend by doc_id within a node, whatever the ids are
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").cast("long").alias("doc_id"), F.col("number").alias("number"))
-    classes = similar(rows.select(F.col("number").alias("doc_id"), "text"), k, radius).select(F.col("doc_id").alias("number"), F.col("component_id"))
+    classes = similar(rows.select(F.col("number").alias("doc_id"), "text"), k).select(F.col("doc_id").alias("number"), F.col("component_id"))
     best = classes.join(rows.select("number", "doc_id"), "number").groupBy("component_id").agg(F.min(order).alias("best"))
     return rows.join(best.select(F.col("best.number").alias("number")), "number", "left_semi").select("row.*")
