@@ -23,8 +23,13 @@ PACKAGE = Path(__file__).resolve().parent.parent
 _OWN_DIR: dict[str, str] = {}
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that workers import it wherever they run."""
+#: Rows of an Arrow batch for rows of texts, of large blobs and of a few numbers: a batch is held whole by JVM and worker.
+TEXT_ROWS, BLOB_ROWS, NUMBER_ROWS = 256, 16, 10_000
+
+
+def ship(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Send this package to the executors once per application, so that workers import it wherever they run; and set the session's Arrow batches for what runs next."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     sc = spark.sparkContext
     mark = f"{PACKAGE.name}_{sc.applicationId}.zip".replace("-", "_")
     if _OWN_DIR.get("shipped") == mark:
@@ -92,13 +97,27 @@ def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def batches(it: Iterator[pa.RecordBatch], column: str | int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that a binary column (by name or place) holds about limit bytes in each."""
+    """Arrow batches joined and cut so that a binary column (by name or place) holds about limit bytes in each."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for b in it:
-        if b.num_rows:
-            c = b.column(column if isinstance(column, int) else b.schema.get_field_index(column))
-            sizes = np.asarray(pc.fill_null(pc.binary_length(c), 0), dtype=np.int64)
-            for lo, hi in slices(sizes, limit):
-                yield b.slice(lo, hi - lo)
+        if not b.num_rows:
+            continue
+        c = b.column(column if isinstance(column, int) else b.schema.get_field_index(column))
+        sizes = np.asarray(pc.fill_null(pc.binary_length(c), 0), dtype=np.int64)
+        for lo, hi in slices(sizes, limit):
+            n = int(sizes[lo:hi].sum())
+            if held and total + n > limit:
+                yield joined()
+                held, total = [], 0
+            held.append(b.slice(lo, hi - lo))
+            total += n
+    if held:
+        yield joined()
 
 
 def mix(h: np.ndarray) -> np.ndarray:

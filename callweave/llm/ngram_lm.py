@@ -37,7 +37,7 @@ _KINDS = tuple(np.uint64(x) for x in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x
 
 def _grams(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice: words in each text; for each word the hashes of word, of the word before as a context and of the pair (for a text's first word: unused)."""
-    words, counts = split(row.column(row.schema.get_field_index("texts"))[0].as_py(), _LOWER)
+    words, counts = split(packed.texts_of(row), _LOWER)
     h = hashes(words, int(counts.sum()))
     one, context, pair = (np.zeros(len(h), np.uint64) for _ in range(3))
     one[:] = mix(h ^ _KINDS[0])
@@ -107,10 +107,10 @@ def scored(docs: DataFrame, least: int = LEAST, backoff: float = BACKOFF) -> Dat
 
     def sizes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for texts in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([int(split(texts, _LOWER)[1].sum())], pa.int64())], ["n"])
+            n = [int(split(packed.texts_of(b.slice(i, 1)), _LOWER)[1].sum()) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
-    total = slices.frame.select("texts").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
+    total = slices.frame.select("lengths", "texts").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -136,7 +136,7 @@ def scored(docs: DataFrame, least: int = LEAST, backoff: float = BACKOFF) -> Dat
                 back = np.concatenate(([0], np.cumsum(~known)))
                 score = (sums[ends] - sums[ends - counts]) / UNITS
                 perplexity = np.exp(-score / np.maximum(counts, 1))
-                columns = [row.column(row.schema.get_field_index("ids")).flatten(), pa.array(counts), pa.array(back[ends] - back[ends - counts]), pa.array(score), pa.array(perplexity, mask=counts == 0)]
+                columns = [packed.ids_of(row), pa.array(counts), pa.array(back[ends] - back[ends - counts]), pa.array(score), pa.array(perplexity, mask=counts == 0)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_backoff", "log_score", "perplexity"])
 
     return packed.joined(slices.frame, answers).mapInArrow(run, "doc_id long, n_words long, n_backoff long, log_score double, perplexity double")

@@ -18,14 +18,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, drop, scratch, ship, utf8
+from .common import BLOB_ROWS, batches, drop, scratch, ship, utf8
 
 #: Bytes of text in a slice; a longer document is a slice of its own.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Entries that a hash partition is meant to hold, and the limit of partitions.
 PARTITION, MOST = 2 << 20, 1 << 16
 MOST_BUCKETS = 1 << 16
@@ -60,7 +61,7 @@ def _numbers(part: int, buckets: int) -> Iterator[int]:
 
 @dataclass
 class Slices:
-    """slice long, ids array<long>, texts array<binary>, stored; and the bytes of text in all."""
+    """slice long, ids array<long>, lengths array<int>, texts binary (zstandard, joined), stored; and the bytes of text in all."""
 
     frame: DataFrame
     name: str
@@ -93,9 +94,10 @@ def sliced(docs: DataFrame, size: int = SLICE) -> Slices:
         def row() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             t = t.sort_by([("doc_id", "ascending")]) if not t["doc_id"].null_count else t.take(pc.sort_indices(t, sort_keys=[("doc_id", "ascending")], null_placement="at_start"))
-            ids, texts = (c.combine_chunks() for c in t.columns)
-            at = pa.array([0, t.num_rows], pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array([next(numbers)], pa.int64()), pa.ListArray.from_arrays(at, ids), pa.ListArray.from_arrays(at, texts), pa.array([total], pa.int64())], ["slice", "ids", "texts", "bytes"])
+            texts = t["t"].to_pylist()
+            values = [next(numbers), t["doc_id"].to_pylist(), list(map(len, texts)), zstandard.compress(b"".join(texts), 1), total]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["slice", "ids", "lengths", "texts", "bytes"])
 
         for b in batches(it, "t", size):
             n = int(pc.sum(pc.binary_length(b.column(1))).as_py() or 0)
@@ -108,12 +110,25 @@ def sliced(docs: DataFrame, size: int = SLICE) -> Slices:
             yield row()
 
     name, path = f"slices_{uuid.uuid4().hex}", scratch(spark, "slices")
-    rows.mapInArrow(run, "slice long, ids array<long>, texts array<binary>, bytes long").write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, "slice").saveAsTable(name)
+    rows.mapInArrow(run, "slice long, ids array<long>, lengths array<int>, texts binary, bytes long").write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, "slice").saveAsTable(name)
     frame = spark.table(name)
     total = frame.agg(F.sum("bytes")).first()[0] or 0
+    ship(spark, BLOB_ROWS)
     return Slices(frame.drop("bytes"), name, path, int(total), buckets)
 
 
+def texts_of(row: pa.RecordBatch) -> list[bytes]:
+    """The texts of a slice's row."""
+    data = zstandard.decompress(row.column(row.schema.get_field_index("texts"))[0].as_py())
+    ends = np.cumsum(row.column(row.schema.get_field_index("lengths"))[0].as_py(), dtype=np.int64).tolist()
+    return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def ids_of(row: pa.RecordBatch) -> pa.Array:
+    """The doc_ids of a slice's row."""
+    return row.column(row.schema.get_field_index("ids")).flatten()
+
+
 def asked(slices: DataFrame, ask: Callable[[pa.RecordBatch], Iterator[tuple[int, bytes]]]) -> DataFrame:
     """slice, part, question: ask(a batch of one slice's row) gives (hash partition, question)."""
 
@@ -159,7 +174,7 @@ def answered(slices: Slices, questions: DataFrame, answer: Callable[[int, list[i
 
 
 def joined(slices: DataFrame, answers: DataFrame) -> DataFrame:
-    """slice, ids, texts, answers; answers is null for a slice that has none."""
+    """The slices with answers, null for a slice that has none."""
     return slices.join(answers.hint("shuffle_hash"), "slice", "left")
 
 
@@ -171,4 +186,4 @@ def cut(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
         yield p, int(edges[p]), int(edges[p + 1])
 
 
-__all__ = ["Slices", "answered", "asked", "cut", "joined", "murmur3", "sliced"]
+__all__ = ["Slices", "answered", "asked", "cut", "ids_of", "joined", "murmur3", "sliced", "texts_of"]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitslice
-from .common import batches, drop, mix, ship, stored, utf8
+from .common import NUMBER_ROWS, batches, drop, mix, ship, stored, utf8
 from .fingerprints import shingle_hashes, simhash
 
 #: Rows of a group that are compared together; a larger group is dealt to cells of two portions of about this size.
@@ -107,7 +107,7 @@ def links(grouped: DataFrame, radius: int, agree: float | None = None) -> DataFr
 
     grouped: table, key, fp, without repeated rows; with agree, sketch as well, and links need that share of equal minima.
     """
-    ship(grouped.sparkSession)
+    ship(grouped.sparkSession, NUMBER_ROWS)
 
     def portions(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         held: list[tuple[np.ndarray, ...]] = []

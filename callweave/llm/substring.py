@@ -24,7 +24,7 @@ from .words import hashes, runs, split, starts
 
 def _windows(row: pa.RecordBatch, k: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice's row: words, their counts, window positions, window hashes."""
-    words, counts = split(row.column(row.schema.get_field_index("texts"))[0].as_py())
+    words, counts = split(packed.texts_of(row))
     at = starts(counts, k)
     h = runs(hashes(words, int(counts.sum())), k)
     return words, counts, at, h[at] if len(at) else np.zeros(0, np.uint64)
@@ -32,7 +32,7 @@ def _windows(row: pa.RecordBatch, k: int) -> tuple[list[list[bytes]], np.ndarray
 
 def _first_ids(row: pa.RecordBatch, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The doc_id of each window; a null is the least long."""
-    ids = np.array([-(1 << 63) if i is None else i for i in row.column(row.schema.get_field_index("ids"))[0].as_py()], np.int64)
+    ids = np.array([-(1 << 63) if i is None else i for i in packed.ids_of(row).to_pylist()], np.int64)
     return ids[np.searchsorted(np.cumsum(counts), at, side="right")]
 
 
@@ -140,7 +140,7 @@ def deduplicated(docs: DataFrame, k: int = 20, text: bool = False) -> DataFrame:
                     n = int(mask.sum())
                     n_removed.append(n)
                     kept.append(b" ".join([w for w, g in zip(own, mask.tolist(), strict=True) if not g] if n else own))
-                columns = [row.column(row.schema.get_field_index("ids")).flatten(), pa.array(counts), pa.array(n_removed, pa.int64()), pa.array([sha256(t).hexdigest() for t in kept])]
+                columns = [packed.ids_of(row), pa.array(counts), pa.array(n_removed, pa.int64()), pa.array([sha256(t).hexdigest() for t in kept])]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([t.decode() for t in kept])] * text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * text)
 
     return packed.joined(slices.frame, later).mapInArrow(run, schema)

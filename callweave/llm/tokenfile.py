@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, ship, utf8
+from .common import BLOB_ROWS, batches, ship, utf8
 from .tokens import END_ID, default_path, encoder
 from .wavelet import WaveletMatrix
 
@@ -76,6 +76,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
     """doc_id, start (ids before it), n_tokens, ids_crc32 and, if asked for, ids (unsigned 32-bit little-endian) of each document under path."""
+    ship(spark, BLOB_ROWS)
     shards = spark.read.schema(SCHEMA).parquet(path)
     # partitions are doc_id ranges in order; the driver gets one number for each, some thousands at most
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
