@@ -5,12 +5,9 @@ Nothing here depends on the size of the data: every helper works per Arrow batch
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-PACKAGE = Path(__file__).resolve().parent.parent
+from ..operators import storage
+
 _OWN_DIR: dict[str, str] = {}
 
 
@@ -28,18 +26,9 @@ TEXT_ROWS, BLOB_ROWS, NUMBER_ROWS = 256, 16, 10_000
 
 
 def ship(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Send this package to the executors once per application, so that workers import it wherever they run; and set the session's Arrow batches for what runs next."""
+    """Put this package on the executors, and set the session's Arrow batches for what runs next."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    sc = spark.sparkContext
-    mark = f"{PACKAGE.name}_{sc.applicationId}.zip".replace("-", "_")
-    if _OWN_DIR.get("shipped") == mark:
-        return
-    at = os.path.join(tempfile.mkdtemp(), mark)
-    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(PACKAGE.rglob("*.py")):
-            z.write(p, str(p.relative_to(PACKAGE.parent)))
-    sc.addPyFile(at)
-    _OWN_DIR["shipped"] = mark
+    storage.ship(spark)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
