@@ -1,4 +1,406 @@
-"""The registered queries of the engine's operators, with the SQL that gives the same rows."""
+"""The registered queries of the engine's operators over the driver's tables, with the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+The tables hold no tool calls, so calls, states and answers are derived from `events`, and texts come from `documents` and
+`conversations`, by the same expressions in both engines.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import registry as R
+from ..functions import rules as U
+from ..functions import text as T
+from ..functions import values as V
+from ..functions.parse import parse_output
+from ..operators import chat, dataset, dedup, metrics, pairs, seeds
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(fn: Query) -> Query:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# SQL of text functions -----------------------------------------------------------------------------------------------
+
+SQL_FOLD = "replace(strip_accents(lower({x})), 'đ', 'd')"
+SQL_NORM = "trim(regexp_replace(" + SQL_FOLD + r", '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+SQL_GRAMS = "list_distinct(list_transform(range(1, greatest(1, len({p}) - 2) + 1), lambda i: substr({p}, i, 3)))"
+SQL_HASH = "('0x' || substr(md5({x}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _sql_norm(x: str) -> str:
+    return SQL_NORM.format(x=x)
+
+
+def _sql_grams(x: str) -> str:
+    return SQL_GRAMS.format(p=f"(' ' || {_sql_norm(x)} || ' ')")
+
+
+def _sql_words(x: str) -> str:
+    return f"list_filter(string_split({_sql_norm(x)}, ' '), lambda w: w <> '')"
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@_query(f"SELECT doc_id, len(n)::INTEGER AS n_chars, md5(n) AS norm_md5 FROM (SELECT doc_id, {_sql_norm('text')} AS n FROM documents)")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = T.normalize(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", n.alias("n")).select("doc_id", F.length("n").alias("n_chars"), F.md5(F.col("n").cast("binary")).alias("norm_md5"))
+
+
+@_query(f"SELECT doc_id, len(a)::INTEGER AS n_chars, md5(a) AS alnum_md5 FROM (SELECT doc_id, regexp_replace({SQL_FOLD.format(x='text')}, '[^a-z0-9]', '', 'g') AS a FROM documents)")
+def text_alnum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", T.alnum(F.col("text")).alias("a"))
+    return rows.select("doc_id", F.length("a").alias("n_chars"), F.md5(F.col("a").cast("binary")).alias("alnum_md5"))
+
+
+@_query(f"SELECT role, count(*) AS n_turns, sum(n)::BIGINT AS n_grams, max(n)::INTEGER AS most FROM (SELECT role, len({_sql_grams('text')}) AS n FROM conversations) GROUP BY role")
+def ngram_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("role", F.size(T.char_ngrams(F.col("text"))).alias("n"))
+    return rows.groupBy("role").agg(F.count("*").alias("n_turns"), F.sum("n").alias("n_grams"), F.max("n").alias("most"))
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat_ws("|", "role", F.col("turn").cast("string")).alias("key"), "text")
+
+
+@_query(f"""
+WITH t AS (SELECT conv_id * 1000 + turn AS seq, role || '|' || turn AS key, {_sql_grams('text')} AS g FROM conversations),
+p AS (SELECT x.seq AS a, y.seq AS b, len(list_intersect(x.g, y.g)) AS shared, len(x.g) AS na, len(y.g) AS nb FROM t x JOIN t y ON x.key = y.key AND x.seq < y.seq AND abs(len(y.g) - len(x.g)) <= len(y.g) * 0.3)
+SELECT a, b, round(shared / (na + nb - shared), 6) AS similarity FROM p WHERE shared / (na + nb - shared) > 0.85
+""")
+def ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _turns(spark, sf_dir).select("seq", "key", F.array_sort(T.char_ngrams(F.col("text"))).alias("grams"))
+    return dedup.similar_pairs(rows, 0.85).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@_query()
+def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dedup.dedupe(_turns(spark, sf_dir), F.col("seq"), F.col("key"), F.col("text"))
+    return rows.select("seq", "duplicate")
+
+
+@_query(f"""
+WITH t AS (SELECT conv_id, turn, role, text, lead(text) OVER w AS reply, lead(role) OVER w AS reply_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT conv_id, turn, {_sql_words('reply')} AS p, {_sql_words('text')} AS g FROM t WHERE role = 'user' AND reply_role = 'assistant'),
+s AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda v: v = w)), len(list_filter(g, lambda v: v = w))))), 0) AS shared FROM x)
+SELECT conv_id, turn, round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = len(g))::INTEGER::DOUBLE ELSE 2.0::DOUBLE * shared / (len(p) + len(g)) END, 6) AS f1 FROM s
+""")
+def token_f1_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.lead("text").over(w).alias("reply"), F.lead("role").over(w).alias("reply_role"))
+    return rows.where("role = 'user' AND reply_role = 'assistant'").select("conv_id", "turn", F.round(T.token_f1(F.col("reply"), F.col("text")), 6).alias("f1"))
+
+
+_NUMBERS = (1, 5, 12, 22, 45, 100)
+
+
+def _sql_mentions(n: int) -> str:
+    said = " OR ".join([f"regexp_matches(t, '(^|[^0-9]){n}([^0-9]|$)')", *(f"contains(' ' || t || ' ', ' {w} ')" for w in T.number_words(n))])
+    return f"SELECT doc_id, {n} AS number FROM x WHERE {said}"
+
+
+@_query(f"WITH x AS (SELECT doc_id, {_sql_norm('text')} AS t FROM documents) SELECT number, count(*) AS n_docs FROM (" + " UNION ALL ".join(map(_sql_mentions, _NUMBERS)) + ") GROUP BY number")
+def number_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select(F.col("text"), F.explode(F.array(*map(F.lit, _NUMBERS))).alias("number"))
+    return rows.where(T.mentions_number(F.col("text"), F.col("number"))).groupBy("number").agg(F.count("*").alias("n_docs"))
+
+
+_PHRASES = ("the", "is in", "for the", "de la", "que", "und", "pour", "password", "all", "on")
+
+
+@_query(f"WITH x AS (SELECT ' ' || {_sql_norm('text')} || ' ' AS t FROM documents) SELECT p AS phrase, count(*) AS n_docs FROM x, (SELECT unnest([{', '.join(map(_quoted, _PHRASES))}]) AS p) WHERE contains(t, ' ' || p || ' ') GROUP BY p")
+def phrase_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select(F.concat(F.lit(" "), T.normalize(F.col("text")), F.lit(" ")).alias("t"), F.explode(R.literal(_PHRASES)).alias("phrase"))
+    return rows.where(F.contains("t", F.concat(F.lit(" "), "phrase", F.lit(" ")))).groupBy("phrase").agg(F.count("*").alias("n_docs"))
+
+
+@_query(f"""
+WITH x AS (SELECT lang, regexp_extract_all(lower(text), '[a-z'']+') AS w FROM documents),
+y AS (SELECT lang, len(w) AS n, len(list_filter(w, lambda v: v IN ({', '.join(map(_quoted, T.ENGLISH))}))) AS e FROM x)
+SELECT lang, count(*) AS n_docs, count(*) FILTER (e >= 3 AND e / greatest(n, 1) >= 0.3) AS n_english FROM y GROUP BY lang
+""")
+def mostly_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("lang", T.mostly_english(F.col("text")).alias("e"))
+    return rows.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if("e").alias("n_english"))
+
+
+_STRONG, _WEAK, _ASK, _TAILS = ("of the",), ("to the", "and"), ("er", "ing", "es"), ("as", "is")
+
+
+@_query(rf"""
+WITH x AS (SELECT conv_id, turn, trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS t,
+  regexp_replace(trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)), '^(.|\n)*[.!?…]\s+', '') AS last, trim(lower(text), ' ' || chr(9) || chr(10) || chr(13)) AS low FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CASE WHEN t = '' THEN 'reply' WHEN contains(t, 'of the') THEN 'refuse'
+  WHEN regexp_matches(low, '\?(\s|$)') OR regexp_matches(last, '(er|ing|es)\s*(as|is)?\s*[.!…]*$') THEN 'ask'
+  WHEN contains(t, 'to the') OR contains(t, 'and') THEN 'refuse' ELSE 'reply' END AS kind FROM x
+""")
+def classify_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return rows.select("conv_id", "turn", T.classify_text(F.col("text"), _STRONG, _WEAK, _ASK, _TAILS).alias("kind"))
+
+
+_SQL_SPLIT = f"CASE WHEN {SQL_HASH.format(x='g')} < 0.1 THEN 'test' WHEN {SQL_HASH.format(x='g')} < 0.1::DOUBLE + 0.05::DOUBLE THEN 'val' ELSE 'train' END"
+
+
+@_query(f"SELECT doc_id, {_SQL_SPLIT} AS split FROM (SELECT doc_id, source || '|' || lang AS g FROM documents)")
+def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", dataset.split_of(F.concat_ws("|", "source", "lang")).alias("split"))
+
+
+@_query(f"WITH x AS (SELECT g, {_SQL_SPLIT} AS s FROM (SELECT conv_id::VARCHAR AS g FROM conversations)) SELECT count(*) AS n_turns, (SELECT count(*) FROM (SELECT g FROM x GROUP BY g HAVING count(DISTINCT s) > 1)) AS n_leaks FROM x")
+def split_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("g"))
+    rows = rows.withColumn("s", dataset.split_of(F.col("g")))
+    per = rows.groupBy("g").agg(F.count("*").alias("n"), (F.min("s") != F.max("s")).alias("leak"))
+    return per.agg(F.sum("n").alias("n_turns"), F.count_if("leak").alias("n_leaks"))
+
+
+@_query(f"""
+WITH t AS (SELECT conv_id, turn, role, text, max(turn) FILTER (role = 'user') OVER (PARTITION BY conv_id) AS last FROM conversations),
+u AS (SELECT conv_id, last, text FROM t WHERE turn = last),
+h AS (SELECT conv_id, count(*) AS n, string_agg('<|im_start|>' || role || chr(10) || CASE WHEN role = 'assistant' THEN '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10) ELSE '' END || text || '<|im_end|>' || chr(10), '' ORDER BY turn) AS x FROM t WHERE turn < last AND role <> 'system' GROUP BY conv_id)
+SELECT u.conv_id, coalesce(h.n, 0) + 2 AS n_messages, md5('<|im_start|>system' || chr(10) || {_quoted(chat.SYSTEM)} || '<|im_end|>' || chr(10) || coalesce(h.x, '') || '<|im_start|>user' || chr(10) || '<xe>tốc độ 0 km/h; số P; ban ngày; pin 80%; cửa đã khoá</xe>' || chr(10) || trim(u.text, ' ' || chr(9) || chr(10) || chr(13)) || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || '<think>' || chr(10) || chr(10) || '</think>' || chr(10) || chr(10)) AS prompt_md5 FROM u LEFT JOIN h ON u.conv_id = h.conv_id
+""")
+def chat_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    rows = turns.withColumn("last", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(Window.partitionBy("conv_id")))
+    earlier = F.array_sort(F.collect_list(F.when((F.col("turn") < F.col("last")) & (F.col("role") != "system"), F.struct("turn", "role", "text"))))
+    per = rows.groupBy("conv_id").agg(earlier.alias("h"), F.max(F.when(F.col("turn") == F.col("last"), F.col("text"))).alias("user")).where("user IS NOT NULL")
+    history = F.transform("h", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    rows = per.select("conv_id", chat.build_messages(F.col("user"), U.state_of(), history).alias("messages"))
+    return rows.select("conv_id", F.size("messages").cast("long").alias("n_messages"), F.md5(chat.render_chatml(F.col("messages")).cast("binary")).alias("prompt_md5"))
+
+
+# Calls from events ---------------------------------------------------------------------------------------------------
+
+SQL_EVENTS = """
+WITH e AS (SELECT event_id, event_type, value, greatest(0, floor(value) - 100)::DOUBLE AS speed, hour(ts) >= 18 OR hour(ts) < 6 AS night, event_id % 101 AS percent, event_id % 12 AS level, 10 + event_id % 25 AS degrees FROM events),
+c AS (SELECT *, CASE event_type WHEN 'error' THEN 'unlock_doors' WHEN 'view' THEN 'set_lights' WHEN 'click' THEN 'open_window' WHEN 'signup' THEN 'set_fan_speed' ELSE 'set_climate' END AS tool FROM e),
+v AS (SELECT *, CASE WHEN tool = 'unlock_doors' AND speed > 0 THEN 'refuse' WHEN tool = 'set_lights' AND night AND speed > 0 THEN 'refuse' WHEN tool = 'open_window' AND speed > 80 AND percent >= 50 THEN 'confirm' ELSE 'allow' END AS decision,
+  CASE WHEN tool = 'unlock_doors' AND speed > 0 THEN 'unlock_while_moving' WHEN tool = 'set_lights' AND night AND speed > 0 THEN 'lights_off_at_night' WHEN tool = 'open_window' AND speed > 80 AND percent >= 50 THEN 'window_high_speed' ELSE '' END AS rule,
+  CASE WHEN tool = 'set_fan_speed' AND level < 1 THEN 'set_fan_speed.level: ' || level || ' < 1' WHEN tool = 'set_fan_speed' AND level > 7 THEN 'set_fan_speed.level: ' || level || ' > 7'
+    WHEN tool = 'set_climate' AND degrees < 16 THEN 'set_climate.temperature: ' || degrees || ' < 16' WHEN tool = 'set_climate' AND degrees > 30 THEN 'set_climate.temperature: ' || degrees || ' > 30' END AS error FROM c)
+"""
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with tool, args_json, arguments and state."""
+    e = _table(spark, sf_dir, "events")
+    kind, i, hour = F.col("event_type"), F.col("event_id"), F.hour("ts")
+    tool = F.when(kind == "error", "unlock_doors").when(kind == "view", "set_lights").when(kind == "click", "open_window").when(kind == "signup", "set_fan_speed").otherwise("set_climate")
+    number = lambda lead, n: F.concat(F.lit(lead), n.cast("string"), F.lit("}"))
+    args = (
+        F.when(kind == "error", F.lit("{}"))
+        .when(kind == "view", F.lit('{"mode":"off"}'))
+        .when(kind == "click", number('{"position":"all","percent":', i % 101))
+        .when(kind == "signup", number('{"level":', i % 12))
+        .otherwise(number('{"temperature":', 10 + i % 25))
+    )
+    state = U.state_of({"speed_kmh": F.greatest(F.lit(0), F.floor("value") - 100), "is_night": (hour >= 18) | (hour < 6)})
+    return e.select("event_id", "event_type", "value", tool.alias("tool"), args.alias("args_json"), state.alias("state")).withColumn("arguments", V.arguments_of(F.col("args_json")))
+
+
+def _calls() -> Column:
+    return F.array(F.struct(F.col("tool").alias("name"), F.col("arguments").alias("arguments"))).cast(V.CALLS)
+
+
+@_query(SQL_EVENTS + "SELECT decision, rule, count(*) AS n FROM v GROUP BY decision, rule")
+def safety_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select(U.check_call(F.col("tool"), F.col("arguments"), F.col("state")).alias("v"))
+    return rows.groupBy("v.decision", "v.rule").agg(F.count("*").alias("n"))
+
+
+@_query(SQL_EVENTS + "SELECT event_id, CASE WHEN decision = 'refuse' THEN 'refuse' WHEN decision = 'confirm' THEN 'ask' WHEN error IS NOT NULL THEN 'ask' ELSE 'call' END AS kind, CASE WHEN error IS NULL AND decision = 'allow' THEN 1 ELSE 0 END AS n_calls, coalesce('guard bỏ lệnh sai schema: ' || error, CASE WHEN rule <> '' THEN 'guard: ' || rule END, '') AS notes FROM v")
+def guard_action(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir).select("event_id", U.guard_action(U.action(F.lit("call"), _calls()), F.col("state")).alias("a"))
+    return rows.select("event_id", "a.kind", F.size("a.calls").alias("n_calls"), F.array_join("a.notes", "; ").alias("notes"))
+
+
+@_query(SQL_EVENTS + "SELECT event_id, coalesce(error, '') AS errors FROM v")
+def schema_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("event_id", F.array_join(U.validate_call(F.col("tool"), F.col("arguments")), "; ").alias("errors"))
+
+
+@_query(SQL_EVENTS + "SELECT error AS reason, count(*) AS n FROM v WHERE error IS NOT NULL GROUP BY error ORDER BY n DESC, reason LIMIT 20")
+def invalid_reasons_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.top_reasons(_events(spark, sf_dir).select(U.validate_call(F.col("tool"), F.col("arguments")).alias("problems")))
+
+
+@_query(SQL_EVENTS + "SELECT event_id, 'tốc độ ' || speed::BIGINT || ' km/h; số P; ' || CASE WHEN night THEN 'ban đêm' ELSE 'ban ngày' END || '; pin 80%; cửa đã khoá' AS sentence FROM e")
+def state_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("event_id", U.render_state(F.col("state")).alias("sentence"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer to each event: the right call in several spellings, broken, or words, by event_id mod 8."""
+    rows = _events(spark, sf_dir)
+    k = F.col("event_id") % 8
+    call = F.concat(F.lit('{"name":"'), F.col("tool"), F.lit('","arguments":'), F.col("args_json"), F.lit("}"))
+    block = lambda x: F.concat(F.lit("<tool_call>"), x, F.lit("</tool_call>"))
+    raw = (
+        F.when(k == 0, block(call))
+        .when(k == 1, F.concat(F.lit("<think>hm</think>"), block(call), F.lit("\n"), block(call), F.lit("<|im_end|>")))
+        .when(k == 2, F.concat(F.lit("```json\n["), call, F.lit("]\n```")))
+        .when(k == 3, F.concat(F.lit("<tool_call>"), call))
+        .when(k == 4, block(F.lit('{"name":"lock_doors","arguments":{"x"')))
+        .when(k == 5, F.lit('{"a":1}'))
+        .when(k == 6, F.lit("Bạn muốn đi đâu?"))
+        .otherwise(F.concat(F.lit('<tool_call>{"type":"function","function":{"name":"'), F.col("tool"), F.lit('","parameters":'), F.col("args_json"), F.lit("}}}</tool_call>")))
+    )
+    return rows.withColumn("raw", raw)
+
+
+@_query(SQL_EVENTS + """, k AS (SELECT *, event_id % 8 AS k FROM v)
+SELECT event_id, CASE WHEN k = 5 THEN 'reply' WHEN k = 6 THEN 'ask' ELSE 'call' END AS kind, CASE WHEN k IN (0, 2, 3, 7) THEN 1 WHEN k = 1 THEN 2 ELSE 0 END AS n_calls,
+  k NOT IN (4, 5) AS valid_format, CASE WHEN k IN (4, 5, 6) THEN '' ELSE tool END AS first_name, CASE WHEN k = 2 THEN 'json trần, không có <tool_call>' WHEN k = 4 THEN '1 tool_call không parse được' WHEN k = 5 THEN 'json không đúng dạng tool call' ELSE '' END AS notes FROM k""")
+def tool_call_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _answers(spark, sf_dir).select("event_id", parse_output(F.col("raw")).alias("a"))
+    return rows.select("event_id", "a.kind", F.size("a.calls").alias("n_calls"), "a.valid_format", F.coalesce(F.try_element_at("a.calls", F.lit(1))["name"], F.lit("")).alias("first_name"), F.array_join("a.notes", "; ").alias("notes"))
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gold: the rules' answer to the event's call; pred: what the model's answer says; scenario: the event's type."""
+    rows = _answers(spark, sf_dir)
+    v = U.check_call(F.col("tool"), F.col("arguments"), F.col("state"))
+    gold = T.let(v, lambda x: F.when(x["decision"] == "refuse", U.action(F.lit("refuse"), None, x["message"])).when(x["decision"] == "confirm", U.action(F.lit("ask"), None, x["message"])).otherwise(U.action(F.lit("call"), _calls())))
+    return rows.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("scenario"), gold.alias("gold"), parse_output(F.col("raw")).alias("pred"), "state", F.col("tool").alias("user"), F.lit(None).cast("array<struct<role: string, content: string>>").alias("history"), F.lit("standard").alias("style"), F.struct(_calls().alias("calls"), F.lit(None).cast("string").alias("omitted"), F.lit(None).cast("variant").alias("omitted_value")).alias("seed"))
+
+
+_SQL_JUDGED = SQL_EVENTS + """, j AS (SELECT *, event_id % 8 AS k, CASE decision WHEN 'refuse' THEN 'refuse' WHEN 'confirm' THEN 'ask' ELSE 'call' END AS g FROM v),
+m AS (SELECT *, CASE WHEN k = 5 THEN 'reply' WHEN k = 6 THEN 'ask' ELSE 'call' END AS p, CASE WHEN k IN (0, 2, 3, 7) THEN 1 WHEN k = 1 THEN 2 ELSE 0 END AS n_pred,
+  (SELECT 0) AS zero, CASE tool WHEN 'unlock_doors' THEN 0 WHEN 'open_window' THEN CASE WHEN percent = 100 THEN 1 ELSE 2 END ELSE 1 END AS n_args FROM j)
+"""
+
+
+@_query(_SQL_JUDGED + """
+SELECT event_type AS scenario, count(*) AS n, round(avg((k NOT IN (4, 5))::INTEGER), 4) AS format_valid, round(avg((g = p)::INTEGER), 4) AS kind_acc,
+  round(avg((g = p AND (g <> 'call' OR n_pred = 1))::INTEGER), 4) AS exact, round(avg(CASE WHEN g = 'call' THEN (n_pred = 1)::INTEGER END), 4) AS args_exact,
+  sum(CASE WHEN g = 'call' AND n_pred > 0 THEN n_args ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN g = 'call' AND n_pred = 2 THEN n_args ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN g = 'call' AND n_pred = 0 THEN n_args ELSE 0 END)::BIGINT AS fn
+FROM m GROUP BY event_type
+""")
+def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predictions(spark, sf_dir).withColumn("by", F.col("scenario"))
+    out = metrics.compute_metrics(rows, "pred", ["by"])
+    call = F.col("gold.kind") == "call"
+    counts = rows.where(call).groupBy("by").agg(*(F.sum(V.arg_counts(F.col("gold.calls"), F.col("pred.calls"))[c]).alias(c) for c in ("tp", "fp", "fn")))
+    out = out.join(counts, "by", "left")
+    return out.select(F.col("by").alias("scenario"), "n", "format_valid", "kind_acc", "exact", "args_exact", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")))
+
+
+@_query(_SQL_JUDGED + "SELECT g AS gold_kind, count(*) AS n FROM m WHERE NOT (g = p AND (g <> 'call' OR n_pred = 1)) OR k IN (4, 5) GROUP BY g")
+def on_policy_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predictions(spark, sf_dir)
+    mined = pairs.mine_on_policy(rows.drop("pred"), rows.select("id", "pred"))
+    return mined.join(rows.select("id", F.col("gold.kind").alias("gold_kind")), "id").groupBy("gold_kind").agg(F.count("*").alias("n"))
+
+
+@_query(_SQL_JUDGED + """, t AS (SELECT g, unnest(list_filter(CASE g
+  WHEN 'call' THEN ['wrong_tool', 'hallucinated_tool', CASE WHEN tool <> 'unlock_doors' THEN 'wrong_value' END,
+    CASE WHEN (tool = 'open_window' AND percent > 0) OR (tool = 'set_fan_speed' AND level > 0) OR tool = 'set_climate' THEN 'wrong_unit' END,
+    CASE WHEN tool IN ('set_lights', 'open_window', 'set_fan_speed') THEN 'missing_arg' END, 'over_refuse']
+  WHEN 'ask' THEN ['skip_confirm'] ELSE ['comply_unsafe'] END, lambda x: x IS NOT NULL)) AS type FROM m)
+SELECT type, count(*) AS n FROM t GROUP BY type""")
+def perturb_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predictions(spark, sf_dir).withColumn("x", F.explode(pairs.perturbed(1)))
+    return rows.groupBy("x.type").agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH a AS (SELECT event_id::VARCHAR AS id, 'on_policy' AS type FROM events WHERE event_id % 50 = 0), b AS (SELECT event_id::VARCHAR AS id, event_type AS type FROM events WHERE event_id % 50 <> 0), u AS (SELECT *, 0 AS place FROM a UNION ALL SELECT *, 1 FROM b) SELECT id, type FROM u ORDER BY place, {SQL_HASH.format(x=chr(39) + '7|' + chr(39) + ' || id || ' + chr(39) + '|' + chr(39) + ' || type')}, id LIMIT 500")
+def capped_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select("event_id", F.col("event_id").cast("string").alias("id"), "event_type")
+    first = e.where("event_id % 50 = 0").select("id", F.lit("on_policy").alias("type"))
+    rest = e.where("event_id % 50 <> 0").select("id", F.col("event_type").alias("type"))
+    return pairs.capped_union(first, rest, 500, seed=7)
+
+
+@_query(f"SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {SQL_HASH.format(x=chr(39) + '3|' + chr(39) + ' || event_id')}, event_id) AS nth FROM events) WHERE nth <= 20")
+def sample_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.per_group(_table(spark, sf_dir, "events").select("event_id", "event_type"), F.col("event_type"), F.col("event_id"), 20, seed=3)
+
+
+@_query("SELECT event_type, median(value) AS p50, list(value ORDER BY value)[least(count(*), floor(0.95::DOUBLE * count(*))::BIGINT + 1)] AS p95, count(*) AS n FROM events GROUP BY event_type")
+def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("p50"), F.array_sort(F.collect_list("value")).alias("x"), F.count("*").alias("n"))
+    return rows.select("event_type", "p50", metrics.percentile_at(F.col("x"), 0.95).alias("p95"), "n")
+
+
+@_query(_SQL_JUDGED + """SELECT 'n' AS measure, '' AS value, count(*) AS n FROM m UNION ALL SELECT 'scenario', event_type, count(*) FROM m GROUP BY event_type UNION ALL SELECT 'kind', g, count(*) FROM m GROUP BY g
+UNION ALL SELECT 'style', 'standard', count(*) FROM m UNION ALL SELECT 'tool', tool, count(*) FROM m WHERE g = 'call' GROUP BY tool""")
+def dataset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataset.stats(_predictions(spark, sf_dir))
+
+
+@_query("SELECT event_id, event_type FROM events WHERE event_id % 3 <> 0")
+def resume_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select("event_id", "event_type")
+    return rows.join(rows.where("event_id % 3 = 0").select("event_id"), "event_id", "left_anti")
+
+
+def _sql_weighted(weights: dict[str, float], u: str) -> str:
+    total, below, out = sum(weights.values()), 0.0, "CASE"
+    for k in list(weights)[:-1]:
+        below += weights[k]
+        out += f" WHEN ({u}) * {total!r}::DOUBLE < {below!r}::DOUBLE THEN '{k}'"
+    return out + f" ELSE '{list(weights)[-1]}' END"
+
+
+def _sql_unit(expr: str) -> str:
+    return SQL_HASH.format(x=expr)
+
+
+@_query(f"SELECT 's' || lpad(i::VARCHAR, 6, '0') AS id, {_sql_weighted(seeds.SCENARIOS, _sql_unit(chr(39) + '0|' + chr(39) + ' || i || ' + chr(39) + '|scenario' + chr(39)))} AS scenario, {_sql_weighted(seeds.STYLE_WEIGHTS, _sql_unit(chr(39) + '0|' + chr(39) + ' || i || ' + chr(39) + '|style' + chr(39)))} AS style, true AS label_ok FROM range(500) t(i)")
+def seed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeds.sample_seeds(spark, 500).select("id", "scenario", "style", seeds.check_seed_label().alias("label_ok"))
+
+
+@_query(f"SELECT w, count(*) AS n FROM (SELECT {_sql_weighted({'a': 0.5, 'b': 0.3, 'c': 0.2}, _sql_unit(chr(39) + '9|' + chr(39) + ' || event_id'))} AS w FROM events) GROUP BY w")
+def weighted_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select(T.weighted({"a": 0.5, "b": 0.3, "c": 0.2}, T.unit(9, F.col("event_id"))).alias("w"))
+    return rows.groupBy("w").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT conv_id, turn, n_prompt::INTEGER AS n_masked, n_prompt + n_words AS n_ids FROM (SELECT conv_id, turn, turn % 7 AS n_prompt, len(string_split(text, ' ')) AS n_words FROM conversations) WHERE n_prompt + n_words <= 64")
+def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = F.transform(F.split("text", " ", -1), lambda w: F.length(w))
+    prompt = F.array_repeat(F.lit(1), (F.col("turn") % 7).cast("int"))
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", chat.token_rows(prompt, ids, 64).alias("x")).where("x IS NOT NULL")
+    return rows.select("conv_id", "turn", F.size(F.filter("x.labels", lambda v: v == -100)).alias("n_masked"), F.size("x.input_ids").cast("long").alias("n_ids"))
+
+
+@_query("SELECT event_id, (CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE false END) AS same FROM events")
+def argument_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number, its text, another number, true: only the first two are the level that was meant."""
+    k, level = F.col("event_id") % 4, (F.col("event_id") % 30).cast("string")
+    said = F.when(k == 0, level).when(k == 1, F.concat(F.lit('" '), level, F.lit(' "'))).when(k == 2, F.concat(level, F.lit(".5"))).otherwise(F.lit("true"))
+    rows = _table(spark, sf_dir, "events").select("event_id", F.parse_json(level).alias("g"), F.parse_json(said).alias("p"))
+    return rows.select("event_id", V.arg_equal(F.lit("set_volume"), F.lit("level"), F.col("g"), F.col("p")).alias("same"))
+
+
+@_query()
+def tool_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.tools_frame(spark)
+
+
+@_query()
+def alias_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.aliases_frame(spark)
