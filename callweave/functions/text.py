@@ -210,7 +210,7 @@ def unit(*parts: Column | str | int) -> Column:
 
 def pick(options: Column, u: Column) -> Column:
     """The element of an array at a number in [0, 1)."""
-    return F.element_at(options, (F.floor(u * F.size(options)) + 1).cast("int"))
+    return F.try_element_at(options, (F.floor(u * F.size(options)) + 1).cast("int"))
 
 
 def weighted(weights: dict[str, float], u: Column) -> Column:

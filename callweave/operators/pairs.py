@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions.rules import action
-from ..functions.text import pick, unit
+from ..functions.text import let, once, pick, unit
 from ..functions.values import CALLS, actions_match, as_double, as_text, kind
 from .chat import assistant_message, message, record_messages
 
@@ -45,6 +45,7 @@ def _json_text(s: Column) -> Column:
     return F.to_json(s.cast("variant"))
 
 
+@once
 def other_value(tool: Column, param: Column, value: Column, u: Column) -> Column:
     """Another value of a parameter, by chance: of its choices, its range or its pool; null if there is none."""
     choices, lows, highs = {}, {}, {}
@@ -69,6 +70,7 @@ def other_value(tool: Column, param: Column, value: Column, u: Column) -> Column
     )
 
 
+@once
 def wrong_unit(arguments: Column) -> Column:
     """Arguments with the first positive of temperature, level, percent times ten, else minutes of an hour or more as hours; null if neither is there."""
     get = lambda k: F.try_element_at(arguments, F.lit(k))
@@ -88,38 +90,58 @@ def perturbed(seed: int = 0) -> Column:
     gold, own = F.col("gold"), F.col("seed")
     calls = gold["calls"]
     n = F.size(calls)
-    at = F.floor(u("call") * n).cast("int") + 1
-    c = F.try_element_at(calls, F.greatest(at, F.lit(1)))
     call = lambda name, arguments: F.struct(name.alias("name"), arguments.alias("arguments"))
-    with_call = lambda new: action(F.lit("call"), F.transform(calls, lambda x, i: F.when(i + 1 == at, new).otherwise(x)).cast(CALLS))
     variant = lambda kind_, cond, act: F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(kind_).alias("type"), act.alias("action")))
-    sure = F.lit(True)
-    confusable = R.lookup({k: R.literal(v) for k, v in CONFUSABLE.items()}, c["name"])
-    free = [f"{a}.{b}" for a, b in R.FREE_TEXT]
-    keys = F.filter(F.map_keys(c["arguments"]), lambda k: ~F.concat(c["name"], F.lit("."), k).isin(*free))
-    key = pick(keys, u("key"))
-    value = other_value(c["name"], key, F.try_element_at(c["arguments"], key), u("value"))
     put = lambda m, k, v: F.map_zip_with(m, F.create_map(k, v), lambda _, a, b: F.coalesce(b, a))
-    required = F.coalesce(R.lookup({t.name: R.literal(t.required) for t in R.TOOLS}, c["name"]), F.array().cast("array<string>"))
-    lost = pick(required, u("lost"))
-    is_call, seed_call = gold["kind"] == "call", F.try_element_at(own["calls"], F.lit(1))
+    free = [f"{a}.{b}" for a, b in R.FREE_TEXT]
+    at = F.floor(u("call") * n).cast("int") + 1
+    picked = F.struct(at.alias("at"), F.try_element_at(calls, F.greatest(at, F.lit(1))).alias("c"))
+
+    def with_slot(x: Column) -> Column:
+        keys = F.filter(F.map_keys(x["c"]["arguments"]), lambda k: ~F.concat(x["c"]["name"], F.lit("."), k).isin(*free))
+        return F.struct(x["at"].alias("at"), x["c"].alias("c"), pick(keys, u("key")).alias("key"))
+
+    def with_values(x: Column) -> Column:
+        c = x["c"]
+        return F.struct(
+            x["at"].alias("at"),
+            c.alias("c"),
+            x["key"].alias("key"),
+            F.when(x["key"].isNotNull(), other_value(c["name"], x["key"], F.try_element_at(c["arguments"], x["key"]), u("value"))).alias("value"),
+            wrong_unit(c["arguments"]).alias("scaled"),
+            R.lookup({k: R.literal(v) for k, v in CONFUSABLE.items()}, c["name"]).alias("confusable"),
+            F.coalesce(R.lookup({t.name: R.literal(t.required) for t in R.TOOLS}, c["name"]), F.array().cast("array<string>")).alias("required"),
+        )
+
+    def of_call(x: Column) -> Column:
+        c = x["c"]
+        with_call = lambda new: action(F.lit("call"), F.transform(calls, lambda y, i: F.when(i + 1 == x["at"], new).otherwise(y)).cast(CALLS))
+        lost = pick(x["required"], u("lost"))
+        return F.array(
+            variant("wrong_tool", x["confusable"].isNotNull(), with_call(call(pick(x["confusable"], u("confusable")), c["arguments"]))),
+            variant("hallucinated_tool", n > 0, with_call(call(pick(R.literal(FAKE_TOOLS), u("fake")), c["arguments"]))),
+            variant("wrong_value", x["value"].isNotNull(), with_call(call(c["name"], put(c["arguments"], F.coalesce(x["key"], F.lit("")), x["value"])))),
+            variant("wrong_unit", x["scaled"].isNotNull(), with_call(call(c["name"], x["scaled"]))),
+            variant("missing_arg", F.size(x["required"]) > 0, with_call(call(c["name"], F.map_filter(c["arguments"], lambda k, v: k != lost)))),
+            variant("dropped_call", n > 1, action(F.lit("call"), F.slice(calls, 1, 1))),
+            variant("over_refuse", F.col("scenario") != "law", action(F.lit("refuse"), None, F.lit(OVER_REFUSE))),
+        )
+
+    seed_call = F.try_element_at(own["calls"], F.lit(1))
     has_seed = F.coalesce(F.size(own["calls"]), F.lit(0)) > 0
     slot = F.coalesce(own["omitted"], F.lit(""))
     guess = F.coalesce(own["omitted_value"], other_value(seed_call["name"], own["omitted"], F.lit(None).cast("variant"), u("guess")))
     comply = action(F.lit("call"), own["calls"])
     fake = F.array(call(pick(R.literal(CHITCHAT_FAKE_TOOLS), u("fake")), F.create_map(F.lit("query"), _as_variant(_json_text(F.col("user")))))).cast(CALLS)
-    found = F.array(
-        variant("wrong_tool", is_call & confusable.isNotNull(), with_call(call(pick(confusable, u("confusable")), c["arguments"]))),
-        variant("hallucinated_tool", is_call & (n > 0), with_call(call(pick(R.literal(FAKE_TOOLS), u("fake")), c["arguments"]))),
-        variant("wrong_value", is_call & (F.size(keys) > 0) & value.isNotNull(), with_call(call(c["name"], put(c["arguments"], F.coalesce(key, F.lit("")), value)))),
-        variant("wrong_unit", is_call & wrong_unit(c["arguments"]).isNotNull(), with_call(call(c["name"], wrong_unit(c["arguments"])))),
-        variant("missing_arg", is_call & (F.size(required) > 0), with_call(call(c["name"], F.map_filter(c["arguments"], lambda k, v: k != lost)))),
-        variant("dropped_call", is_call & (n > 1), action(F.lit("call"), F.slice(calls, 1, 1))),
-        variant("over_refuse", is_call & (F.col("scenario") != "law"), action(F.lit("refuse"), None, F.lit(OVER_REFUSE))),
-        variant("guess_instead_of_ask", (gold["kind"] == "ask") & has_seed & (slot != ""), action(F.lit("call"), F.array(call(seed_call["name"], put(seed_call["arguments"], slot, guess))).cast(CALLS))),
-        variant("skip_confirm", (gold["kind"] == "ask") & has_seed & (slot == ""), comply),
-        variant("comply_unsafe", (gold["kind"] == "refuse") & has_seed, comply),
-        variant("spurious_call", (gold["kind"] == "reply") & sure, action(F.lit("call"), fake)),
+    of_ask = F.array(
+        variant("guess_instead_of_ask", has_seed & (slot != ""), action(F.lit("call"), F.array(call(seed_call["name"], put(seed_call["arguments"], slot, guess))).cast(CALLS))),
+        variant("skip_confirm", has_seed & (slot == ""), comply),
+    )
+    found = (
+        F.when(gold["kind"] == "call", let(let(let(picked, with_slot), with_values), of_call))
+        .when(gold["kind"] == "ask", of_ask)
+        .when(gold["kind"] == "refuse", F.array(variant("comply_unsafe", has_seed, comply)))
+        .when(gold["kind"] == "reply", F.array(variant("spurious_call", F.lit(True), action(F.lit("call"), fake))))
     )
     return F.filter(F.array_compact(found), lambda x: ~actions_match(gold, x["action"]))
 

@@ -301,17 +301,14 @@ FROM m GROUP BY event_type
 def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _predictions(spark, sf_dir).withColumn("by", F.col("scenario"))
     out = metrics.compute_metrics(rows, "pred", ["by"])
-    call = F.col("gold.kind") == "call"
-    counts = rows.where(call).groupBy("by").agg(*(F.sum(V.arg_counts(F.col("gold.calls"), F.col("pred.calls"))[c]).alias(c) for c in ("tp", "fp", "fn")))
-    out = out.join(counts, "by", "left")
-    return out.select(F.col("by").alias("scenario"), "n", "format_valid", "kind_acc", "exact", "args_exact", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fp", "fn")))
+    return out.select(F.col("by").alias("scenario"), "n", "format_valid", "kind_acc", "exact", "args_exact", "tp", "fp", "fn")
 
 
-@_query(_SQL_JUDGED + "SELECT g AS gold_kind, count(*) AS n FROM m WHERE NOT (g = p AND (g <> 'call' OR n_pred = 1)) OR k IN (4, 5) GROUP BY g")
+@_query(_SQL_JUDGED + "SELECT g = 'call' AS chosen_calls, k = 4 AS malformed, count(*) AS n FROM m WHERE NOT (g = p AND (g <> 'call' OR n_pred = 1)) OR k IN (4, 5) GROUP BY g = 'call', k = 4")
 def on_policy_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _predictions(spark, sf_dir)
     mined = pairs.mine_on_policy(rows.drop("pred"), rows.select("id", "pred"))
-    return mined.join(rows.select("id", F.col("gold.kind").alias("gold_kind")), "id").groupBy("gold_kind").agg(F.count("*").alias("n"))
+    return mined.groupBy(F.col("chosen.tool_calls").isNotNull().alias("chosen_calls"), F.startswith("rejected.content", F.lit("<tool_call>")).alias("malformed")).agg(F.count("*").alias("n"))
 
 
 @_query(_SQL_JUDGED + """, t AS (SELECT g, unnest(list_filter(CASE g
