@@ -25,6 +25,10 @@ _OWN_DIR: dict[str, str] = {}
 TEXT_ROWS, BLOB_ROWS, NUMBER_ROWS = 256, 16, 10_000
 
 
+#: Writer options for rows of large blobs: pages and row groups are measured after each row.
+BLOB_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+
+
 def ship(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Put this package on the executors, and set the session's Arrow batches for what runs next."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -4,10 +4,9 @@ The count tables of unigrams and bigrams are partitioned by hash, and documents'
 questions of `packed`: a slice of documents asks each hash partition for the corpus counts of its distinct n-grams, with
 its own counts of them; a partition adds up the counts of all slices and answers. A slice then scores each of its words:
 
-  S(w | v) = c(v w) / c(v as a context)  if c(v w) >= least,  else  backoff * c(w) / N.
+  S(w | v) = c(v w) / c(v)  if c(v w) >= least,  else  backoff * c(w) / N.
 
-A word without one before it in its document is scored by its unigram. c(v as a context) is the sum of c(v w) over w,
-which is asked for as a third kind of n-gram. A document's score is the sum of ln S over its words, each rounded to
+A word without one before it in its document is scored by its unigram alone. A document's score is the sum of ln S over its words, each rounded to
 UNITS of a nat, so that sums do not depend on any order; perplexity is exp(-score / words).
 
 Words are runs of bytes other than 9 to 13 and 32, A-Z lower-cased. Null texts and texts without words have score 0 and
@@ -31,20 +30,18 @@ LEAST, BACKOFF = 2, 0.4
 #: Units of a nat.
 UNITS = 1_000_000
 _LOWER = bytes(range(256)).lower()
-#: What is counted: words, words with another after them, and pairs.
-_KINDS = tuple(np.uint64(x) for x in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B))
+#: What is counted: words and pairs.
+_KINDS = tuple(np.uint64(x) for x in (0x6A09E667F3BCC908, 0x3C6EF372FE94F82B))
 
 
-def _grams(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice: words in each text; for each word the hashes of word, of the word before as a context and of the pair (for a text's first word: unused)."""
+def _grams(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice: words in each text; for each word the hashes of the word and of the pair with the word before (for a text's first word: unused)."""
     words, counts = split(packed.texts_of(row), _LOWER)
     h = hashes(words, int(counts.sum()))
-    one, context, pair = (np.zeros(len(h), np.uint64) for _ in range(3))
-    one[:] = mix(h ^ _KINDS[0])
+    one, pair = mix(h ^ _KINDS[0]), np.zeros(len(h), np.uint64)
     if len(h) > 1:
-        context[1:] = mix(h[:-1] ^ _KINDS[1])
-        pair[1:] = mix(runs(h, 2) ^ _KINDS[2])
-    return counts, one, context, pair
+        pair[1:] = mix(runs(h, 2) ^ _KINDS[1])
+    return counts, one, pair
 
 
 def _follows(counts: np.ndarray) -> np.ndarray:
@@ -68,9 +65,8 @@ def _uncoded(data: bytes, size: int) -> np.ndarray:
 
 def _asked(row: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-gram hashes of a slice, ascending, and its counts of them."""
-    counts, one, context, pair = _grams(row)
-    follows = _follows(counts)
-    return np.unique(np.concatenate((one, context[follows], pair[follows])), return_counts=True)
+    counts, one, pair = _grams(row)
+    return np.unique(np.concatenate((one, pair[_follows(counts)])), return_counts=True)
 
 
 def counted(slices: packed.Slices, parts: int) -> DataFrame:
@@ -79,12 +75,12 @@ def counted(slices: packed.Slices, parts: int) -> DataFrame:
     def ask(row: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
         keys, n = _asked(row)
         for p, a, b in packed.cut(keys, parts):
-            yield p, np.array([b - a], "<i8").tobytes() + keys[a:b].tobytes() + _coded(n[a:b])
+            yield p, np.array([b - a], "<i8").tobytes() + packed.stripped(keys[a:b]) + _coded(n[a:b])
 
     def answer(part: int, numbers: list[int], questions: list[bytes]) -> Iterator[tuple[int, bytes]]:
         sizes = [int(np.frombuffer(q, "<i8", 1)[0]) for q in questions]
-        keys = np.concatenate([np.frombuffer(q, np.uint64, s, 8) for q, s in zip(questions, sizes, strict=True)])
-        n = np.concatenate([_uncoded(q[8 + 8 * s :], s) for q, s in zip(questions, sizes, strict=True)])
+        keys = np.concatenate([packed.unstripped(q[8:], s) for q, s in zip(questions, sizes, strict=True)])
+        n = np.concatenate([_uncoded(q[8 + 7 * s :], s) for q, s in zip(questions, sizes, strict=True)])
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
@@ -116,7 +112,7 @@ def scored(docs: DataFrame, least: int = LEAST, backoff: float = BACKOFF) -> Dat
         for b in it:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                counts, one, context, pair = _grams(row)
+                counts, one, pair = _grams(row)
                 keys, own = _asked(row)
                 of = np.zeros(len(keys), np.int64)
                 got = {a["part"]: a["answer"] for a in row.column(row.schema.get_field_index("answers"))[0].as_py() or ()}
@@ -124,12 +120,12 @@ def scored(docs: DataFrame, least: int = LEAST, backoff: float = BACKOFF) -> Dat
                     of[lo:hi] = _uncoded(got[p], hi - lo)
                 follows = _follows(counts)
                 c_one = of[np.searchsorted(keys, one)]
-                c_pair, c_context = np.zeros((2, len(one)), np.int64)
+                c_pair = np.zeros(len(one), np.int64)
                 c_pair[follows] = of[np.searchsorted(keys, pair[follows])]
-                c_context[follows] = of[np.searchsorted(keys, context[follows])]
+                c_before = np.concatenate(([1], c_one[:-1])) if len(one) else c_one
                 known = c_pair >= least
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    value = np.where(known, c_pair / np.maximum(c_context, 1), np.where(follows, backoff, 1.0) * c_one / max(total, 1))
+                    value = np.where(known, c_pair / c_before, np.where(follows, backoff, 1.0) * c_one / max(total, 1))
                 units = np.round(np.log(value) * UNITS).astype(np.int64)
                 ends = np.cumsum(counts)
                 sums = np.concatenate(([0], np.cumsum(units)))

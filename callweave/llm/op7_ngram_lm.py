@@ -22,15 +22,13 @@ WITH d AS (
   SELECT word, count(*) AS c FROM t GROUP BY word
 ), pair AS (
   SELECT prev, word, count(*) AS c FROM t WHERE prev IS NOT NULL GROUP BY prev, word
-), context AS (
-  SELECT prev, sum(c) AS c FROM pair GROUP BY prev
 ), total AS (
   SELECT count(*) AS n FROM t
 ), s AS (
   SELECT t.doc_id, coalesce(pair.c >= 2, false) AS known,
-    CASE WHEN pair.c >= 2 THEN pair.c::DOUBLE / context.c ELSE CASE WHEN t.prev IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END * one.c / total.n END AS v
+    CASE WHEN pair.c >= 2 THEN pair.c::DOUBLE / before.c ELSE CASE WHEN t.prev IS NULL THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END * one.c / total.n END AS v
   FROM t JOIN one ON t.word = one.word CROSS JOIN total
-  LEFT JOIN pair ON t.prev = pair.prev AND t.word = pair.word LEFT JOIN context ON t.prev = context.prev
+  LEFT JOIN pair ON t.prev = pair.prev AND t.word = pair.word LEFT JOIN one AS before ON t.prev = before.word
 ), sums AS (
   SELECT doc_id, count(*) FILTER (NOT known) AS b, sum(round(ln(v) * 1000000)::BIGINT)::BIGINT AS u FROM s GROUP BY doc_id
 )

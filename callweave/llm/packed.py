@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_ROWS, batches, drop, scratch, ship, utf8
+from .common import BLOB_PAGES, BLOB_ROWS, batches, drop, scratch, ship, utf8
 
 #: Bytes of text in a slice; a longer document is a slice of its own.
 SLICE = 2 << 20
@@ -71,7 +71,7 @@ class Slices:
 
     def partitions(self, entry_bytes: int = 6) -> int:
         """Hash partitions, a power of two, for one entry each entry_bytes of text."""
-        return int(min(MOST, 1 << max(4, (self.text_bytes // entry_bytes // PARTITION).bit_length())))
+        return int(min(MOST, 1 << max(8, (self.text_bytes // entry_bytes // PARTITION).bit_length())))
 
     def drop(self) -> None:
         spark = self.frame.sparkSession
@@ -110,7 +110,14 @@ def sliced(docs: DataFrame, size: int = SLICE) -> Slices:
             yield row()
 
     name, path = f"slices_{uuid.uuid4().hex}", scratch(spark, "slices")
-    rows.mapInArrow(run, "slice long, ids array<long>, lengths array<int>, texts binary, bytes long").write.format("parquet").option("compression", "none").option("path", path).bucketBy(buckets, "slice").saveAsTable(name)
+    writer = rows.mapInArrow(run, "slice long, ids array<long>, lengths array<int>, texts binary, bytes long").write.format("parquet")
+    # a task writes one bucket: no sort of blobs; and pages end by their size, not after a hundred blobs
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0")
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")
+    try:
+        writer.options(**BLOB_PAGES).option("compression", "none").option("path", path).bucketBy(buckets, "slice").saveAsTable(name)
+    finally:
+        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", before)
     frame = spark.table(name)
     total = frame.agg(F.sum("bytes")).first()[0] or 0
     ship(spark, BLOB_ROWS)
@@ -178,6 +185,18 @@ def joined(slices: DataFrame, answers: DataFrame) -> DataFrame:
     return slices.join(answers.hint("shuffle_hash"), "slice", "left")
 
 
+def stripped(keys: np.ndarray) -> bytes:
+    """Hashes of one of 256 partitions or more, without the first byte, which the partition tells."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def unstripped(data: bytes, size: int) -> np.ndarray:
+    """The stripped hashes at the beginning of data, with 0 for the byte."""
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :7] = np.frombuffer(data, np.uint8, 7 * size).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
 def cut(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     """Of sorted 64-bit hashes: (hash partition, from, to), by their upper bits; partitions without any are left out."""
     shift = np.uint64(64 - (parts.bit_length() - 1))
@@ -186,4 +205,4 @@ def cut(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
         yield p, int(edges[p]), int(edges[p + 1])
 
 
-__all__ = ["Slices", "answered", "asked", "cut", "ids_of", "joined", "murmur3", "sliced", "texts_of"]
+__all__ = ["Slices", "answered", "asked", "cut", "ids_of", "joined", "murmur3", "sliced", "stripped", "texts_of", "unstripped"]

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOB_ROWS, batches, ship, utf8
+from .common import BLOB_PAGES, BLOB_ROWS, batches, ship, utf8
 from .tokens import END_ID, default_path, encoder
 from .wavelet import WaveletMatrix
 
@@ -71,7 +71,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t").mapInArrow(run, SCHEMA).write.option("compression", "snappy").parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t").mapInArrow(run, SCHEMA).write.options(**BLOB_PAGES).option("compression", "snappy").parquet(path)
 
 
 def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
