@@ -44,8 +44,14 @@ def as_text(v: Column) -> Column:
 
 
 def arguments_of(json: Column) -> Column:
-    """The object in a JSON text as map<string, variant>, in its order of keys; null if it is none."""
-    return F.from_json(json, "map<string,variant>")
+    """The object in a JSON text as map<string, variant>, in its order of keys, the last of equal ones; null if it is none."""
+
+    def last(m: Column) -> Column:
+        entries = F.map_entries(m)
+        kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda f: f["key"] == e["key"]))
+        return F.when(F.size(F.array_distinct(F.map_keys(m))) < F.size(m), F.map_from_entries(kept)).otherwise(m)
+
+    return let(F.from_json(json, "map<string,variant>"), last)
 
 
 def spelled(x: Column) -> Column:
