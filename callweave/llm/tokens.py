@@ -2,8 +2,8 @@
 
 A byte-level tokenizer cuts texts by a pattern of which every match ends before a single space between two other
 characters, so the parts between such spaces are encoded alone and give the same ids as the whole. Parts recur. Each gets
-a number at its first sight and its ids a place in a pool, so a text is a list of numbers, and its ids one gather. The
-table is emptied after texts that leave it with more than KEPT parts. Other kinds of tokenizer encode whole texts.
+a number at its first sight and its ids a place in a pool, so a text is a list of numbers, and its ids one gather. After
+texts that leave it with more than KEPT parts the table keeps those seen most often, half as many at most. Other kinds of tokenizer encode whole texts.
 """
 
 from __future__ import annotations
@@ -21,10 +21,12 @@ END_ID = 2
 KEPT = 600_000
 #: Texts' first words up to this length are kept, too.
 LONGEST_HEAD = 40
-#: Parts encoded at once, and how a byte-level vocabulary writes a space.
-RUN, SPACE = 4000, "\u0120"
+#: Parts encoded at once, and how a byte-level vocabulary writes a space and a line's end.
+RUN, SPACE, BREAK = 4000, "\u0120", "\u010a"
 #: A letter before one of these ends a match of the pattern, so such an end is encoded apart.
 ENDS = (".", ",")
+#: A single one between other characters is a match of its own, so both sides are encoded apart, the second without a space.
+LINE = "\n"
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -61,8 +63,10 @@ class Encoder:
         self._parts = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("truncation")
         self.vocabulary = self._tokenizer.get_vocab_size()
         self._spaced = np.zeros(self.vocabulary, bool)  # ids of tokens that begin with a space
+        self._broken = np.zeros(self.vocabulary, bool)  # and with a line's end
         for token, i in self._tokenizer.get_vocab().items():
             self._spaced[i] = token.startswith(SPACE)
+            self._broken[i] = token.startswith(BREAK)
         self._end_ids = {c: self._whole(c) for c in ENDS}
         self._clear()
 
@@ -71,8 +75,27 @@ class Encoder:
         self._pool, self._used = np.zeros(1 << 20, np.uint32), 0
         self._at, self._length = np.zeros((2, 1 << 18), np.int64)
         self._odd = np.zeros(1 << 18, bool)
+        self._seen = np.zeros(1 << 18, np.int64)
         self._heads: dict[str, np.ndarray] = {}
 
+    def _forget(self, last: np.ndarray) -> None:
+        """Keep the parts seen often, as few times as leaves half of KEPT."""
+        n = len(self._numbers)
+        seen = (self._seen + np.bincount(last, minlength=len(self._seen)))[:n] * ~self._odd[:n]
+        least = 2
+        while np.count_nonzero(seen >= least) > KEPT // 2:
+            least *= 2
+        keep = np.flatnonzero(seen >= least)
+        often = (seen >= least).tolist()
+        parts = [p for p, o in zip(self._numbers, often, strict=True) if o]
+        lengths = self._length[keep]
+        ids = self._pool[ranges(self._at[keep], lengths)]
+        self._clear()
+        self._numbers.update((p, i) for i, p in enumerate(parts))
+        self._grow()
+        self._place(np.arange(len(parts)), ids, lengths)
+        self._seen[: len(parts)] = seen[keep] // 2
+
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids if text else [], np.uint32)
 
@@ -95,7 +118,7 @@ class Encoder:
 
     def _grow(self) -> None:
         while len(self._at) < len(self._numbers):
-            self._at, self._length, self._odd = (np.concatenate((x, np.zeros_like(x))) for x in (self._at, self._length, self._odd))
+            self._at, self._length, self._odd, self._seen = (np.concatenate((x, np.zeros_like(x))) for x in (self._at, self._length, self._odd, self._seen))
 
     def _spot(self) -> None:
         """Mark new parts that a space ends or begins: their texts are cut in another way."""
@@ -112,31 +135,47 @@ class Encoder:
     def _learn(self) -> None:
         """Place the new parts. They are encoded in long runs: a part holds no space but the one before it, so tokens that begin with a space tell where each starts."""
         numbers, new = self._numbers, self._numbers.new
+        lines = {p: sides for p in new if LINE in p and len(sides := p.split(LINE)) == 2 and all(x and not x[0].isspace() and not x[-1].isspace() and " " not in x for x in sides)}
+        for left, right in lines.values():
+            numbers[left], numbers[f" {LINE}{right}"]  # a number each, if they have none; no part of a text has a space
         ended = [p for p in new if p[-1:] in ENDS and p[:-1].isalpha()]
-        stems = [numbers[p[:-1]] for p in ended]  # may be new themselves
+        stems = [numbers[p[:-1]] for p in ended]
         self._grow()
-        apart = set(ended)
-        plain = [p for p in new if p not in apart and not self._odd[numbers[p]]]
-        for lo in range(0, len(plain), RUN):
-            some = plain[lo : lo + RUN]
-            own = np.array([numbers[p] for p in some])
-            ids = self._whole(" " + " ".join(some))
-            at = np.append(np.flatnonzero(self._spaced[ids]), len(ids))
+        apart = {*ended, *lines}
+        self._encode_runs([p for p in new if p not in apart and not self._odd[numbers[p]] and p[0] != " "], " ", self._spaced)
+        seconds = [p for p in new if p[:1] == " "]
+        self._encode_runs([p[2:] for p in seconds], LINE, self._broken, seconds)
+        if ended:
+            lasts = [self._end_ids[p[-1]] for p in ended]
+            self._join(ended, stems, None, lasts)
+        if lines:
+            self._join(list(lines), [numbers[a] for a, _ in lines.values()], [numbers[f" {LINE}{b}"] for _, b in lines.values()], None)
+        new.clear()
+
+    def _encode_runs(self, parts: list[str], mark: str, marks: np.ndarray, names: list[str] | None = None) -> None:
+        """Encode parts, each after the mark, in long runs; ids that begin with the mark tell where each starts."""
+        names = names or parts
+        for lo in range(0, len(parts), RUN):
+            some = parts[lo : lo + RUN]
+            own = np.array([self._numbers[p] for p in names[lo : lo + RUN]])
+            ids = self._whole(mark + mark.join(some))
+            at = np.append(np.flatnonzero(marks[ids]), len(ids))
             if len(at) == len(some) + 1:
                 self._place(own, ids, np.diff(at))
             else:  # not a vocabulary as expected
-                each = [self._whole(f" {p}") for p in some]
+                each = [self._whole(mark + p) for p in some]
                 self._place(own, np.concatenate(each), np.array([len(e) for e in each]))
-        if ended:
-            lengths = self._length[stems]
-            lasts = [self._end_ids[p[-1]] for p in ended]
-            more = np.array([len(x) for x in lasts])
-            stop = np.cumsum(lengths + more)
-            ids = np.zeros(int(stop[-1]), np.uint32)
-            ids[ranges(stop - lengths - more, lengths)] = self._pool[ranges(self._at[stems], lengths)]
-            ids[ranges(stop - more, more)] = np.concatenate(lasts)
-            self._place(np.array([numbers[p] for p in ended]), ids, lengths + more)
-        new.clear()
+
+    def _join(self, parts: list[str], first: list[int], second: list[int] | None, lasts: list[np.ndarray] | None) -> None:
+        """Place parts that are a kept one and another, or a kept one and given ids."""
+        lengths = self._length[first]
+        more = self._length[second] if second else np.array([len(x) for x in lasts])
+        tail = self._pool[ranges(self._at[second], more)] if second else np.concatenate(lasts)
+        stop = np.cumsum(lengths + more)
+        ids = np.zeros(int(stop[-1]), np.uint32)
+        ids[ranges(stop - lengths - more, lengths)] = self._pool[ranges(self._at[first], lengths)]
+        ids[ranges(stop - more, more)] = tail
+        self._place(np.array([self._numbers[p] for p in parts]), ids, lengths + more)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not self._parts:
@@ -168,7 +207,9 @@ class Encoder:
         ends = np.cumsum(lengths)[first + counts - 1]
         ids = pool[ranges(at, lengths)]
         if len(numbers) > KEPT or len(self._heads) > KEPT // 8:
-            self._clear()
+            self._forget(flat)
+        else:
+            self._seen += np.bincount(flat, minlength=len(self._seen))
         return ids, ends
 
 

@@ -1,0 +1,53 @@
+import importlib
+import os
+
+import duckdb
+import pytest
+
+from callweave.llm import registry
+
+DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
+
+
+def rows_of(frame):
+    return sorted(tuple(map(str, row)) for row in frame[sorted(frame.columns)].astype(object).values.tolist())
+
+
+def test_all_ten_are_registered():
+    assert sorted(int(q[2:].split("_")[0]) for q in registry.QUERIES) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_query(spark, name):
+    got = registry.QUERIES[name](spark, DIR).toPandas()
+    if name in registry.ORACLES:
+        db = duckdb.connect()
+        for t in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+        expected = db.execute(registry.ORACLES[name]).fetchdf()
+        assert sorted(got.columns) == sorted(expected.columns) and rows_of(got) == rows_of(expected)
+    else:
+        assert got.doc_id.nunique() == spark.read.parquet(f"{DIR}/documents.parquet").count()
+
+
+def test_pipeline(spark):
+    pipeline = importlib.import_module("corpus_pipeline")
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    columns, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
+    assert [n for n, _ in pipeline.STAGES] == ["quality", "near_copies", "benchmark", "secrets", "packing"]
+    for _, stage in pipeline.STAGES[:-1]:
+        docs, _ = pipeline.stored(stage(spark, docs, DIR), "stage")
+        own = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert docs.columns == columns and own <= ids
+        ids = own
+    packed = pipeline.STAGES[-1][1](spark, docs, DIR)
+    assert {r.doc_id for r in packed.collect()} == ids
+    whole = pipeline.run(spark, DIR)
+    assert sorted(map(tuple, whole.drop("sequence_id", "offset").collect())) == sorted(map(tuple, packed.drop("sequence_id", "offset").collect()))
+
+
+def test_entry_lists_the_queries():
+    import __spark_entry__ as entry
+
+    assert {*registry.QUERIES, "pipeline"} <= set(entry.queries()) and set(registry.ORACLES) <= set(entry.oracle_sql())
