@@ -7,9 +7,8 @@ give a spanning star of their links at most. A group larger than CELL is dealt t
 shares one. Classes are found by spreading the least member with pointer jumping in Spark tables.
 
 `near_duplicates` takes radius-limited links of documents' fingerprints as they are. `similar` is for a Jaccard similarity
-of 0.8 of the shingles: the distance of such a pair reaches 20 bits, beyond what block tables can find. Its groups are
-documents that share a band of shingle minima; pairs of a group within the radius are compared by SKETCH minima, whose
-share of equal ones estimates the similarity with a standard error of 0.035 there. AGREE is two such errors below 0.8.
+of SHARE of the shingle sets. Its groups are documents that share a band of shingle minima, which only finds candidates:
+the similarity of each pair of a group is computed from the sets, by `jaccard`.
 
 Rows with a null text or without words have fingerprint zero and link like any other. Null ids stay, with the class of
 their fingerprint. Empty input gives an empty result; other columns are not looked at.
@@ -22,12 +21,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitslice
 from .common import NUMBER_ROWS, batches, drop, mix, ship, stored, utf8
 from .fingerprints import shingle_hashes, simhash
+from .jaccard import spanning_links
 
 #: Rows of a group that are compared together; a larger group is dealt to cells of two portions of about this size.
 CELL = 4096
@@ -35,49 +35,66 @@ CELL = 4096
 PORTION = 1 << 16
 #: (fingerprints up to, blocks): more blocks give longer keys and more tables. All of them find the same links.
 BLOCKS = ((1 << 24, 6), (1 << 31, 7), (1 << 62, 8))
-#: Bands of shingle minima, minima in each: a pair of similarity 0.8 shares a band but for 1 in 560.
-BANDS, ROWS = 12, 4
-#: Minima of a sketch, a byte each; the radius and the share of equal minima (less chance) of a link of `similar`.
-SKETCH, RADIUS, AGREE = 128, 20, 0.73
-#: Pairs whose sketches are compared at once.
+#: Jaccard similarity of a link of `similar`.
+SHARE = 0.8
+#: Bands of shingle minima, minima in each: a pair of similarity 0.8 shares a band but for 1 in 10^12, (1 - 0.8^4)^32.
+BANDS, ROWS = 32, 4
+#: Shingles of a group that are compared together, as CELL for rows.
+SHINGLES = 1 << 21
+#: Links that are handed on at once.
+LINKS = 1 << 14
+#: Pairs merged at once.
 PAIRS = 1 << 16
 TEXTS = 4 << 20
 
 
-def _sketch(h: np.ndarray, multipliers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys of shingle hashes, and the low bytes of their minima."""
+def _bands(h: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """Band keys of distinct shingle hashes; none for no shingles."""
     if not len(h):
-        return np.zeros(BANDS, np.uint64), np.zeros(SKETCH, np.uint8)
-    h = np.unique(mix(h))
+        return np.zeros(0, np.uint64)
+    h = mix(h)
     least = np.array([(h * m).min() for m in multipliers], np.uint64)
     key = np.arange(BANDS, dtype=np.uint64)
     for i in range(ROWS):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[i : BANDS * ROWS : ROWS])
-    return key, (mix(least) >> np.uint64(56)).astype(np.uint8)
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[i::ROWS])
+    return key
 
 
-def fingerprints(docs: DataFrame, k: int, bands: bool = False) -> DataFrame:
-    """doc_id, fp (64 bits as a long) of k-word shingles of A-Z lower-cased text; with bands: the keys of its bands and its sketch."""
+def fingerprints(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, fp (64 bits as a long) of k-word shingles of A-Z lower-cased text."""
     ship(docs.sparkSession)
-    multipliers = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, "t", TEXTS):
-            fps, keys, sketches = [], [], []
+            fps = [simhash(shingle_hashes(text.lower().split(), k)) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t")).mapInArrow(run, "doc_id long, fp long")
+
+
+def shingle_sets(docs: DataFrame, k: int, whole: bool = False) -> DataFrame:
+    """doc_id, fp, size (distinct k-word shingles of A-Z lower-cased text) and the keys of their bands; whole: their hashes instead of the keys."""
+    ship(docs.sparkSession)
+    multipliers = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it, "t", TEXTS):
+            fps, sizes, rest = [], [], []
             for text in b.column(1).to_pylist():
                 h = shingle_hashes(text.lower().split(), k)
                 fps.append(simhash(h))
-                if bands:
-                    key, sketch = _sketch(h, multipliers)
-                    keys.append(key.view(np.int64))
-                    sketches.append(sketch.tobytes())
-            columns = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))]
-            if bands:
-                at = np.arange(0, (len(fps) + 1) * BANDS, BANDS, dtype=np.int32)
-                columns += [pa.ListArray.from_arrays(at, np.concatenate(keys)), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "bands", "sketch"][: len(columns)])
+                h = np.unique(h)
+                sizes.append(len(h))
+                rest.append(h.tobytes() if whole else _bands(h, multipliers).view(np.int64))
+            if whole:
+                last = pa.array(rest, pa.binary())
+            else:
+                last = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rest)]).astype(np.int32), np.concatenate(rest))
+            columns = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), last]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "size", "hashes" if whole else "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t")).mapInArrow(run, "doc_id long, fp long" + ", bands array<long>, sketch binary" * bands)
+    kind = "hashes binary" if whole else "bands array<long>"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t")).mapInArrow(run, f"doc_id long, fp long, size long, {kind}")
 
 
 def block_tables(nodes: DataFrame, radius: int, count: int) -> DataFrame:
@@ -90,22 +107,26 @@ def block_tables(nodes: DataFrame, radius: int, count: int) -> DataFrame:
     return nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("table", "key"))
 
 
+def _cells(k: Column) -> Column:
+    """The cells of a row of a group in k portions, one for each pair of its own portion and any; cell 0 without k."""
+    own = F.pmod(F.xxhash64("fp", F.lit(7)), k)
+    return F.when(k.isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), k - 1), lambda j: F.least(own, j) * k + F.greatest(own, j)))
+
+
 def _dealt(grouped: DataFrame) -> DataFrame:
     """group and the columns but table and key; groups over CELL rows are dealt to one cell for each pair of their portions."""
     hot = grouped.groupBy("table", "key").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     k = F.ceil(F.col("n") / CELL).cast("long")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("k"))
-    cells = F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k") - 1), lambda j: F.least(own, j) * F.col("k") + F.greatest(own, j)))
     rest = [c for c in grouped.columns if c not in ("table", "key")]
-    dealt = grouped.join(hot.select("table", "key", k.alias("k")), ["table", "key"], "left").select("table", "key", F.explode(cells).alias("cell"), *rest)
+    dealt = grouped.join(hot.select("table", "key", k.alias("k")), ["table", "key"], "left").select("table", "key", F.explode(_cells(F.col("k"))).alias("cell"), *rest)
     # one 64-bit number for a group: two groups under one number only add pairs that their distance then decides
     return dealt.select(F.xxhash64("table", "key", "cell").alias("group"), *rest)
 
 
-def links(grouped: DataFrame, radius: int, agree: float | None = None) -> DataFrame:
+def links(grouped: DataFrame, radius: int) -> DataFrame:
     """src, dst: a spanning star of the links found in each portion of groups.
 
-    grouped: table, key, fp, without repeated rows; with agree, sketch as well, and links need that share of equal minima.
+    grouped: table, key, fp, without repeated rows.
     """
     ship(grouped.sparkSession, NUMBER_ROWS)
 
@@ -114,8 +135,7 @@ def links(grouped: DataFrame, radius: int, agree: float | None = None) -> DataFr
         for b in it:
             if not b.num_rows:
                 continue
-            sketch = (np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(-1, SKETCH),) if agree else ()
-            held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), *sketch))
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
             if sum(len(x[0]) for x in held) >= PORTION:
                 rows = [np.concatenate(x) for x in zip(*held, strict=True)]
                 cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))  # the last group may go on
@@ -126,25 +146,48 @@ def links(grouped: DataFrame, radius: int, agree: float | None = None) -> DataFr
             yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, fp, *sketch in portions(it):
+        for key, fp in portions(it):
             values, at = np.unique(fp.view(np.uint64), return_inverse=True)
             parent = np.arange(len(values))
             for a, b in bitslice.near_pairs(key, fp.view(np.uint64), radius):
                 for lo in range(0, len(a), PAIRS):
-                    x, y = a[lo : lo + PAIRS], b[lo : lo + PAIRS]
-                    if agree:
-                        apart = parent[at[x]] != parent[at[y]]
-                        x, y = x[apart], y[apart]
-                        equal = (sketch[0][x] == sketch[0][y]).mean(axis=1)
-                        near = (equal - 1 / 256) / (1 - 1 / 256) >= agree
-                        x, y = x[near], y[near]
-                    bitslice.merge(parent, at[x], at[y])
+                    bitslice.merge(parent, at[a[lo : lo + PAIRS]], at[b[lo : lo + PAIRS]])
             linked = np.flatnonzero(parent != np.arange(len(values)))
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(values[linked].view(np.int64)), pa.array(values[parent[linked]].view(np.int64))], ["src", "dst"])
 
-    columns = ["group", "fp"] + ["sketch"] * bool(agree)
-    return _dealt(grouped).select(*columns).repartition("group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long").distinct()
+    return _dealt(grouped).select("group", "fp").repartition("group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long").distinct()
+
+
+def similar_links(members: DataFrame, share: float) -> DataFrame:
+    """src, dst: links of members (group, fp, hashes) of one group with a Jaccard similarity of share, enough to join all that such links join."""
+    ship(members.sparkSession)
+
+    def groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+        last, own = None, {}
+        for b in it:
+            for group, fp, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group != last:
+                    if own:
+                        yield [*own], [*own.values()]
+                    last, own = group, {}
+                own[fp] = np.frombuffer(hashes, np.uint64)
+        if own:
+            yield [*own], [*own.values()]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        src: list[int] = []
+        dst: list[int] = []
+        for fps, sets in groups(it):
+            a, b = spanning_links(sets, share)
+            src += [fps[i] for i in a]
+            dst += [fps[i] for i in b]
+            if len(src) >= LINKS:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+                src, dst = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return members.select("group", "fp", "hashes").repartition("group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long").distinct()
 
 
 def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -185,15 +228,26 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, k: int = 5, radius: int = RADIUS, agree: float = AGREE) -> DataFrame:
-    """doc_id, component_id: links join documents that share a band of shingle minima, are within radius bits and agree in their sketches."""
-    fps, _ = stored(fingerprints(docs, k, bands=True), "fps")
+def similar(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
+    """doc_id, component_id: links join documents whose sets of k-word shingles have a Jaccard similarity of share at least."""
+    fps, _ = stored(shingle_sets(docs, k), "sets")
 
     def find(nodes: DataFrame, count: int) -> DataFrame:
         # copies of a text are one row of a group
-        one = fps.groupBy("fp").agg(F.min_by(F.struct("bands", "sketch"), "doc_id").alias("x")).select("fp", "x.*")
-        grouped = one.select("fp", "sketch", F.posexplode("bands").alias("table", "key"))
-        return links(grouped, radius, agree)
+        one, _ = stored(fps.groupBy("fp").agg(F.first(F.struct("size", "bands")).alias("x"), F.min("doc_id").alias("least")).select("fp", "x.*", "least"), "nodes")
+        rows = one.select("fp", "size", F.explode("bands").alias("key"))
+        own = [F.bit_xor(F.xxhash64("fp", F.lit(seed))).alias(f"of{seed}") for seed in (1, 2)]
+        found = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("m"), *own).where("n > 1")
+        # bands of the same rows are one group
+        found = found.groupBy("n", "m", "of1", "of2").agg(F.min("key").alias("key"))
+        k_ = F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("m") / SHINGLES)).cast("long")
+        dealt = rows.join(found.select("key", k_.alias("k")), "key").select("key", "fp", F.explode(_cells(F.col("k"))).alias("cell"))
+        members, _ = stored(dealt.select(F.xxhash64("key", "cell").alias("group"), "fp"), "members")
+        # sets are made again for the members alone, from one text of each
+        wanted = members.select("fp").distinct().join(one, "fp").select("least").distinct()
+        texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("least")), "left_semi")
+        sets = shingle_sets(texts, k, whole=True).groupBy("fp").agg(F.first("hashes").alias("hashes"))
+        return similar_links(members.join(sets, "fp"), share)
 
     return _classes(fps, find).select("doc_id", "component_id")
 

@@ -9,7 +9,7 @@ import xxhash
 from fixtures import ODD, documents, frame, odd
 from pyspark.sql import functions as F
 
-from callweave.llm import bitslice, jpeg, langid, media, ngram_lm, packed, packing, quality, secretscan, simhash, substring, tokenfile, tokens, wavelet, winnow
+from callweave.llm import bitslice, jaccard, jpeg, langid, media, ngram_lm, packed, packing, quality, secretscan, simhash, substring, tokenfile, tokens, wavelet, winnow
 
 
 def texts_of(rows):
@@ -212,6 +212,38 @@ def test_similar_documents_are_caught_and_others_kept(spark):
     assert kept == set(range(60))
 
 
+def test_links_of_sets_are_those_of_brute_force():
+    rng = random.Random(3)
+    for m in (2, 9, 60):
+        sets = [{rng.randrange(60) for _ in range(rng.randint(1, 40))} for _ in range(m // 2)]
+        while len(sets) < m:
+            sets.append({x if rng.random() < 0.9 else rng.randrange(99) for x in rng.choice(sets)})
+        a, b = jaccard.spanning_links([np.array(sorted(s), np.uint64) for s in sets], 0.8)
+        alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])  # noqa: E731, B023
+        found = set(zip(a, b, strict=True))
+        assert all(alike(i, j) for i, j in found)
+        assert classes(range(m), alike) == classes(range(m), lambda i, j: (i, j) in found or (j, i) in found)  # noqa: B023
+
+
+def test_pairs_are_decided_by_their_similarity_itself(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 4)
+    rng = random.Random(11)
+    rows = []
+    for i in range(150):  # pairs on both sides of 0.8: one new word in 200 is a Jaccard similarity of 0.95, four of 0.81, five of 0.77
+        own = [f"w{rng.randrange(9000)}" for _ in range(200)]
+        rows.append((2 * i, " ".join(own), "en", "s", 0))
+        for j in rng.sample(range(10, 190), rng.randint(3, 7)):
+            own[j] = "zz"
+        rows.append((2 * i + 1, " ".join(own), "en", "s", 0))
+    base = [f"v{i}" for i in range(100)]
+    rows += [(900 + i, " ".join([*base, f"x{i}"]), "en", "s", 0) for i in range(20)]  # a group of more than a cell
+    sets = [shingles(t) for _, t, *_ in rows]
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    own = classes([r[0] for r in rows], alike)
+    assert 0 < sum(own[2 * i] == own[2 * i + 1] for i in range(150)) < 150
+    assert {(r.doc_id, r.component_id) for r in simhash.similar(frame(spark, rows)).collect()} == {(r[0], c) for r, c in zip(rows, own, strict=True)}
+
+
 # quality, language ---------------------------------------------------------------------------------------------------
 
 
