@@ -10,8 +10,9 @@ shares one. Classes are found by spreading the least member with pointer jumping
 of SHARE of the shingle sets. Its groups are documents that share a band of shingle minima, which only finds candidates:
 the similarity of each pair of a group is computed from the sets, by `jaccard`.
 
-Rows with a null text or without words have fingerprint zero and link like any other. Null ids stay, with the class of
-their fingerprint. Empty input gives an empty result; other columns are not looked at.
+Rows with a null text or without words have fingerprint zero and link like any other; for `similar` they are copies of
+each other. Null ids stay, with the class of their fingerprint. Empty input gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -73,7 +75,10 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int, whole: bool = False) -> DataFrame:
-    """doc_id, fp, size (distinct k-word shingles of A-Z lower-cased text) and the keys of their bands; whole: their hashes instead of the keys."""
+    """doc_id, fp, size (distinct k-word shingles of A-Z lower-cased text) and the keys of their bands; whole: their hashes instead of the keys.
+
+    fp are 64 bits of all distinct shingles, whatever their repeats: texts of one fp have the same set.
+    """
     ship(docs.sparkSession)
     multipliers = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -81,9 +86,8 @@ def shingle_sets(docs: DataFrame, k: int, whole: bool = False) -> DataFrame:
         for b in batches(it, "t", TEXTS):
             fps, sizes, rest = [], [], []
             for text in b.column(1).to_pylist():
-                h = shingle_hashes(text.lower().split(), k)
-                fps.append(simhash(h))
-                h = np.unique(h)
+                h = np.unique(shingle_hashes(text.lower().split(), k))
+                fps.append(xxhash.xxh64_intdigest(h.tobytes()))
                 sizes.append(len(h))
                 rest.append(h.tobytes() if whole else _bands(h, multipliers).view(np.int64))
             if whole:
@@ -233,7 +237,7 @@ def similar(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
     fps, _ = stored(shingle_sets(docs, k), "sets")
 
     def find(nodes: DataFrame, count: int) -> DataFrame:
-        # copies of a text are one row of a group
+        # texts of one set are one row of a group
         one, _ = stored(fps.groupBy("fp").agg(F.first(F.struct("size", "bands")).alias("x"), F.min("doc_id").alias("least")).select("fp", "x.*", "least"), "nodes")
         rows = one.select("fp", "size", F.explode("bands").alias("key"))
         own = [F.bit_xor(F.xxhash64("fp", F.lit(seed))).alias(f"of{seed}") for seed in (1, 2)]

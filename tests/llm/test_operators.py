@@ -244,6 +244,17 @@ def test_pairs_are_decided_by_their_similarity_itself(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in simhash.similar(frame(spark, rows)).collect()} == {(r[0], c) for r, c in zip(rows, own, strict=True)}
 
 
+def test_a_repeated_line_does_not_make_texts_copies(spark):
+    line = "all rights of this page are reserved by us "
+    texts = [line * 60 + " ".join(f"{c}{i}" for i in range(50)) for c in "abc"]
+    assert len({fingerprint(t) for t in texts}) == 1
+    near = texts[2].replace("c25", "zz")  # 0.8 of a text whose fingerprint others have
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*texts, near, texts[1]])]
+    assert {(r.doc_id, r.component_id) for r in simhash.similar(frame(spark, rows)).collect()} == {(0, 0), (1, 1), (2, 2), (3, 2), (4, 1)}
+    ids = [(None, *r[1:]) for r in rows]
+    assert sorted(r.text for r in simhash.without_copies(frame(spark, ids)).collect())[:2] == sorted(texts)[:2]
+
+
 # quality, language ---------------------------------------------------------------------------------------------------
 
 
