@@ -255,6 +255,16 @@ def test_a_repeated_line_does_not_make_texts_copies(spark):
     assert sorted(r.text for r in simhash.without_copies(frame(spark, ids)).collect())[:2] == sorted(texts)[:2]
 
 
+def test_copies_that_differ_in_repeats_are_caught(spark):
+    rng = random.Random(5)
+    body, line = " ".join(f"w{rng.randrange(9000)}" for _ in range(600)), " one footer line that every page has in it"
+    texts = [body + line, body + line * 200]
+    a, b = (simhash.simhash(simhash.shingle_hashes(t.encode().split(), 5)) for t in texts)
+    sets = [shingles(t) for t in texts]
+    assert (a ^ b).bit_count() > 20 and len(sets[0] & sets[1]) / len(sets[0] | sets[1]) > 0.95
+    assert [r.doc_id for r in simhash.without_copies(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()] == [0]
+
+
 # quality, language ---------------------------------------------------------------------------------------------------
 
 
