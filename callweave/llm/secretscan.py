@@ -1,12 +1,14 @@
 """Secret scanning: candidates by shape, false positives removed by a random forest.
 
-Candidates are the words of a text that hold a digit or a usual key's beginning, or follow a sign of assignment: a value of MOST bytes at most without
-quotes, brackets and a `name=` before it, of eight bytes at least. Addresses, numbers, dates and the like are candidates,
+Candidates are the words of a text that hold a digit or a usual key's beginning, or follow a sign of assignment: a value
+without quotes, brackets and a `name=` before it, of eight bytes at least, in words of any length. Values of over MOST bytes
+are cut at the signs of further assignments in them, and each part is a candidate. Addresses, numbers, dates and the like are candidates,
 too; telling them apart is the forest's task. Its features: length; transitions between character classes; the share of
 letter pairs that are usual in words; dictionary coverage; runs; entropy; the words and signs before and after; the path.
 
 The forest is trained on labelled findings: (text, start, end, path, label). `sample_findings` writes such findings from a
-fixed seed, for lack of a table of them: keys, tokens and passwords in assignments, and what is mistaken for them. The
+fixed seed, for lack of a table of them: keys, tokens and passwords in assignments, and what is mistaken for them;
+`long_findings` does so for values of over MOST bytes, of which encoded data is none. The
 dictionary is the words around the training findings; usual pairs are counted in them.
 
 Null and empty texts have no candidates. A null path has no words. Rows of equal id are documents of their own. Positions
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import batches, ship, utf8
 
-#: Shortest value, and the longest that is looked at as one (longer words are data, not keys).
+#: Shortest value, and the longest that is one candidate even with signs of assignment in it.
 LEAST, MOST = 8, 512
 AROUND = 48
 TREES, DEPTH, CUTS = 40, 8, 24
@@ -40,6 +42,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _ANCHOR = np.zeros(256, bool)
 _ANCHOR[[*b"0123456789=:"]] = True
 _VALUE = re.compile(rb"[A-Za-z0-9+/_=\-.~@$!#%&*^]{8,}")
+_PART = re.compile(rb"[^&=]+")
 _NAME = re.compile(rb"^[A-Za-z_][A-Za-z0-9_.\-]{0,40}(?:=|:(?!//))")
 _TRAIL = b".,;:!?'\")]}>=&*#$%"
 _WORDS = re.compile(rb"[a-z]{2,}")
@@ -75,15 +78,15 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
         if b - a <= 24 and text[b - 1 : b] in (b"=", b":") and words[k] + 2 < len(bounds):  # the value is the next word
             spans.append((b + 1, int(bounds[words[k] + 2])))
         for lo, hi in spans:
-            if not 0 < hi - lo <= 4 * MOST:
-                continue
             word = text[lo:hi]
             name = _NAME.match(word)
             skip = name.end() if name else 0
             for m in _VALUE.finditer(word, skip):
                 own = m.group().rstrip(_TRAIL)
-                if LEAST <= len(own) <= MOST:
-                    found[lo + m.start()] = lo + m.start() + len(own)
+                for part in [m] if len(own) <= MOST else _PART.finditer(word, m.start(), m.end()):
+                    own = part.group().rstrip(_TRAIL)
+                    if len(own) >= LEAST:
+                        found[lo + part.start()] = lo + part.start() + len(own)
     return sorted(found.items())
 
 
@@ -101,6 +104,12 @@ class Lexicon:
     words: frozenset[bytes]
     pairs: np.ndarray
 
+    def covers(self, word: bytes) -> bool:
+        """Whether word is one of the words, or two of them in a row."""
+        if len(word) > 2 * max(map(len, self.words), default=0):
+            return False
+        return word in self.words or any(word[:i] in self.words and word[i:] in self.words for i in range(3, len(word) - 2))
+
     @classmethod
     def of(cls, contexts: list[bytes]) -> Lexicon:
         seen = Counter(w for c in contexts for w in _WORDS.findall(c.lower()))
@@ -122,7 +131,7 @@ def features(text: bytes, start: int, end: int, path: str | None, lexicon: Lexic
     alpha = (letters >= 0) & (letters < 26)
     both = alpha[:-1] & alpha[1:]
     usual = lexicon.pairs[letters[:-1][both], letters[1:][both]].mean() if both.any() else 0.0
-    covered = sum(len(w) for w in _WORDS.findall(lower) for w in [w] if w in lexicon.words or any(w[:i] in lexicon.words and w[i:] in lexicon.words for i in range(3, len(w) - 2))) / n
+    covered = sum(len(w) for w in _WORDS.findall(lower) if lexicon.covers(w)) / n
     freq = np.bincount(codes) / n
     freq = freq[freq > 0]
     runs = np.diff(np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1], [True]))))
@@ -328,9 +337,27 @@ def sample_findings(n: int = 3000, seed: int = 1) -> list[Finding]:
     return out
 
 
+def long_findings(n: int = 300, seed: int = 2) -> list[Finding]:
+    """Labelled findings of over MOST bytes: half signed tokens and named keys, half encoded data."""
+    rng = np.random.default_rng(seed)
+    base = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    out: list[Finding] = []
+    while len(out) < n:
+        label, size = len(out) % 2, int(rng.integers(MOST + 1, 4 * MOST))
+        chars = lambda k, alphabet: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), k))
+        if label and rng.random() < 0.5:
+            lead, value = ("Authorization: Bearer ", "", "jwt ", 'token":"')[int(rng.integers(4))], f"eyJ{chars(33, base)}.eyJ{chars(size - 381, base)}.{chars(342, base + '-_')}"
+        elif label:
+            lead, value = ("token=", 'secret":"', "private_key: ", "api_key = ", 'access_token":"')[int(rng.integers(5))], chars(size, base + "+/")
+        else:
+            lead, value = ("", "src=data:image/png;base64,", "url(data:font/woff2;base64,", 'data":"', "payload ")[int(rng.integers(5))], chars(size * int(rng.integers(1, 5)), base + "+/" if rng.random() < 0.7 else "0123456789abcdef")
+        out.append((f"{lead}{value} end".encode(), len(lead), len(lead) + len(value), ("src0", "", "app/config.py", "src7")[int(rng.integers(4))], label))
+    return out
+
+
 @lru_cache(maxsize=1)
 def default_scanner() -> Scanner:
-    return train(sample_findings())
+    return train(sample_findings() + long_findings())
 
 
 def scanned(docs: DataFrame, scanner: Scanner | None = None, path: str = "source") -> DataFrame:
