@@ -5,8 +5,8 @@ no space but at their ends; each has one of BUCKETS embeddings. The average goes
 Both are trained by stochastic gradient descent in numpy. As average and layer are linear, embeddings times layer is one
 table of logits for each subword, so a text's score is the mean of table rows.
 
-Training rows have a lang and a doc_id whose crc32 (as text) leaves no HELD remainder by FOLDS; of these the SAMPLE least
-by a hash of doc_id, if they have LONGEST bytes at most. A tenth of them is not trained on; it sets the temperature of the
+Training rows have a lang and a doc_id whose crc32 (as text) leaves no HELD remainder by FOLDS; of those with
+a text the SAMPLE least by a hash of doc_id, as many as fit into BYTES together. A tenth of them is not trained on; it sets the temperature of the
 softmax and the least score that is not rejected (the REJECT quantile of right answers' scores). A text without a letter
 is `und` with score 0 and rejected; so is every text if there are no training rows.
 """
@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, ship, utf8
-from .quality import held_out
+from .quality import held_out, sampled
 
 BUCKETS, WIDTH = 1 << 15, 16
 ORDERS = (3, 4)
 FOLDS, HELD = 3, 1
-SAMPLE, LONGEST = 3000, 16 << 10
+SAMPLE, BYTES = 3000, 16 << 20
 PASSES, RATE = 3, 2.0
 REJECT = 0.01
 UNKNOWN = "und"
@@ -137,11 +137,8 @@ def train(texts: list[bytes], langs: list[str], passes: int = PASSES, seed: int
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on docs (doc_id, text, lang)."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(FOLDS, HELD))
-    # sample ids at most: they can be broadcast, so that no text is moved but the sample's
-    some = known.select(F.col("doc_id").cast("long").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    own = known.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("t"), F.col("lang").cast("string").alias("y")).join(F.broadcast(some), "id")
-    # copies of a row by repeated ids may be many: the sample's size holds for them, too
-    rows = own.where(F.octet_length("t").between(1, LONGEST)).orderBy(F.xxhash64("id"), "id", "t", "y").limit(sample).select("t", "y").collect()
+    own = known.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("t"), F.col("lang").cast("string").alias("y"))
+    rows = sampled(own.where(F.octet_length("t") > 0), sample, BYTES)
     if not rows:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     return train([bytes(r["t"]) for r in rows], [r["y"] for r in rows])

@@ -5,10 +5,10 @@ one before it, or the one two before, is one of two marker words, whichever word
 to DIM weights; a text's value for a feature is its count over the square root of the text's words, so a score is a sum
 of weights over occurrences: a sparse dot product without a sort.
 
-Training rows are the labelled rows whose doc_id's crc32 (as text) leaves no HELD remainder by FOLDS; of these the SAMPLE
-least by a hash of doc_id, if their texts have LONGEST bytes at most. Passes over them are in an order drawn from a fixed seed. One FTRL
+Training rows are the labelled rows whose doc_id's crc32 (as text) leaves no HELD remainder by FOLDS; of those that
+are there, whatever their length, the SAMPLE least by a hash of doc_id, as many as fit into BYTES together. Passes over them are in an order drawn from a fixed seed. One FTRL
 step takes one row. The intercept alone scores texts without words, null ones too. With no training rows all scores are
-0.5; with repeated doc_ids each row counts. Repeated label rows of one doc_id that agree count once; contradictory ones
+0.5, and `accepted` keeps all rows; with repeated doc_ids each text counts once. Repeated label rows of one doc_id that agree count once; contradictory ones
 both count.
 """
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import batches, filtered, ship, utf8
@@ -29,7 +29,7 @@ from .words import hashes, runs
 BITS = 20
 DIM = 1 << BITS
 FOLDS, HELD = 4, 2
-SAMPLE, LONGEST = 6000, 32 << 10
+SAMPLE, BYTES = 6000, 32 << 20
 PASSES = 3
 ALPHA, BETA, L1, L2 = 0.1, 1.0, 0.02, 0.1
 THRESHOLD = 0.7
@@ -103,15 +103,26 @@ def held_out(folds: int, held: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
 
 
+def sampled(texts: DataFrame, sample: int, most: int, labels: DataFrame | None = None) -> list[Row]:
+    """t and y of sample rows of texts (id, t, and y unless labels have it: id, y) at most, by a hash of id; of texts with most bytes together at most."""
+    keys = texts.select(*(c for c in texts.columns if c != "t"), F.octet_length("t").alias("n"), F.xxhash64("t").alias("h"))
+    keys = (keys.join(labels, "id") if labels is not None else keys).select("id", "y", "h", "n").distinct()
+    taken = []
+    for r in keys.orderBy(F.xxhash64("id"), "id", "y", "n", "h").limit(sample).collect():
+        if r["n"] <= most:
+            most -= r["n"]
+            taken.append((r["id"], r["y"], r["h"]))
+    # sample rows at most: they can be broadcast, so that no text is moved but the sample's
+    some = F.broadcast(texts.sparkSession.createDataFrame(taken, keys.select("id", "y", "h").schema))
+    own = texts.withColumn("h", F.xxhash64("t")).join(some, [c for c in ("id", "y", "h") if c in texts.columns or c == "h"])
+    return own.dropDuplicates(["id", "y", "h"]).orderBy(F.xxhash64("id"), "id", "y", "t").select("t", "y").collect()
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Train on docs (doc_id, text) with labels (doc_id, quality)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(FOLDS, HELD))
-    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).distinct()
-    # sample rows at most: they can be broadcast, so that no text is moved but the sample's
-    some = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t")).join(some, "doc_id").where(F.octet_length("t") <= LONGEST)
-    # copies of a row by repeated ids may be many: the sample's size holds for them, too
-    rows = own.orderBy(F.xxhash64("doc_id"), "doc_id", "y", "t").limit(sample).select("t", "y").collect()
+    known = known.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).distinct()
+    rows = sampled(docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("t")), sample, BYTES, known)
     if not rows:
         return Model(np.zeros(DIM, np.float32), 0.0)
     return train([bytes(r["t"]) for r in rows], np.array([r["y"] for r in rows], float))
@@ -131,8 +142,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs with a score of at least threshold, with all their columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    """The rows of docs with a score of at least threshold, with all their columns; all rows if nothing could be learnt."""
+    model = fit(docs, labels)
+    if not model.weights.any() and not model.intercept:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     return filtered(docs, lambda texts: shared.value.scores(texts) >= threshold)
 
 
@@ -142,4 +156,4 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     return out.select("doc_id", held_out(FOLDS, HELD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-__all__ = ["Model", "accepted", "features", "fit", "held_out", "quality", "scored", "train"]
+__all__ = ["Model", "accepted", "features", "fit", "held_out", "quality", "sampled", "scored", "train"]

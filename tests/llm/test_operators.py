@@ -293,6 +293,16 @@ def test_quality_scores_do_not_depend_on_the_batch():
     assert np.allclose(model.scores(texts), [model.scores([t])[0] for t in texts])
 
 
+def test_the_sample_is_of_rows_that_are_there(spark):
+    own = [(i, ("good words here " if i % 2 else "bad ### signs ") * (20 if i < 40 else 4000), "de" if i % 2 else "en", "s", 0) for i in range(60)]
+    docs = frame(spark, [r for r in own if r[0] >= 40])  # all over 48 KB
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(4000)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels, sample=15)
+    assert model.scores([b"good words here"])[0] > 0.5 > model.scores([b"bad ### signs"])[0]
+    assert sorted(langid.fit(docs, sample=15).languages) == ["de", "en"]
+    assert quality.accepted(docs, labels.where("doc_id < 40")).count() == docs.count()
+
+
 def test_language_on_held_out_rows(spark):
     rng = random.Random(6)
     of = {"en": "the and ing tion with that".split(), "de": "der und ung schlich nicht ein".split(), "fr": "le et ment que dans pour é".split()}
