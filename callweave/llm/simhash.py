@@ -39,7 +39,7 @@ PORTION = 1 << 16
 BLOCKS = ((1 << 24, 6), (1 << 31, 7), (1 << 62, 8))
 #: Jaccard similarity of a link of `similar`.
 SHARE = 0.8
-#: Bands of shingle minima, minima in each: a pair of similarity 0.8 shares a band but for 1 in 10^12, (1 - 0.8^4)^32.
+#: Bands of shingle minima, minima in each: a pair of similarity 0.8 shares a band but for 1 in 2 * 10^7, (1 - 0.8^4)^32.
 BANDS, ROWS = 32, 4
 #: Shingles of a group that are compared together, as CELL for rows.
 SHINGLES = 1 << 21
