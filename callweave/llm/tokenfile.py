@@ -49,7 +49,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         total = 0
         for b in batches(it, "t", 4 << 20):
             doc_ids = b.column(0).to_pylist()
-            own, ends = enc.encode([t.decode() for t in b.column(1).to_pylist()])
+            own, ends = enc.encode(b.column(1).to_pylist())
             own = np.insert(own, ends, end_id)  # after each document
             ends = ends + np.arange(1, len(ends) + 1)
             sizes = np.diff(ends, prepend=0)
