@@ -1,11 +1,14 @@
 """Best-fit packing of token sequences by exact-complement hashing.
 
-`plan` works on the number of pieces of each length, not on pieces: at most `capacity` counts, whatever the input. The
-longest length left opens a sequence; of the lengths left, one, a pair or a triple that adds up to its gap exactly fills
-it, as often as the counts allow; what has no such complement is packed best fit, decreasing. ROUNDS of complement sizes
-are tried, and the plan of fewest sequences is taken. The plan is a list of patterns (lengths in a sequence) with
-repetitions. Each use takes up a length or a pattern, so there are a few times `capacity` of them at most, which bounds
-what is sent to the executors.
+`plan` works on the number of pieces of each length, not on pieces: at most `capacity` counts, whatever the input. Long
+pieces are put together best fit, decreasing; each sequence so begun has a gap. The sums of one, two and three short
+lengths are indexed by hash, and combinations that fill a gap exactly are used up, as often as the counts of their lengths
+and of such gaps allow: singles, then pairs, then triples, those of the largest least length first, which spares the short
+pieces. What is left then goes best fit, decreasing, into the gaps that are left. From which length on a piece is long
+(SHORTS) and whether large or small gaps come first depends on the counts: all are tried, and the plan of fewest
+sequences is taken, of equal ones that which fills most sequences by pairs and triples. The plan is a list of patterns
+(lengths in a sequence) with repetitions. Each use takes up a length or a pattern, so there are a few times `capacity` of
+them at most, which bounds what is sent to the executors.
 
 Every piece has a rank among those of its length (its partition's count before it, plus those of earlier partitions), and
 a slot of a pattern takes a run of ranks; so pieces find their places with no shuffle of their own.
@@ -32,87 +35,107 @@ from .tokens import END_ID, default_path, encoded, encoder
 Pattern = tuple[int, ...]
 
 
-def _pair(avail: np.ndarray, gap: int) -> Pattern | None:
-    """The pair of available lengths that sums to gap, with the longest first."""
-    if gap < 2:
-        return None
-    low = gap // 2
-    a = np.arange(gap - 1, (gap - 1) // 2, -1)
-    ok = (avail[a] > 0) & (avail[gap - a] > 0)
-    if gap % 2 == 0:
-        ok[-1] = avail[low] > 1
-    i = int(np.argmax(ok))
-    return (int(a[i]), gap - int(a[i])) if ok[i] else None
-
-
-def _complement(avail: np.ndarray, gap: int, sizes: tuple[int, ...]) -> Pattern | None:
-    """Available lengths that sum to gap, as many as one of sizes (1 to 3, tried in order)."""
-    for size in sizes:
-        if size == 1 and avail[gap]:
-            return (gap,)
-        if size == 2 and (pair := _pair(avail, gap)) is not None:
-            return pair
-        if size == 3:
-            for a in (np.flatnonzero(avail[1 : gap - 1]) + 1)[::-1].tolist():
-                avail[a] -= 1
-                pair = _pair(avail, gap - a)
-                avail[a] += 1
-                if pair is not None:
-                    return (a, *pair)
-    return None
-
-
-#: Rounds of complement sizes. Which order leaves the best residuals depends on the counts; the plan of fewest sequences is taken.
-ROUNDS = (((1, 2, 3),), ((1,), (2,), (3,)), ((1,), (2,)), ((1, 2),), ((1,),), ())
+#: Pieces of less than capacity over this are short.
+SHORTS = (16, 8, 4, 2)
+
+
+class _Sums:
+    """The sums of one, two and three of some lengths, indexed by hash; combinations come with their largest least length first."""
+
+    def __init__(self, lengths: np.ndarray):
+        self._single = {int(n): [(int(n),)] for n in lengths}
+        a, b = np.triu_indices(len(lengths))
+        total = lengths[a] + lengths[b]
+        order = np.lexsort((-lengths[a], total))
+        total, small = total[order], lengths[a][order]
+        first = np.flatnonzero(np.diff(total, prepend=-1))
+        self._pair = {int(total[i]): own for i, own in zip(first, np.split(small, first[1:]), strict=False)}  # a sum's smaller parts, descending
+        self._down = sorted(self._single, reverse=True)
+
+    def of(self, size: int, total: int) -> Iterator[Pattern]:
+        if size == 1:
+            yield from self._single.get(total, ())
+        elif size == 2:
+            for least in self._pair.get(total, ()):
+                yield int(total - least), int(least)
+        else:
+            for least in self._down:
+                for pair in self.of(2, total - least) if 3 * least <= total else ():
+                    if pair[1] < least:
+                        break
+                    yield *pair, least
+
+
+class _Plan:
+    """Sequences by their gaps: patterns and how often each is used."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.left = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            self.left[length] += n
+        self.by_gap: dict[int, list[tuple[Pattern, int]]] = defaultdict(list)
+        self.combined = 0  # sequences filled by a pair or a triple
+
+    def best_fit(self, least: int) -> None:
+        """Put in all pieces of least and more, the longest first, each into the smallest gap that it fits in."""
+        open_ = np.zeros(self.capacity + 1, bool)
+        open_[[g for g, x in self.by_gap.items() if x and g]] = True
+        for length in range(self.capacity, least - 1, -1):
+            while self.left[length]:
+                fits = np.flatnonzero(open_[length:])
+                if len(fits):
+                    gap, each = length + int(fits[0]), 1
+                    pattern, n = self.by_gap[gap].pop()
+                    times = min(n, int(self.left[length]))
+                    if times < n:
+                        self.by_gap[gap].append((pattern, n - times))
+                    open_[gap] = bool(self.by_gap[gap])
+                else:
+                    gap, pattern = self.capacity, ()
+                    each = min(self.capacity // length, int(self.left[length]))
+                    times = int(self.left[length]) // each
+                self.left[length] -= times * each
+                gap -= each * length
+                self.by_gap[gap].append((pattern + (length,) * each, times))
+                open_[gap] = gap > 0
+
+    def fill(self, large_first: bool) -> None:
+        """Fill gaps exactly with combinations of what is left."""
+        sums = _Sums(np.flatnonzero(self.left))
+        for size in (1, 2, 3):
+            for gap in sorted((g for g, x in self.by_gap.items() if x and g), reverse=large_first):
+                for combination in sums.of(size, gap):
+                    parts = Counter(combination)
+                    while self.by_gap[gap] and (most := min(int(self.left[x]) // n for x, n in parts.items())):
+                        pattern, n = self.by_gap[gap].pop()
+                        times = min(n, most)
+                        if times < n:
+                            self.by_gap[gap].append((pattern, n - times))
+                        for x, k in parts.items():
+                            self.left[x] -= k * times
+                        self.by_gap[0].append((pattern + combination, times))
+                        self.combined += times * (size > 1)
+                    if not self.by_gap[gap]:
+                        break
+
+    def patterns(self) -> list[tuple[Pattern, int]]:
+        return [x for group in self.by_gap.values() for x in group]
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[Pattern, int]]:
     """Patterns and how often each is used; every piece is in one of them."""
-    return min((_plan(counts, capacity, rounds) for rounds in ROUNDS), key=lambda p: sum(n for _, n in p))
-
-
-def _plan(counts: dict[int, int], capacity: int, rounds: tuple[tuple[int, ...], ...]) -> list[tuple[Pattern, int]]:
-    avail = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        avail[length] += n
-    out: list[tuple[Pattern, int]] = []
-    if avail[capacity]:
-        out.append(((capacity,), int(avail[capacity])))
-        avail[capacity] = 0
-    for sizes in rounds:
-        for length in range(capacity - 1, 0, -1):
-            while avail[length]:
-                avail[length] -= 1
-                found = _complement(avail, capacity - length, sizes)
-                avail[length] += 1
-                if found is None:
-                    break
-                pattern = (length, *found)
-                times = min(int(avail[x]) // n for x, n in Counter(pattern).items())
-                for x in pattern:
-                    avail[x] -= times
-                out.append((pattern, times))
-    still: dict[int, list[tuple[Pattern, int]]] = defaultdict(list)  # by gap
-    gaps = np.zeros(capacity + 1, bool)
-    for length in range(capacity - 1, 0, -1):
-        while avail[length]:
-            fits = np.flatnonzero(gaps[length:])
-            if len(fits):
-                gap = length + int(fits[0])
-                pattern, n = still[gap].pop()
-                times = min(n, int(avail[length]))
-                if times < n:
-                    still[gap].append((pattern, n - times))
-                gaps[gap] = bool(still[gap])
-                pattern += (length,)
-            else:
-                each = min(capacity // length, int(avail[length]))
-                gap, pattern, times = capacity, (length,) * each, int(avail[length]) // each
-            used = length if len(fits) else length * len(pattern)
-            avail[length] -= times * (1 if len(fits) else len(pattern))
-            still[gap - used].append((pattern, times))
-            gaps[gap - used] = gap > used
-    return out + [x for group in still.values() for x in group]
+    best: tuple[tuple[int, int], _Plan] | None = None
+    for part in SHORTS:
+        for large_first in (True, False):
+            own = _Plan(counts, capacity)
+            own.best_fit(max(1, capacity // part))
+            own.fill(large_first)
+            own.best_fit(1)
+            rank = sum(n for _, n in own.patterns()), -own.combined
+            if best is None or rank < best[0]:
+                best = rank, own
+    return best[1].patterns()
 
 
 def places(patterns: list[tuple[Pattern, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -142,7 +165,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, ids: boo
         seen: Counter[int] = Counter()
         for b in batches(it, "t", 4 << 20):
             rows = []
-            for doc, data in zip(b.column(0).to_pylist(), encoded([t.decode() for t in b.column(1).to_pylist()], enc, end_id), strict=True):
+            for doc, data in zip(b.column(0).to_pylist(), encoded(b.column(1).to_pylist(), enc, end_id), strict=True):
                 n = len(data) // 4
                 first = (n - 1) % capacity + 1
                 for k, at in enumerate([0, *range(first, n, capacity)]):

@@ -1,9 +1,11 @@
+import os
 import random
 import zlib
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 from fixtures import ODD, documents, frame, odd
@@ -29,11 +31,11 @@ def reference_ids():
 
 def test_encoder_equals_whole_encoding(reference_ids):
     rng = random.Random(2)
-    pieces = [" ", "  ", "\n", " \n", "a", "Ab", "é.", "..", "'s", "1", "<|endoftext|>", "　", "\x85", "日本", "\t", "don't", "x,", "\x1c"]
+    pieces = [" ", " ", "  ", "\n", " \n", "a", "Ab", "é.", "..", "'s", "1", "<|endoftext|>", "　", "\x85", "日本", "\t", "don't", "x,", "\x1c", "\0", "\u2028", "\u180e", "“q”", "w" * 30, "w" * 31, "w" * 40, "é" * 16]
     enc = tokens.Encoder(tokens.default_path())
-    for _ in range(300):
+    for _ in range(1500):
         batch = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(6)]
-        ids, ends = enc.encode(batch)
+        ids, ends = enc.encode([t.encode() for t in batch])
         for text, a, b in zip(batch, [0, *ends], ends, strict=False):
             assert ids[a:b].tolist() == reference_ids(text)[:-1]
 
@@ -42,7 +44,8 @@ def test_encoder_forgets_without_harm(monkeypatch, reference_ids):
     monkeypatch.setattr(tokens, "KEPT", 5)
     enc = tokens.Encoder(tokens.default_path())
     for _, text, *_ in documents(30):
-        assert enc.encode([text])[0].tolist() == reference_ids(text)[:-1]
+        assert enc.encode([text.encode()])[0].tolist() == reference_ids(text)[:-1]
+    assert enc.encode([])[0].tolist() == [] and enc._young.n <= 300
 
 
 @pytest.mark.parametrize("bits", [1, 3, 16, 17])
@@ -102,6 +105,34 @@ def test_exact_complements_are_found():
     assert sum(n for _, n in packing.plan({512: 1, 200: 2, 112: 1, 600: 1, 424: 1}, 1024)) == 2
 
 
+@pytest.mark.parametrize(("sf", "triples"), [("sf0.01", False), ("sf0.1", True)])
+def test_complements_of_pairs_and_triples_fill_sequences(sf, triples):
+    path = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    enc, counts = tokens.encoder(tokens.default_path()), Counter()
+    for b in pq.read_table(path, columns=["text"]).to_batches(1000):
+        _, ends = enc.encode([(t or "").encode() for t in b.column(0).to_pylist()])
+        for n in (np.diff(ends, prepend=0) + 1).tolist():
+            counts[(n - 1) % 1024 + 1] += 1
+            counts[1024] += (n - 1) // 1024
+    plan = packing.plan(counts, 1024)
+    assert sum((Counter({x: k * n for x, k in Counter(p).items()}) for p, n in plan), Counter()) == +counts
+    assert sum(n for _, n in plan) <= best_fit(counts.elements(), 1024)
+    full = Counter()
+    for p, n in plan:
+        if sum(p) == 1024 and len(p) > 2 and p[-1] < 1024 // 4:
+            full[len(p)] += n
+    assert full[3] and (full[4] or not triples)
+
+
+def test_sums_are_indexed():
+    sums = packing._Sums(np.array([1, 2, 3, 5, 8]))
+    assert list(sums.of(1, 5)) == [(5,)] and list(sums.of(2, 10)) == [(5, 5), (8, 2)] and list(sums.of(1, 4)) == []
+    every = {tuple(sorted((a, b, c))) for a in (1, 2, 3, 5, 8) for b in (1, 2, 3, 5, 8) for c in (1, 2, 3, 5, 8) if a + b + c == 11}
+    assert {tuple(sorted(t)) for t in sums.of(3, 11)} == every
+
+
 def test_packing(spark, reference_ids):
     rows = documents(150) + [r for r in ODD if r[0] != 906]
     got = packing.pack(frame(spark, rows), capacity=64, ids=True).toPandas()
