@@ -51,11 +51,11 @@ def render_state(state: Column) -> Column:
 
 def _specs() -> Column:
     """tool.param to its schema."""
-    kind_of = "struct<type: string, enum: array<string>, minimum: double, maximum: double, min_length: int>"
+    kind_of = "struct<type: string, enum: array<string>, minimum: double, maximum: double, min_length: int, low: string, high: string>"
     items = []
     for t in R.TOOLS:
         for p in t.params:
-            spec = F.struct(F.lit(p.type), R.literal(p.enum), F.lit(p.minimum).cast("double"), F.lit(p.maximum).cast("double"), F.lit(p.min_length).cast("int"))
+            spec = F.struct(F.lit(p.type), R.literal(p.enum), F.lit(p.minimum).cast("double"), F.lit(p.maximum).cast("double"), F.lit(p.min_length).cast("int"), F.lit(str(p.minimum)), F.lit(str(p.maximum)))
             items += [F.lit(f"{t.name}.{p.name}"), spec.cast(kind_of)]
     return F.create_map(*items)
 
@@ -81,8 +81,8 @@ def _value_errors(path: Column, v: Column, spec: Column) -> Column:
     number = as_double(v)
     found = F.array(
         F.when((F.size(spec["enum"]) > 0) & ~F.coalesce(F.array_contains(spec["enum"], as_text(v)), F.lit(False)), F.concat(path, F.lit(": "), quoted(v), F.lit(" không thuộc "), listed)),
-        F.when(is_number(v) & (number < spec["minimum"]), F.concat(path, F.lit(": "), quoted(v), F.lit(" < "), spelled(spec["minimum"]))),
-        F.when(is_number(v) & (number > spec["maximum"]), F.concat(path, F.lit(": "), quoted(v), F.lit(" > "), spelled(spec["maximum"]))),
+        F.when(is_number(v) & (number < spec["minimum"]), F.concat(path, F.lit(": "), quoted(v), F.lit(" < "), spec["low"])),
+        F.when(is_number(v) & (number > spec["maximum"]), F.concat(path, F.lit(": "), quoted(v), F.lit(" > "), spec["high"])),
         F.when((kind(v) == "str") & (F.length(F.regexp_replace(as_text(v), r"^\s+|\s+$", "")) < spec["min_length"]), F.concat(path, F.lit(": chuỗi rỗng"))),
     )
     wrong = F.array(F.concat(path, F.lit(": cần kiểu "), spec["type"], F.lit(", nhận "), kind(v)))
@@ -118,6 +118,62 @@ def validate_variant(name: Column, arguments: Column) -> Column:
     return F.when(known & (kind(arguments) != "dict"), wrong).otherwise(validate_call(name, F.coalesce(arguments.try_cast("map<string,variant>"), F.create_map().cast("map<string,variant>"))))
 
 
+def validate(v: Column, schema: dict, path: str | Column = "$") -> Column:
+    """The errors of a value (a variant) against a JSON schema of types, enum, minimum, maximum, minLength, properties, required and items, nested to any depth, each with its path; none if it is valid.
+
+    A wrong type is a value's only error. An object's missing keys come first, then its own in ascending order; keys that
+    the schema does not have are errors.
+    """
+    path = F.lit(path) if isinstance(path, str) else path
+    type_ = schema.get("type")
+    error = lambda *rest: F.concat(path, *rest)
+    none = F.array().cast("array<string>")
+
+    def of(x: Column) -> Column:
+        number, text = as_double(x), as_text(x)
+        found = []
+        if "enum" in schema:
+            known = F.lit(False)
+            for e in schema["enum"]:
+                same = (kind(x) == "str") & (text == e) if isinstance(e, str) else (kind(x) == "bool") & (text == str(e).lower()) if isinstance(e, bool) else is_number(x) & (number == float(e))
+                known = known | F.coalesce(same, F.lit(False))
+            found.append(F.when(~known, error(F.lit(": "), quoted(x), F.lit(f" không thuộc {schema['enum']}"))))
+        if type_ in ("integer", "number"):
+            if "minimum" in schema:
+                found.append(F.when(number < schema["minimum"], error(F.lit(": "), quoted(x), F.lit(f" < {schema['minimum']}"))))
+            if "maximum" in schema:
+                found.append(F.when(number > schema["maximum"], error(F.lit(": "), quoted(x), F.lit(f" > {schema['maximum']}"))))
+        if type_ == "string" and schema.get("minLength"):
+            found.append(F.when(F.length(F.regexp_replace(text, r"^\s+|\s+$", "")) < schema["minLength"], error(F.lit(": chuỗi rỗng"))))
+        out = F.array_compact(F.array(*found)) if found else none
+        if type_ == "object":
+            out = F.concat(out, let(x.try_cast("map<string,variant>"), of_object))
+        if type_ == "array" and "items" in schema:
+            each = F.transform(x.try_cast("array<variant>"), lambda e, i: validate(e, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+            out = F.concat(out, F.coalesce(F.flatten(each), none))
+        return out
+
+    def of_object(fields: Column) -> Column:
+        known = schema.get("properties", {})
+        missing = [F.when(~F.map_contains_key(fields, F.lit(k)), error(F.lit(f": thiếu '{k}'"))) for k in schema.get("required", [])]
+
+        def one(e: Column) -> Column:
+            out = None
+            for k, inner in known.items():
+                own = validate(e["value"], inner, error(F.lit(f".{k}")))
+                out = F.when(e["key"] == k, own) if out is None else out.when(e["key"] == k, own)
+            strange = F.array(error(F.lit(": tham số lạ '"), e["key"], F.lit("'")))
+            return strange if out is None else out.otherwise(strange)
+
+        own = F.flatten(F.transform(F.array_sort(F.map_entries(fields), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), one))
+        return F.coalesce(F.concat(F.array_compact(F.array(*missing)) if missing else none, own), none)
+
+    if type_ is None:
+        return let(v, of)
+    wrong = F.array(error(F.lit(f": cần kiểu {type_}, nhận "), kind(v)))
+    return let(v, lambda x: F.when(~type_ok(x, F.lit(type_)), wrong).otherwise(of(x)))
+
+
 def _verdict(decision: str, rule: str, message: Column) -> Column:
     return F.struct(F.lit(decision).alias("decision"), F.lit(rule).alias("rule"), message.alias("message"))
 
@@ -125,20 +181,22 @@ def _verdict(decision: str, rule: str, message: Column) -> Column:
 @once
 def check_call(name: Column, arguments: Column, state: Column) -> Column:
     """struct<decision, rule, message> of one call: allow, refuse or confirm."""
-    speed = spelled(state["speed_kmh"])
     mode, percent = F.try_element_at(arguments, F.lit("mode")), F.try_element_at(arguments, F.lit("percent"))
     given = F.coalesce(F.map_contains_key(arguments, F.lit("percent")), F.lit(False))
     opened = F.when(~given, F.lit(100.0)).when(is_number(percent), as_double(percent)).when(kind(percent) == "bool", (as_text(percent) == "true").cast("double"))
     off = F.coalesce((kind(mode) == "str") & (as_text(mode) == "off"), F.lit(False))
+    speed = F.lit("{speed}")  # put in last, so that it is spelled in one place
     unlock = F.concat(F.lit("Xe đang chạy "), speed, F.lit(" km/h, mở khoá cửa lúc này không an toàn. Bạn dừng hẳn xe rồi mình mở nhé."))
     lights = F.lit("Trời tối mà xe đang chạy, tắt đèn lúc này không an toàn nên mình giữ đèn bật.")
     window = F.concat(F.lit("Xe đang chạy "), speed, F.lit(" km/h, mở cửa sổ "), spelled(opened), F.lit("% sẽ rất ồn và gió mạnh. Bạn chắc chắn muốn mở chứ?"))
-    return (
+    found = (
         F.when((name == "unlock_doors") & moving(state), _verdict("refuse", "unlock_while_moving", unlock))
         .when((name == "set_lights") & off & state["is_night"] & moving(state), _verdict("refuse", "lights_off_at_night", lights))
         .when((name == "open_window") & (state["speed_kmh"] > WINDOW_SPEED) & (opened >= WINDOW_PERCENT), _verdict("confirm", "window_high_speed", window))
         .otherwise(_verdict("allow", "", F.lit("")))
     )
+    with_speed = lambda v: F.when(F.contains(v["message"], speed), F.replace(v["message"], speed, spelled(state["speed_kmh"]))).otherwise(v["message"])
+    return let(found, lambda v: F.struct(v["decision"].alias("decision"), v["rule"].alias("rule"), with_speed(v).alias("message")))
 
 
 @once
@@ -191,4 +249,4 @@ def _guarded(act: Column, state: Column, confirmed: Column) -> Column:
     return F.when(act["kind"] != "call", act).otherwise(let(judged, decide))
 
 
-__all__ = ["ACTION", "CALL", "STATE", "action", "check_call", "check_calls", "guard_action", "render_state", "state_from_json", "state_of", "type_ok", "validate_call", "validate_variant"]
+__all__ = ["ACTION", "CALL", "STATE", "action", "check_call", "check_calls", "guard_action", "render_state", "state_from_json", "state_of", "type_ok", "validate", "validate_call", "validate_variant"]

@@ -157,22 +157,29 @@ def _readings() -> Column:
     return F.create_map(*[x for n in range(101) for x in (F.lit(n), F.array(*map(F.lit, number_words(n))))])
 
 
-def _has(padded: Column, phrase: Column) -> Column:
-    return F.contains(padded, F.concat(F.lit(" "), phrase, F.lit(" ")))
+def says(normalized: Column, phrase: Column) -> Column:
+    """Whether a normalised text has a normalised phrase as whole words."""
+    return F.contains(F.concat(F.lit(" "), normalized, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
+
+
+def says_number(normalized: Column, whole: Column) -> Column:
+    """Whether a normalised text says a whole number (a long): as digits with none beside them, or in words."""
+    digits = F.regexp_like(normalized, F.concat(F.lit("(^|[^0-9])"), whole.cast("string"), F.lit("([^0-9]|$)")))
+    spoken = F.coalesce(F.try_element_at(_readings(), whole.cast("int")), F.array().cast("array<string>"))
+    return digits | F.exists(spoken, lambda w: says(normalized, w))
 
 
 def mentions_number(text: Column, n: Column) -> Column:
-    """Whether a text says a number: as digits with none beside them, or in words; a fraction as <whole>.5, <whole>,5 or "<whole> ruoi"."""
+    """Whether a text says a number; a fraction as <whole>.5, <whole>,5 or "<whole> ruoi"."""
     value = n.cast("double")
     whole = F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("long")
-    digits = let(normalize(text), lambda t: F.regexp_like(t, F.concat(F.lit("(^|[^0-9])"), whole.cast("string"), F.lit("([^0-9]|$)"))) | F.exists(F.coalesce(F.try_element_at(_readings(), whole.cast("int")), F.array().cast("array<string>")), lambda w: _has(F.concat(F.lit(" "), t, F.lit(" ")), w)))
     half = F.regexp_like(fold(text), F.concat(whole.cast("string"), F.lit("[.,]5|"), whole.cast("string"), F.lit(" ruoi")))
-    return F.when(value == F.floor(value), digits).otherwise(half)
+    return F.when(value == F.floor(value), let(normalize(text), lambda t: says_number(t, whole))).otherwise(half)
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:
     """Whether the normalised text has the normalised phrase as whole words."""
-    return _has(F.concat(F.lit(" "), normalize(text), F.lit(" ")), normalize(phrase))
+    return says(normalize(text), normalize(phrase))
 
 
 def mostly_english(text: Column, usual: Iterable[str] = ENGLISH, least: int = 3, share: float = 0.3) -> Column:

@@ -54,10 +54,74 @@ def arguments_of(json: Column) -> Column:
     return let(F.from_json(json, "map<string,variant>"), last)
 
 
+#: Powers of ten as the nearest doubles, from 10 ** -LEAST_POWER on; those from 1 on are exact.
+LEAST_POWER = 6
+_POWERS = [float(f"1e{i}") for i in range(-LEAST_POWER, 23)]
+
+
+def _power(e: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, _POWERS)), (e + LEAST_POWER + 1).cast("int"))
+
+
+def _rest(a: Column, b: Column, product: Column) -> Column:
+    """a * b - product, exactly, where product is a * b rounded: by halves of 26 bits."""
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * 134217729.0 - (x * 134217729.0 - x)
+        return high, x - high
+
+    (a1, a2), (b1, b2) = halves(a), halves(b)
+    return ((a1 * b1 - product) + a1 * b2 + a2 * b1) + a2 * b2
+
+
+def _rounded(size: Column, e: Column) -> Column:
+    """size / 10 ** (e - 5) to the nearest whole number, a half to the even one; exactly, as C's printf does it."""
+    scale = F.when(e <= 5, _power(5 - e)).otherwise(_power(e - 5))
+
+    def of(x: Column) -> Column:
+        # up: near is the rounded product and off what it lacks; down: the rounded quotient, and the remainder over the scale
+        off = F.when(e <= 5, _rest(size, x["scale"], x["near"])).otherwise(((size - x["near"] * x["scale"]) - _rest(x["near"], x["scale"], x["near"] * x["scale"])) / x["scale"])
+        whole = F.floor(x["near"]).cast("long")
+        beyond = (x["near"] - whole.cast("double") - 0.5) + off
+        return F.when((beyond > 0) | ((beyond == 0) & (whole % 2 == 1)), whole + 1).otherwise(whole)
+
+    return let(scale, lambda s: let(F.struct(s.alias("scale"), F.when(e <= 5, size * s).otherwise(size / s).alias("near")), of))
+
+
+def _bare(digits: Column) -> Column:
+    """A number's digits without zeros at the end of a fraction."""
+    return F.when(F.contains(digits, F.lit(".")), F.regexp_replace(digits, r"\.?0*$", "")).otherwise(digits)
+
+
+@once
 def spelled(x: Column) -> Column:
-    """A double as %g writes it, up to six digits: no fraction where it is whole."""
-    rounded = F.round(x, 5)
-    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(rounded.cast("string"))
+    """A double as %g writes it: six significant digits, no zeros at a fraction's end, and an exponent below 1e-4 and from 1e6 on, as rounded. Beyond 1e-6 and 1e22 the last digit is Java's."""
+    size = F.abs(x)
+    sign = F.when(x < 0, F.lit("-")).otherwise(F.lit(""))
+    near = F.floor(F.log10(size)).cast("int")
+    own = F.when(size < _power(near), near - 1).when(size >= _power(near + 1), near + 1).otherwise(near)
+
+    def digits(v: Column) -> Column:
+        carried = v["m"] >= 1000000
+        e, m = F.when(carried, v["e"] + 1).otherwise(v["e"]), F.when(carried, F.lit(100000).cast("long")).otherwise(v["m"])
+        return let(F.struct(e.alias("e"), F.lpad(m.cast("string"), 6, "0").alias("d")), written)
+
+    def written(v: Column) -> Column:
+        e, d = v["e"], v["d"]
+        one = F.lit(1)
+        plain = F.when(e < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)).otherwise(F.concat(F.substring(d, one, e + 1), F.lit("."), F.substring(d, e + 2, F.lit(6))))
+        power = F.concat(F.when(e < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
+        return F.when((e >= -4) & (e < 6), _bare(plain)).otherwise(F.concat(_bare(F.concat(F.substring(d, one, one), F.lit("."), F.substring(d, F.lit(2), F.lit(5)))), power))
+
+    exact = F.concat(sign, let(own, lambda e: let(F.struct(e.alias("e"), _rounded(size, e).alias("m")), digits)))
+    return (
+        F.when(x.isNull(), F.lit(None).cast("string"))
+        .when(F.isnan(x), F.lit("nan"))
+        .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+        .when((x == F.floor(x)) & (size < 1e6), x.cast("bigint").cast("string"))
+        .when((size < 1e21) & (size >= 1e-5), exact)
+        .otherwise(F.regexp_replace(F.format_string("%.5e", x), r"\.?0+e", "e"))
+    )
 
 
 @once
