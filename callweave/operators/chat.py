@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import registry as R
 from ..functions.rules import render_state
 from ..functions.text import let
 from ..functions.values import CALLS
@@ -54,18 +58,61 @@ def _call_json(c: Column) -> Column:
     return F.concat(F.lit('{"name": '), F.to_json(c["name"].cast("variant")), F.lit(', "arguments": '), F.to_json(c["arguments"]), F.lit("}"))
 
 
-def render_chatml(messages: Column, tools_json: str | None = None, add_generation_prompt: bool = True) -> Column:
-    """Messages as ChatML text: tools are declared in the system's message, calls are tool-call blocks, and the last answer follows an empty thought."""
-    declared = "" if tools_json is None else f"\n\n# Tools\n\n<tools>\n{tools_json}\n</tools>\n\nFor each function call, return a JSON object with function name and arguments within <tool_call></tool_call> tags."
+@dataclass(frozen=True)
+class Template:
+    """How a model's messages are written: {role}, {tools} and {call} stand for a role's name, the tools' JSON and a call's."""
+
+    begin: str = ""
+    open: str = "<|im_start|>{role}\n"
+    close: str = "<|im_end|>\n"
+    roles: tuple[tuple[str, str], ...] = ()  # roles with another name in the text
+    tools: str = "\n\n# Tools\n\n<tools>\n{tools}\n</tools>\n\nFor each function call, return a JSON object with function name and arguments within <tool_call></tool_call> tags."
+    call: str = "<tool_call>\n{call}\n</tool_call>"
+    thought: str = "<think>\n\n</think>\n\n"  # before each answer
+
+
+CHATML = Template()
+
+
+def render(messages: Column, template: Template = CHATML, tools_json: str | None = None, add_generation_prompt: bool = True) -> Column:
+    """Messages as text by a template: tools are declared in the system's message, calls follow the content, and answers follow an empty thought."""
+    names = dict(template.roles)
+    role_of = lambda m: F.coalesce(*([R.lookup(names, m["role"])] if names else []), m["role"])
+
+    def filled(form: str, mark: str, value: Column) -> Column:
+        head, _, tail = form.partition(mark)
+        return F.concat(F.lit(head), value, F.lit(tail)) if mark in form else F.lit(form)
 
     def one(m: Column) -> Column:
-        calls = F.transform(m["tool_calls"], lambda c: F.concat(F.lit("<tool_call>\n"), _call_json(c), F.lit("\n</tool_call>")))
+        calls = F.transform(m["tool_calls"], lambda c: filled(template.call, "{call}", _call_json(c)))
         body = F.concat_ws("\n", F.when((F.coalesce(m["content"], F.lit("")) != "") | m["tool_calls"].isNull(), F.coalesce(m["content"], F.lit(""))), calls)
-        more = F.when(m["role"] == "system", F.lit(declared)).otherwise(F.lit(""))
-        thought = F.when(m["role"] == "assistant", F.lit("<think>\n\n</think>\n\n")).otherwise(F.lit(""))
-        return F.concat(F.lit("<|im_start|>"), m["role"], F.lit("\n"), thought, body, more, F.lit("<|im_end|>\n"))
+        more = F.when(m["role"] == "system", F.lit("" if tools_json is None else template.tools.replace("{tools}", tools_json))).otherwise(F.lit(""))
+        thought = F.when(m["role"] == "assistant", F.lit(template.thought)).otherwise(F.lit(""))
+        return F.concat(filled(template.open, "{role}", role_of(m)), thought, body, more, F.lit(template.close))
+
+    prompt = template.open.replace("{role}", names.get("assistant", "assistant")) + template.thought if add_generation_prompt else ""
+    return F.concat(F.lit(template.begin), F.array_join(F.transform(messages, one), ""), F.lit(prompt))
 
-    return F.concat(F.array_join(F.transform(messages, one), ""), F.lit("<|im_start|>assistant\n<think>\n\n</think>\n\n" if add_generation_prompt else ""))
+
+def render_chatml(messages: Column, tools_json: str | None = None, add_generation_prompt: bool = True) -> Column:
+    """Messages as ChatML text."""
+    return render(messages, CHATML, tools_json, add_generation_prompt)
+
+
+def render_jinja(messages: Column, template: str, tools: list[dict] | None = None, add_generation_prompt: bool = True, **values) -> Column:
+    """Messages as text by a model's Jinja template, in Arrow batches; an ImportError where jinja2 is not installed."""
+    import jinja2.ext
+    import jinja2.sandbox
+
+    def of(rows: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        env = jinja2.sandbox.ImmutableSandboxedEnvironment(trim_blocks=True, lstrip_blocks=True, extensions=[jinja2.ext.loopcontrols])
+        env.filters["tojson"] = lambda x, **how: json.dumps(x, **{"ensure_ascii": False, **how})
+        form = env.from_string(template)
+        for texts in rows:
+            yield pd.Series([form.render(messages=json.loads(t), tools=tools, add_generation_prompt=add_generation_prompt, **values) for t in texts])
+
+    of.__annotations__ = {"rows": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(of, "string")(F.to_json(to_api_messages(messages)))
 
 
 def split_prompt_completion(messages: Column, render: Callable[[Column, bool], Column]) -> Column:
@@ -146,3 +193,10 @@ def plan_steps(n: int, per_step: int, epochs: float, tokens_per_item: float, tok
     """Training steps: all epochs, or what fits the minutes if that is less; one at least."""
     all_epochs = -(-n * epochs // per_step)
     return max(1, int(min(all_epochs, minutes * 60 * tokens_per_second // (per_step * tokens_per_item))))
+
+
+def planned_steps(n: Column, per_step: int, epochs: float, tokens_per_item: Column, tokens_per_second: float, minutes: float) -> Column:
+    """plan_steps of columns."""
+    whole = F.ceil(n * F.lit(float(epochs)) / per_step)
+    fits = F.floor(F.lit(minutes * 60.0 * tokens_per_second) / (tokens_per_item * per_step))
+    return F.greatest(F.lit(1).cast("long"), F.least(whole.cast("long"), fits.cast("long")))

@@ -2,9 +2,11 @@
 
 Rows come in an explicit order. A row goes if an earlier row that stays, of the same key, has a similarity above the
 threshold and a number of n-grams within `sizes` of this row's. The result is exact: pairs come from an inverted index of
-each row's rarest n-grams (rows above the threshold share one of the first |B| - ceil(t |B|) + 1), and the greedy order is
-resolved in rounds over the pairs. Rows with equal n-gram sets are one row of the index, so groups of copies, however
-large, make no pairs; and the rarest n-grams of a key are in few of its rows.
+each row's rarest n-grams (rows above the threshold share one of the first |B| - ceil(t |B|) + 1, in any one order of
+n-grams), and the greedy order is resolved in rounds over the pairs. N-grams are compared as their 64-bit hashes, which
+rows keep from the first step on. Rows with equal n-gram sets are one row of the index, so groups of copies, however
+large, make no pairs; and the rarest n-grams are in few rows. A round resolves all rows whose earlier neighbours are
+resolved: rounds are as many as the longest chain of such rows, a few in texts, whatever their number.
 """
 
 from __future__ import annotations
@@ -16,12 +18,17 @@ from ..functions.text import char_ngrams
 from .storage import stored
 
 
+def gram_set(text: Column) -> Column:
+    """The distinct n-grams of a text as sorted hashes."""
+    return F.array_sort(F.transform(char_ngrams(text), lambda g: F.xxhash64(g)))
+
+
 def similar_pairs(rows: DataFrame, threshold: float, sizes: float = 0.3) -> DataFrame:
-    """a, b, similarity: pairs (a before b) of rows (seq, key, grams) of equal key above the threshold."""
+    """a, b, similarity: pairs (a before b) of stored rows (seq, key, grams) of equal key above the threshold."""
     grams = rows.select("seq", "key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    rare = grams.groupBy("key", "gram").agg(F.count("*").alias("df"))
+    rare = grams.groupBy("gram").agg(F.count("*").alias("df"))
     first = F.col("n") - F.ceil(F.col("n") * threshold) + 1
-    ordered = grams.join(rare, ["key", "gram"]).groupBy("seq", "key").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"), F.first("n").alias("n"))
+    ordered = grams.join(rare, "gram").groupBy("seq", "key").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"), F.first("n").alias("n"))
     prefix = ordered.select("seq", "key", "n", F.explode(F.slice("g", F.lit(1), F.greatest(first, F.lit(1)).cast("int"))).alias("x")).select("seq", "key", "n", "x.gram")
     a, b = prefix.alias("a"), prefix.alias("b")
     near = F.abs(F.col("b.n") - F.col("a.n")) <= F.col("b.n") * sizes
@@ -48,7 +55,7 @@ def dropped_by(pairs: DataFrame) -> DataFrame:
 def dedupe(rows: DataFrame, seq: Column, key: Column, text: Column, threshold: float = 0.85, sizes: float = 0.3) -> DataFrame:
     """rows with `duplicate`: whether a row is dropped, in the order of seq, which must be unique."""
     marked = rows.withColumn("__seq", seq)
-    grams = marked.select(F.col("__seq").alias("seq"), key.alias("key"), F.array_sort(char_ngrams(text)).alias("grams"))
+    grams = marked.select(F.col("__seq").alias("seq"), key.alias("key"), gram_set(text).alias("grams"))
     grams = stored(grams.withColumn("set", F.xxhash64("grams")), "grams")
     if threshold >= 1:
         return marked.withColumn("duplicate", F.lit(False)).drop("__seq")

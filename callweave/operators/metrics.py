@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import registry as R
 from ..functions.rules import validate_call
-from ..functions.values import actions_match, arg_counts, calls_equal
+from ..functions.values import arg_counts, calls_equal
 
 # Columns of the report's tables.
 MAIN = (
@@ -35,7 +37,6 @@ def _facts(pred: str) -> list[Column]:
         g["kind"].alias("g"),
         p["kind"].alias("p"),
         p["valid_format"].alias("valid"),
-        actions_match(g, p).alias("match"),
         F.when(call, names(g["calls"]) == names(p["calls"])).alias("tools"),
         F.when(call, calls_equal(g["calls"], p["calls"])).alias("equal"),
         F.when(call, F.size(g["calls"])).alias("n_gold"),
@@ -46,27 +47,55 @@ def _facts(pred: str) -> list[Column]:
     ]
 
 
-def percentile_at(values: Column, share: float) -> Column:
-    """Of an ascending array, the element at 0-based place floor(share n), the last at most; null for none."""
-    n = F.size(values)
-    return F.when(n > 0, F.element_at(values, F.least(n, F.floor(F.lit(share).cast("double") * n) + 1).cast("int")))
+def at_places(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each value of `by`: the elements at some places (from 1, of the number of values) among the ascending values; and n.
+
+    Equal values are counted first, and a running sum over the counts finds the places: no group is gathered in a row. By
+    is null-safe; nulls of value do not count.
+    """
+    whole = Window.partitionBy(*by, "__")  # a column even where by is empty
+    counts = rows.where(F.col(value).isNotNull()).select(*by, F.lit(0).alias("__"), value).groupBy(*by, "__", value).agg(F.count("*").alias("__n"))
+    placed = counts.withColumn("__upto", F.sum("__n").over(whole.orderBy(value))).withColumn("__all", F.sum("__n").over(whole))
+    found = [F.min(F.when(F.col("__upto") >= place(F.col("__all")), F.col(value))).alias(name) for name, place in places.items()]
+    return placed.groupBy(*by).agg(F.sum("__n").alias("n"), *found)
+
+
+def percentile_place(share: float) -> Callable[[Column], Column]:
+    """The place of the element at 0-based floor(share n), the last at most."""
+    return lambda n: F.least(n, F.floor(F.lit(share).cast("double") * n) + 1)
+
+
+#: Places of the two elements whose mean is the median.
+MEDIAN = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor((n + 2) / 2)}
+
+
+def length_stats(rows: DataFrame, by: list[str], length: str) -> DataFrame:
+    """For each value of `by`: n, p50 (the element at 0-based floor(n / 2)), most and mean of lengths."""
+    places = at_places(rows, by, length, {"p50": lambda n: F.floor(n / 2) + 1})
+    return _with(places, rows.groupBy(*by).agg(F.max(length).alias("most"), F.avg(length).alias("mean")), by)
 
 
-def _median(values: Column) -> Column:
-    """Of an ascending array; null for none."""
-    n = F.size(values)
-    return F.when(n > 0, (F.element_at(values, F.floor((n + 1) / 2).cast("int")) + F.element_at(values, F.floor((n + 2) / 2).cast("int"))) / 2)
+def _with(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Two frames of one row for each value of `by`, null ones too, joined."""
+    names = [f"__by{i}" for i in range(len(by))]
+    other = right.select(*(F.col(k).alias(n) for k, n in zip(by, names, strict=True)), *(c for c in right.columns if c not in by))
+    on = F.lit(True)
+    for k, n in zip(by, names, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(n))
+    return left.join(other, on, "left").drop(*names)
 
 
 def compute_metrics(rows: DataFrame, pred: str = "pred", by: list[str] | None = None) -> DataFrame:
     """All measures of rows (gold, pred, scenario; latency_s and tokens_per_s if they are columns), for each value of `by`; and the counts tp, fp, fn of arguments.
 
     Ratios are null on an empty base; argument F1 and the shares by scenario are not. Rows are judged once: sums by
-    scenario come first, and sums of those. The latency's percentiles collect one number a row within a group.
+    scenario come first, and sums of those. The latency's percentiles come from the counts of its values.
     """
     by = by or []
     timed = "latency_s" in rows.columns
-    facts = rows.select(*by, *_facts(pred), *(["latency_s", "tokens_per_s"] if timed else []))
+    facts = rows.select(*by, *_facts(pred), *(["tokens_per_s"] if timed else []))
+    right = F.coalesce((F.col("g") == F.col("p")) & ((F.col("g") != "call") | F.col("equal")), F.lit(False))
+    facts = facts.withColumn("match", right)
     n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
     total = lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("long")
     g, p, c = F.col("g"), F.col("p"), F.col
@@ -90,11 +119,13 @@ def compute_metrics(rows: DataFrame, pred: str = "pred", by: list[str] | None =
         "multi_equal": n((c("n_gold") > 1) & c("equal")),
     }
     rate = F.when(c("tokens_per_s") != 0, c("tokens_per_s"))
-    lists = [F.collect_list("latency_s").alias("lat"), F.sum(rate).alias("rate"), F.count(rate).alias("rated")] if timed else []
+    lists = [F.sum(rate).alias("rate"), F.count(rate).alias("rated")] if timed else []
     per = facts.groupBy(*by, F.coalesce("scenario", F.lit("?")).alias("scenario")).agg(*(v.alias(k) for k, v in sums.items()), *lists)
     shares = F.map_from_entries(F.array_sort(F.collect_list(F.struct("scenario", F.round(c("match") / c("n"), 4)))))
-    lists = [F.array_sort(F.flatten(F.collect_list("lat"))).alias("lat"), (F.sum("rate") / F.when(F.sum("rated") > 0, F.sum("rated"))).alias("rate")] if timed else []
+    lists = [(F.sum("rate") / F.when(F.sum("rated") > 0, F.sum("rated"))).alias("rate")] if timed else []
     whole = per.groupBy(*by).agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in sums), shares.alias("exact_by_scenario"), *lists)
+    if timed:
+        whole = _with(whole, at_places(rows, by, "latency_s", MEDIAN | {"p95": percentile_place(0.95)}).drop("n"), by)
     return whole.select(
         *by,
         "n",
@@ -113,7 +144,7 @@ def compute_metrics(rows: DataFrame, pred: str = "pred", by: list[str] | None =
         ratio(c("refuse_call"), c("g_refuse")).alias("unsafe_call"),
         ratio(c("over"), c("g_other")).alias("false_refusal"),
         ratio(c("multi_equal"), c("multi")).alias("multi_exact"),
-        *([F.round(_median(c("lat")), 3).alias("latency_p50_s"), F.round(percentile_at(c("lat"), 0.95), 3).alias("latency_p95_s"), F.round("rate", 1).alias("tokens_per_s")] if timed else []),
+        *([F.round((c("low") + c("high")) / 2, 3).alias("latency_p50_s"), F.round("p95", 3).alias("latency_p95_s"), F.round("rate", 1).alias("tokens_per_s")] if timed else []),
         "exact_by_scenario",
         "tp",
         "fp",

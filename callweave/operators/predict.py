@@ -89,15 +89,29 @@ def generated(records: DataFrame, factory: Callable[[], Backend], system: str =
     return records.select("id", messages.alias("messages")).mapInArrow(run, _ANSWER)
 
 
-def predict(records: DataFrame, factory: Callable[[], Backend], system: str, dataset: str, **options) -> DataFrame:
-    """id, system, dataset, scenario, user, gold, pred, pred_guarded, raw, latency_s, prompt_tokens, completion_tokens, tokens_per_s for each record.
+def _answered(records: DataFrame, factory: Callable[[], Backend], guard: bool, options: dict) -> DataFrame:
+    """records with pred, pred_guarded and the answers' columns.
 
-    A failed call is a reply of invalid format with a note. The answers are stored before they are read, so that no model
-    is called twice.
+    A failed call is a reply of invalid format with a note. A record's `confirmed`, if there is such a column, tells the guard
+    that the user has just confirmed. The answers are stored before they are read, so that no model is called twice.
     """
     answers = stored(generated(records, factory, **options), "answers")
     failed = action(F.lit("reply"), None, F.lit(""), F.lit(False), F.array(F.concat(F.lit("lỗi: "), F.coalesce("error", F.lit("")))))
     pred = F.when(F.col("error").isNotNull(), failed).otherwise(from_openai_message(F.col("content"), F.col("tool_calls")))
     rate = F.when(F.col("latency_s") > 0, F.round(F.col("completion_tokens") / F.col("latency_s"), 1)).otherwise(F.lit(0.0))
-    rows = records.join(answers, "id").withColumn("pred", pred)
-    return rows.select("id", F.lit(system).alias("system"), F.lit(dataset).alias("dataset"), F.coalesce("scenario", F.lit("?")).alias("scenario"), "user", "gold", "pred", guard_action(F.col("pred"), F.col("state")).alias("pred_guarded"), F.col("content").alias("raw"), "latency_s", "prompt_tokens", "completion_tokens", rate.alias("tokens_per_s"))
+    rows = records.join(answers, "id").withColumn("pred", pred).withColumn("tokens_per_s", rate)
+    confirmed = F.coalesce(F.col("confirmed"), F.lit(False)) if "confirmed" in records.columns else None
+    return rows.withColumn("pred_guarded", guard_action(F.col("pred"), F.col("state"), confirmed) if guard else F.col("pred"))
+
+
+def predict(records: DataFrame, factory: Callable[[], Backend], system: str, dataset: str, **options) -> DataFrame:
+    """id, system, dataset, scenario, user, gold, pred, pred_guarded, raw, latency_s, prompt_tokens, completion_tokens, tokens_per_s for each record."""
+    rows = _answered(records, factory, True, options)
+    return rows.select("id", F.lit(system).alias("system"), F.lit(dataset).alias("dataset"), F.coalesce("scenario", F.lit("?")).alias("scenario"), "user", "gold", "pred", "pred_guarded", F.col("content").alias("raw"), "latency_s", "prompt_tokens", "completion_tokens", "tokens_per_s")
+
+
+def decide(records: DataFrame, factory: Callable[[], Backend], guard: bool = True, **options) -> DataFrame:
+    """id, action, meta (backend, latency_s, prompt_tokens, completion_tokens, tokens_per_s) for each request (id, user, state, history; confirmed if the user has just confirmed)."""
+    rows = _answered(records, factory, guard, options)
+    meta = F.struct(F.lit(getattr(factory, "__name__", type(factory).__name__)).alias("backend"), "latency_s", "prompt_tokens", "completion_tokens", "tokens_per_s")
+    return rows.select("id", F.col("pred_guarded").alias("action"), meta.alias("meta"))

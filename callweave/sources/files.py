@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.metrics import GUARDED, MAIN, markdown
 
@@ -20,14 +21,44 @@ def write_splits(records: DataFrame, path: str, column: str = "split") -> None:
     records.write.partitionBy(column).mode("overwrite").json(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def append_new(spark: SparkSession, rows: DataFrame, path: str, key: str = "id") -> int:
-    """Append the rows whose key is not yet under path, and tell how many there were; a second run appends none."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path)
-    new = rows.join(spark.read.schema(f"{key} string").json(path), key, "left_anti") if there else rows
-    before = spark.read.schema(f"{key} string").json(path).count() if there else 0
-    new.write.mode("append").json(path)
-    return spark.read.schema(f"{key} string").json(path).count() - before
+    """Append the rows whose key is not yet under path, and tell how many there were; a second run appends none. The keys there are read once."""
+    new = rows.join(spark.read.schema(f"{key} string").json(path), key, "left_anti") if exists(spark, path) else rows
+    seen = Observation()
+    new.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
+    return seen.get["n"]
+
+
+def write_pairs(pairs: DataFrame, path: str) -> dict[str, int]:
+    """Preference pairs as JSON lines, in place of what was there; and how many there are of each type, the most first."""
+    pairs.write.mode("overwrite").json(path)
+    counts = pairs.sparkSession.read.schema("type string").json(path).groupBy("type").agg(F.count("*").alias("n"))
+    return {r["type"]: r["n"] for r in counts.orderBy(F.desc("n"), "type").collect()}  # a row for each type
+
+
+def done(spark: SparkSession, path: str, n: int, source: str | None = None) -> bool:
+    """Whether a file or folder of lines has n of them and is newer than its source, if one is named."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+
+    def changed(name: str) -> int:
+        p = fs_path(name)
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(p, True)
+        last = 0
+        while files.hasNext():
+            last = max(last, files.next().getModificationTime())
+        return last
+
+    return exists(spark, path) and spark.read.text(path).count() == n and (source is None or changed(path) > changed(source))
+
+
+def head(rows: DataFrame, seq: Column, n: int) -> DataFrame:
+    """The first n rows in the order of seq."""
+    return rows.orderBy(seq).limit(n)
 
 
 def report_json(results: Sequence[dict]) -> str:

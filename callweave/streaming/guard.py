@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import NAMESPACE_URL, uuid5
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.parse import action_to_json, parse_output
 from ..functions.rules import guard_action, state_from_json
-from ..sources.files import append_new
+from ..operators.storage import stored
+from ..sources.files import exists
 
 
 def guarded(stream: DataFrame) -> DataFrame:
@@ -18,10 +21,19 @@ def guarded(stream: DataFrame) -> DataFrame:
 
 
 def append_once(stream: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append a stream's rows to JSON lines; rows whose id is already there are left out, so a batch that is run again adds none."""
+    """Append a stream's rows to JSON lines, each id once.
+
+    Ids of earlier batches are in the checkpointed state, so no batch reads the sink. Ids that the sink has at the start are
+    left out, whatever wrote them. A batch has a folder of its own and writes all of it, so one that is run again adds none.
+    """
+    spark = stream.sparkSession
+    new = stream.dropDuplicates(["id"])
+    if exists(spark, path):
+        new = new.join(stored(spark.read.schema("id string").json(path).select("id"), "ids"), "id", "left_anti")
+    run = uuid5(NAMESPACE_URL, checkpoint).hex
 
-    def batch(rows: DataFrame, _: int) -> None:
-        append_new(rows.sparkSession, rows.dropDuplicates(["id"]), path)
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").json(f"{path}/run={run}/batch={number}")
 
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+    writer = new.writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (writer.trigger(availableNow=True) if once else writer).start()

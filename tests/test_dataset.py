@@ -1,6 +1,7 @@
 import json
 import random
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import parse as P
 from callweave.functions import rules as U
-from callweave.operators import chat, dataset, dedup, metrics, pairs, seeds
+from callweave.operators import chat, dataset, dedup, metrics, pairs, seeds, storage
 from callweave.operators.predict import Scripted, predict
 from callweave.operators.storage import stored
 from callweave.sources import files, writer
@@ -66,12 +67,12 @@ def test_split_is_stable_and_by_group(spark):
 @pytest.mark.parametrize(
     ("text", "tool", "param", "value", "says"),
     [
-        ("hai mươi hai độ nhé", "set_climate", "temperature", "22", True),
+        ("để hai mươi bảy độ", "set_climate", "temperature", "27", True),
         ("mở cửa ghế phụ", "open_window", "position", '"passenger"', True),
         ("mở cửa ghế lái", "open_window", "position", '"rear_left"', False),
-        ("toi ho tay", "navigate_to", "destination", '"Hồ Tây"', True),
-        ("tới Hồ Gươm", "navigate_to", "destination", '"Hồ Tây"', False),
-        ("biển p 131 a là gì", "lookup_sign", "code", '"P.131a"', True),
+        ("qua nui ba den di", "navigate_to", "destination", '"núi Bà Đen"', True),
+        ("qua núi Cấm", "navigate_to", "destination", '"núi Bà Đen"', False),
+        ("w 219 nghĩa là sao", "lookup_sign", "code", '"W.219"', True),
         ("nhắc sau nửa tiếng", "set_reminder", "minutes", "30", True),
         ("nhắc mua sữa", "set_reminder", "text", '"mua sữa cho con"', True),
         ("nhắc đón bạn", "set_reminder", "text", '"mua sữa cho con"', False),
@@ -200,9 +201,14 @@ def test_metrics_by_hand(spark):
     assert m["exact_by_scenario"] == {"chitchat": 0.0, "missing": 1.0, "single": 0.3333, "unsafe": 0.0}
 
 
-def test_percentile_place(spark):
-    values = F.array(*(F.lit(float(i)) for i in range(20)))
-    assert spark.range(1).select(metrics.percentile_at(values, 0.95).alias("x")).first()["x"] == 19.0
+def test_places_of_values(spark):
+    rows = spark.range(20).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v")).union(spark.createDataFrame([("b", 3.0), ("b", None), ("b", 3.0), (None, 1.0)], "k string, v double"))
+    got = {r.k: r for r in metrics.at_places(rows, ["k"], "v", metrics.MEDIAN | {"p95": metrics.percentile_place(0.95)}).collect()}
+    assert (got["a"].low, got["a"].high, got["a"].p95, got["a"].n) == (9.0, 10.0, 19.0, 20)
+    assert (got["b"].low, got["b"].high, got["b"].n) == (3.0, 3.0, 2) and got[None].p95 == 1.0
+    assert metrics.at_places(rows, [], "v", {"least": lambda n: F.lit(1)}).first()["least"] == 0.0
+    lengths = metrics.length_stats(rows.where("k = 'a'"), ["k"], "v").first()
+    assert (lengths.p50, lengths.most, lengths["mean"]) == (10.0, 19.0, 9.5)
 
 
 def test_perturbations_never_match(spark):
@@ -253,6 +259,52 @@ def test_token_rows(spark):
     assert chat.plan_steps(160, 16, 2, 500, 1000, 60) == 20 and chat.plan_steps(10, 16, 0.1, 500, 1, 0.1) == 1
 
 
+def test_templates(spark):
+    row = record(spark).withColumn("m", chat.record_messages(F.col("user"), F.col("state"), F.col("history"), F.col("gold")))
+    own = chat.Template(begin="<s>", open="[{role}] ", close="\n", roles=(("assistant", "model"),), tools=" tools={tools}", call="CALL {call}", thought="")
+    text = row.select(chat.render(F.col("m"), own, "[]").alias("x")).first()["x"]
+    assert text.startswith("<s>[system] ") and " tools=[]\n[user] <xe>" in text
+    assert text.endswith('[model] CALL {"name": "set_volume", "arguments": {"level":5}}\n[model] ')
+    with pytest.raises(ImportError):  # jinja2 is not installed here
+        chat.render_jinja(F.col("m"), "{{ messages }}")
+
+
+def test_sinks_and_freshness(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "x")], "id string, type string")
+    assert files.write_pairs(rows, str(tmp_path / "pairs")) == {"x": 2, "y": 1}
+    path = str(tmp_path / "pairs")
+    assert files.done(spark, path, 3) and not files.done(spark, path, 2) and not files.done(spark, str(tmp_path / "none"), 0)
+    time.sleep(1.1)
+    files.write_pairs(rows, str(tmp_path / "later"))
+    assert files.done(spark, str(tmp_path / "later"), 3, path) and not files.done(spark, path, 3, str(tmp_path / "later"))
+    assert [r.id for r in files.head(rows, F.col("id"), 2).collect()] == ["a", "b"]
+
+
+def test_scratch_goes_with_its_scope(spark):
+    base = storage.folder(spark)
+    there = lambda: {f.getPath().getName() for f in spark._jvm.org.apache.hadoop.fs.FileSystem.get(spark._jvm.java.net.URI(base), spark._jsc.hadoopConfiguration()).listStatus(spark._jvm.org.apache.hadoop.fs.Path(base))}
+    stored(spark.range(1), "outside")
+    before, conf = there(), dict(spark.conf.getAll)
+    with storage.scope(spark):
+        rows = spark.createDataFrame([(i, "a", "bat dieu hoa len") for i in range(9)], "seq int, key string, text string")
+        assert dedup.dedupe(rows, F.col("seq"), F.col("key"), F.col("text")).where("duplicate").count() == 8
+        assert there() > before
+    assert there() == before and dict(spark.conf.getAll) == conf
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: Session.conf)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.folder(Session)
+
+
 def test_client_policy():
     slept, asked = [], []
 
