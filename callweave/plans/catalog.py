@@ -6,6 +6,7 @@ The tables hold no tool calls, so calls, states and answers are derived from `ev
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from ..functions import text as T
 from ..functions import values as V
 from ..functions.parse import parse_output
 from ..operators import chat, dataset, dedup, metrics, pairs, seeds
+from ..operators.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,21 +81,35 @@ def ngram_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("role").agg(F.count("*").alias("n_turns"), F.sum("n").alias("n_grams"), F.max("n").alias("most"))
 
 
+_SQL_TURNS = f"""
+WITH RECURSIVE c AS (SELECT conv_id * 1000 + turn AS seq, role || '|' || turn AS key, text FROM conversations),
+u AS (SELECT * FROM c UNION ALL SELECT seq + 500000000, key, regexp_replace(text, ' [^ ]*$', '') FROM c WHERE seq % 3 = 0 UNION ALL SELECT seq + 700000000, key, regexp_replace(text, ' [^ ]* [^ ]*$', '') FROM c WHERE seq % 5 = 0),
+t AS (SELECT seq, key, {_sql_grams('text')} AS g FROM u),
+p AS (SELECT x.seq AS a, y.seq AS b, len(list_intersect(x.g, y.g)) AS shared, len(x.g) AS na, len(y.g) AS nb FROM t x JOIN t y ON x.key = y.key AND x.seq < y.seq AND abs(len(y.g) - len(x.g)) <= len(y.g) * 0.3)
+"""
+
+
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat_ws("|", "role", F.col("turn").cast("string")).alias("key"), "text")
+    """Conversations' turns, and near copies of some of them: without their last word, or their last two."""
+    c = _table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), F.concat_ws("|", "role", F.col("turn").cast("string")).alias("key"), "text")
+    one = c.where("seq % 3 = 0").select(F.col("seq") + 500000000, "key", F.regexp_replace("text", " [^ ]*$", ""))
+    two = c.where("seq % 5 = 0").select(F.col("seq") + 700000000, "key", F.regexp_replace("text", " [^ ]* [^ ]*$", ""))
+    return c.union(one).union(two)
 
 
-@_query(f"""
-WITH t AS (SELECT conv_id * 1000 + turn AS seq, role || '|' || turn AS key, {_sql_grams('text')} AS g FROM conversations),
-p AS (SELECT x.seq AS a, y.seq AS b, len(list_intersect(x.g, y.g)) AS shared, len(x.g) AS na, len(y.g) AS nb FROM t x JOIN t y ON x.key = y.key AND x.seq < y.seq AND abs(len(y.g) - len(x.g)) <= len(y.g) * 0.3)
-SELECT a, b, round(shared / (na + nb - shared), 6) AS similarity FROM p WHERE shared / (na + nb - shared) > 0.85
-""")
+@_query(_SQL_TURNS + "SELECT a, b, round(shared / (na + nb - shared), 6) AS similarity FROM p WHERE shared / (na + nb - shared) > 0.85")
 def ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _turns(spark, sf_dir).select("seq", "key", F.array_sort(T.char_ngrams(F.col("text"))).alias("grams"))
+    rows = stored(_turns(spark, sf_dir).select("seq", "key", dedup.gram_set(F.col("text")).alias("grams")), "grams")
     return dedup.similar_pairs(rows, 0.85).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@_query()
+@_query(_SQL_TURNS + """, near AS MATERIALIZED (SELECT a, b FROM p WHERE shared / (na + nb - shared) > 0.85),
+o AS MATERIALIZED (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS i FROM near GROUP BY b),
+-- rows with an earlier neighbour, one a step: one goes if a neighbour has not gone
+walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS gone UNION ALL SELECT o.i, CASE WHEN len(list_filter(o.before, lambda x: NOT list_contains(walk.gone, x))) > 0 THEN list_append(walk.gone, o.b) ELSE walk.gone END FROM walk JOIN o ON o.i = walk.i + 1),
+last AS (SELECT gone FROM walk ORDER BY i DESC LIMIT 1)
+SELECT seq, list_contains(gone, seq) AS duplicate FROM t, last
+""")
 def dedupe_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = dedup.dedupe(_turns(spark, sf_dir), F.col("seq"), F.col("key"), F.col("text"))
     return rows.select("seq", "duplicate")
@@ -121,8 +137,11 @@ def _sql_mentions(n: int) -> str:
 
 @_query(f"WITH x AS (SELECT doc_id, {_sql_norm('text')} AS t FROM documents) SELECT number, count(*) AS n_docs FROM (" + " UNION ALL ".join(map(_sql_mentions, _NUMBERS)) + ") GROUP BY number")
 def number_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select(F.col("text"), F.explode(F.array(*map(F.lit, _NUMBERS))).alias("number"))
-    return rows.where(T.mentions_number(F.col("text"), F.col("number"))).groupBy("number").agg(F.count("*").alias("n_docs"))
+    """Each text is normalised once, and gives a row for each number that it says."""
+    numbers = F.array(*(F.lit(n).cast("long") for n in _NUMBERS))
+    said = T.let(T.normalize(F.col("text")), lambda t: F.filter(numbers, lambda n: T.says_number(t, n)))
+    rows = _table(spark, sf_dir, "documents").select(F.explode(said).alias("number"))
+    return rows.groupBy(F.col("number").cast("int").alias("number")).agg(F.count("*").alias("n_docs"))
 
 
 _PHRASES = ("the", "is in", "for the", "de la", "que", "und", "pour", "password", "all", "on")
@@ -130,8 +149,8 @@ _PHRASES = ("the", "is in", "for the", "de la", "que", "und", "pour", "password"
 
 @_query(f"WITH x AS (SELECT ' ' || {_sql_norm('text')} || ' ' AS t FROM documents) SELECT p AS phrase, count(*) AS n_docs FROM x, (SELECT unnest([{', '.join(map(_quoted, _PHRASES))}]) AS p) WHERE contains(t, ' ' || p || ' ') GROUP BY p")
 def phrase_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").select(F.concat(F.lit(" "), T.normalize(F.col("text")), F.lit(" ")).alias("t"), F.explode(R.literal(_PHRASES)).alias("phrase"))
-    return rows.where(F.contains("t", F.concat(F.lit(" "), "phrase", F.lit(" ")))).groupBy("phrase").agg(F.count("*").alias("n_docs"))
+    said = T.let(T.normalize(F.col("text")), lambda t: F.filter(R.literal(_PHRASES), lambda p: T.says(t, p)))
+    return _table(spark, sf_dir, "documents").select(F.explode(said).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n_docs"))
 
 
 @_query(f"""
@@ -167,12 +186,16 @@ def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", dataset.split_of(F.concat_ws("|", "source", "lang")).alias("split"))
 
 
-@_query(f"WITH x AS (SELECT g, {_SQL_SPLIT} AS s FROM (SELECT conv_id::VARCHAR AS g FROM conversations)) SELECT count(*) AS n_turns, (SELECT count(*) FROM (SELECT g FROM x GROUP BY g HAVING count(DISTINCT s) > 1)) AS n_leaks FROM x")
+@_query(f"""
+WITH x AS (SELECT conv_id, 'conversation' AS unit, {_SQL_SPLIT} AS s FROM (SELECT conv_id, conv_id::VARCHAR AS g FROM conversations)
+UNION ALL SELECT conv_id, 'turn', {_SQL_SPLIT} FROM (SELECT conv_id, conv_id || '|' || turn AS g FROM conversations))
+SELECT unit, sum(n)::BIGINT AS n_turns, count(*) FILTER (n_splits > 1) AS n_leaks FROM (SELECT unit, conv_id, count(*) AS n, count(DISTINCT s) AS n_splits FROM x GROUP BY unit, conv_id) GROUP BY unit
+""")
 def split_leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("g"))
-    rows = rows.withColumn("s", dataset.split_of(F.col("g")))
-    per = rows.groupBy("g").agg(F.count("*").alias("n"), (F.min("s") != F.max("s")).alias("leak"))
-    return per.agg(F.sum("n").alias("n_turns"), F.count_if("leak").alias("n_leaks"))
+    """Conversations with rows on more than one side of the split: none if it goes by conversation, many if it goes by turn."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", F.explode(F.array(F.struct(F.lit("conversation").alias("unit"), F.col("conv_id").cast("string").alias("g")), F.struct(F.lit("turn").alias("unit"), F.concat_ws("|", "conv_id", "turn").alias("g")))).alias("x"))
+    per = rows.groupBy("x.unit", "conv_id").agg(F.count("*").alias("n"), (F.min(dataset.split_of(F.col("x.g"))) != F.max(dataset.split_of(F.col("x.g")))).alias("leak"))
+    return per.groupBy("unit").agg(F.sum("n").alias("n_turns"), F.count_if("leak").alias("n_leaks"))
 
 
 @_query(f"""
@@ -246,15 +269,28 @@ def invalid_reasons_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.top_reasons(_events(spark, sf_dir).select(U.validate_call(F.col("tool"), F.col("arguments")).alias("problems")))
 
 
-@_query(SQL_EVENTS + "SELECT event_id, 'tốc độ ' || speed::BIGINT || ' km/h; số P; ' || CASE WHEN night THEN 'ban đêm' ELSE 'ban ngày' END || '; pin 80%; cửa đã khoá' AS sentence FROM e")
+@_query("""
+WITH s AS (SELECT event_id, value, value / 7 AS cabin, value * event_id AS outside FROM events)
+SELECT event_id, 'tốc độ ' || printf('%g', CASE WHEN event_id % 4 = 3 THEN 0 ELSE value END) || ' km/h; số ' || CASE event_id % 3 WHEN 0 THEN 'D' ELSE 'P' END || '; ' || CASE WHEN event_id % 2 = 1 THEN 'ban đêm' ELSE 'ban ngày' END
+  || '; pin ' || CASE WHEN event_id % 5 = 0 THEN 80 ELSE event_id % 101 END || '%' || CASE WHEN event_id % 7 = 0 THEN ' (còn ~' || event_id % 400 || ' km)' ELSE '' END || '; cửa ' || CASE WHEN event_id % 6 = 0 THEN 'chưa khoá' ELSE 'đã khoá' END
+  || CASE WHEN event_id % 3 = 0 THEN '; trong xe ' || printf('%g', cabin) || '°C' ELSE '' END || CASE WHEN event_id % 3 = 1 THEN '; ngoài trời ' || printf('%g', outside) || '°C' ELSE '' END AS sentence FROM s
+""")
 def state_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).select("event_id", U.render_state(F.col("state")).alias("sentence"))
+    """States from JSON texts with some keys missing, some null and one unknown."""
+    i = F.col("event_id")
+    some = lambda cond, x: F.when(cond, x)
+    fields = {
+        "speed_kmh": some(i % 4 != 3, F.col("value")), "gear": some(i % 3 == 0, F.lit("D")), "is_night": i % 2 == 1, "battery_pct": some(i % 5 != 0, i % 101),
+        "range_km": some(i % 7 == 0, i % 400), "doors_locked": some(i % 6 == 0, F.lit(False)), "cabin_temp_c": some(i % 3 == 0, F.col("value") / 7), "outside_temp_c": some(i % 3 == 1, F.col("value") * i), "colour": F.lit("red"),
+    }
+    json = F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    return _table(spark, sf_dir, "events").select("event_id", U.render_state(U.state_from_json(json)).alias("sentence"))
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model's answer to each event: the right call in several spellings, broken, or words, by event_id mod 8."""
+    """A model's answer to each event: the right call in several spellings, wrong ones, broken ones, or words, by event_id mod 12."""
     rows = _events(spark, sf_dir)
-    k = F.col("event_id") % 8
+    k = F.col("event_id") % 12
     call = F.concat(F.lit('{"name":"'), F.col("tool"), F.lit('","arguments":'), F.col("args_json"), F.lit("}"))
     block = lambda x: F.concat(F.lit("<tool_call>"), x, F.lit("</tool_call>"))
     raw = (
@@ -265,46 +301,62 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 4, block(F.lit('{"name":"lock_doors","arguments":{"x"')))
         .when(k == 5, F.lit('{"a":1}'))
         .when(k == 6, F.lit("Bạn muốn đi đâu?"))
+        .when(k == 8, block(F.concat(F.lit('{"name":"set_fan","arguments":'), F.col("args_json"), F.lit("}"))))
+        .when(k == 9, block(F.concat(F.lit('{"name":"'), F.col("tool"), F.lit('","arguments":{"level":99}}'))))
+        .when(k == 10, F.lit("Xin lỗi, mình không thể làm việc này."))
+        .when(k == 11, block(F.concat(F.lit("["), call, F.lit(',{"name":"lock_doors","arguments":{}}]'))))
         .otherwise(F.concat(F.lit('<tool_call>{"type":"function","function":{"name":"'), F.col("tool"), F.lit('","parameters":'), F.col("args_json"), F.lit("}}}</tool_call>")))
     )
     return rows.withColumn("raw", raw)
 
 
-@_query(SQL_EVENTS + """, k AS (SELECT *, event_id % 8 AS k FROM v)
-SELECT event_id, CASE WHEN k = 5 THEN 'reply' WHEN k = 6 THEN 'ask' ELSE 'call' END AS kind, CASE WHEN k IN (0, 2, 3, 7) THEN 1 WHEN k = 1 THEN 2 ELSE 0 END AS n_calls,
-  k NOT IN (4, 5) AS valid_format, CASE WHEN k IN (4, 5, 6) THEN '' ELSE tool END AS first_name, CASE WHEN k = 2 THEN 'json trần, không có <tool_call>' WHEN k = 4 THEN '1 tool_call không parse được' WHEN k = 5 THEN 'json không đúng dạng tool call' ELSE '' END AS notes FROM k""")
+@_query(SQL_EVENTS + """, k AS (SELECT *, event_id % 12 AS k FROM v)
+SELECT event_id, CASE k WHEN 5 THEN 'reply' WHEN 6 THEN 'ask' WHEN 10 THEN 'refuse' ELSE 'call' END AS kind, CASE WHEN k IN (0, 2, 3, 7, 8, 9) THEN 1 WHEN k IN (1, 11) THEN 2 ELSE 0 END AS n_calls,
+  k NOT IN (4, 5) AS valid_format, CASE WHEN k IN (4, 5, 6, 10) THEN '' WHEN k = 8 THEN 'set_fan' ELSE tool END AS first_name, CASE k WHEN 2 THEN 'json trần, không có <tool_call>' WHEN 4 THEN '1 tool_call không parse được' WHEN 5 THEN 'json không đúng dạng tool call' ELSE '' END AS notes FROM k""")
 def tool_call_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _answers(spark, sf_dir).select("event_id", parse_output(F.col("raw")).alias("a"))
     return rows.select("event_id", "a.kind", F.size("a.calls").alias("n_calls"), "a.valid_format", F.coalesce(F.try_element_at("a.calls", F.lit(1))["name"], F.lit("")).alias("first_name"), F.array_join("a.notes", "; ").alias("notes"))
 
 
-def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gold: the rules' answer to the event's call; pred: what the model's answer says; scenario: the event's type."""
+def _predictions(spark: SparkSession, sf_dir: str, multi: bool = False) -> DataFrame:
+    """gold: the rules' answer to the event's call (multi: every fifth of two calls); pred: what the model's answer says; scenario: the event's type."""
     rows = _answers(spark, sf_dir)
     v = U.check_call(F.col("tool"), F.col("arguments"), F.col("state"))
-    gold = T.let(v, lambda x: F.when(x["decision"] == "refuse", U.action(F.lit("refuse"), None, x["message"])).when(x["decision"] == "confirm", U.action(F.lit("ask"), None, x["message"])).otherwise(U.action(F.lit("call"), _calls())))
-    return rows.select(F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("scenario"), gold.alias("gold"), parse_output(F.col("raw")).alias("pred"), "state", F.col("tool").alias("user"), F.lit(None).cast("array<struct<role: string, content: string>>").alias("history"), F.lit("standard").alias("style"), F.struct(_calls().alias("calls"), F.lit(None).cast("string").alias("omitted"), F.lit(None).cast("variant").alias("omitted_value")).alias("seed"))
+    lock = F.array(F.struct(F.lit("lock_doors").alias("name"), F.create_map().cast("map<string,variant>").alias("arguments"))).cast(V.CALLS)
+    calls = F.when(F.col("event_id") % 5 == 0, F.concat(_calls(), lock)).otherwise(_calls()) if multi else _calls()
+    gold = T.let(v, lambda x: F.when(x["decision"] == "refuse", U.action(F.lit("refuse"), None, x["message"])).when(x["decision"] == "confirm", U.action(F.lit("ask"), None, x["message"])).otherwise(U.action(F.lit("call"), calls)))
+    return rows.select("event_id", F.col("event_id").cast("string").alias("id"), F.col("event_type").alias("scenario"), gold.alias("gold"), parse_output(F.col("raw")).alias("pred"), "state", F.col("tool").alias("user"), F.lit(None).cast("array<struct<role: string, content: string>>").alias("history"), F.lit("standard").alias("style"), F.struct(_calls().alias("calls"), F.lit(None).cast("string").alias("omitted"), F.lit(None).cast("variant").alias("omitted_value")).alias("seed"))
 
 
-_SQL_JUDGED = SQL_EVENTS + """, j AS (SELECT *, event_id % 8 AS k, CASE decision WHEN 'refuse' THEN 'refuse' WHEN 'confirm' THEN 'ask' ELSE 'call' END AS g FROM v),
-m AS (SELECT *, CASE WHEN k = 5 THEN 'reply' WHEN k = 6 THEN 'ask' ELSE 'call' END AS p, CASE WHEN k IN (0, 2, 3, 7) THEN 1 WHEN k = 1 THEN 2 ELSE 0 END AS n_pred,
-  (SELECT 0) AS zero, CASE tool WHEN 'unlock_doors' THEN 0 WHEN 'open_window' THEN CASE WHEN percent = 100 THEN 1 ELSE 2 END ELSE 1 END AS n_args FROM j)
+_SQL_JUDGED = SQL_EVENTS + """, j AS (SELECT *, event_id % 12 AS k, CASE decision WHEN 'refuse' THEN 'refuse' WHEN 'confirm' THEN 'ask' ELSE 'call' END AS g FROM v),
+m AS (SELECT *, CASE k WHEN 5 THEN 'reply' WHEN 6 THEN 'ask' WHEN 10 THEN 'refuse' ELSE 'call' END AS p, CASE WHEN k IN (0, 2, 3, 7, 8, 9) THEN 1 WHEN k IN (1, 11) THEN 2 ELSE 0 END AS n_pred,
+  CASE tool WHEN 'unlock_doors' THEN 0 WHEN 'open_window' THEN CASE WHEN percent = 100 THEN 1 ELSE 2 END ELSE 1 END AS n_args, CASE tool WHEN 'unlock_doors' THEN 0 WHEN 'open_window' THEN 2 ELSE 1 END AS n_given FROM j)
+"""
+# of a right answer of two calls (two), the model gives both where k = 11
+_SQL_MEASURED = _SQL_JUDGED + """, f AS (SELECT *, g = 'call' AND event_id % 5 = 0 AS two FROM m),
+h AS (SELECT *, CASE WHEN two THEN k = 11 ELSE k IN (0, 2, 3, 7, 9) END AS tools, CASE WHEN two THEN k = 11 ELSE k IN (0, 2, 3, 7) END AS equal,
+  CASE WHEN k IN (8, 9) THEN 1 WHEN error IS NULL THEN 0 WHEN k = 1 THEN 2 WHEN k IN (0, 2, 3, 7, 11) THEN 1 ELSE 0 END AS invalid,
+  CASE WHEN k IN (0, 1, 2, 3, 7, 11) THEN n_args ELSE 0 END AS tp, CASE k WHEN 1 THEN n_args WHEN 8 THEN n_given WHEN 9 THEN 1 ELSE 0 END AS fp, CASE WHEN k IN (0, 1, 2, 3, 7, 11) THEN 0 ELSE n_args END AS fn FROM f)
 """
 
 
-@_query(_SQL_JUDGED + """
+@_query(_SQL_MEASURED + """
 SELECT event_type AS scenario, count(*) AS n, round(avg((k NOT IN (4, 5))::INTEGER), 4) AS format_valid, round(avg((g = p)::INTEGER), 4) AS kind_acc,
-  round(avg((g = p AND (g <> 'call' OR n_pred = 1))::INTEGER), 4) AS exact, round(avg(CASE WHEN g = 'call' THEN (n_pred = 1)::INTEGER END), 4) AS args_exact,
-  sum(CASE WHEN g = 'call' AND n_pred > 0 THEN n_args ELSE 0 END)::BIGINT AS tp, sum(CASE WHEN g = 'call' AND n_pred = 2 THEN n_args ELSE 0 END)::BIGINT AS fp, sum(CASE WHEN g = 'call' AND n_pred = 0 THEN n_args ELSE 0 END)::BIGINT AS fn
-FROM m GROUP BY event_type
+  round(avg((g = p AND (g <> 'call' OR equal))::INTEGER), 4) AS exact, round(avg(tools::INTEGER) FILTER (g = 'call'), 4) AS tool_acc, round(avg(equal::INTEGER) FILTER (g = 'call'), 4) AS args_exact,
+  coalesce(round(2.0::DOUBLE * sum(tp) FILTER (g = 'call') / nullif(sum(2 * tp + fp + fn) FILTER (g = 'call'), 0), 4), 0.0) AS arg_f1,
+  round(sum((k = 8)::INTEGER)::DOUBLE / nullif(sum(n_pred), 0), 4) AS hallucinated_tool, round(sum(invalid)::DOUBLE / nullif(sum(n_pred), 0), 4) AS schema_error,
+  round(count(*) FILTER (g = 'ask' AND p = 'ask')::DOUBLE / nullif(count(*) FILTER (p = 'ask'), 0), 4) AS ask_precision, round(avg((p = 'ask')::INTEGER) FILTER (g = 'ask'), 4) AS ask_recall,
+  round(avg((p = 'refuse')::INTEGER) FILTER (g = 'refuse'), 4) AS refuse_recall, round(avg((p = 'call')::INTEGER) FILTER (g = 'refuse'), 4) AS unsafe_call,
+  round(avg((p = 'refuse')::INTEGER) FILTER (g <> 'refuse'), 4) AS false_refusal, round(avg(equal::INTEGER) FILTER (two), 4) AS multi_exact,
+  coalesce(sum(tp) FILTER (g = 'call'), 0)::BIGINT AS tp, coalesce(sum(fp) FILTER (g = 'call'), 0)::BIGINT AS fp, coalesce(sum(fn) FILTER (g = 'call'), 0)::BIGINT AS fn
+FROM h GROUP BY event_type
 """)
 def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _predictions(spark, sf_dir).withColumn("by", F.col("scenario"))
-    out = metrics.compute_metrics(rows, "pred", ["by"])
-    return out.select(F.col("by").alias("scenario"), "n", "format_valid", "kind_acc", "exact", "args_exact", "tp", "fp", "fn")
+    rows = _predictions(spark, sf_dir, multi=True).withColumn("by", F.col("scenario"))
+    return metrics.compute_metrics(rows, "pred", ["by"]).drop("exact_by_scenario").withColumnRenamed("by", "scenario")
 
 
-@_query(_SQL_JUDGED + "SELECT g = 'call' AS chosen_calls, k = 4 AS malformed, count(*) AS n FROM m WHERE NOT (g = p AND (g <> 'call' OR n_pred = 1)) OR k IN (4, 5) GROUP BY g = 'call', k = 4")
+@_query(_SQL_JUDGED + "SELECT g = 'call' AS chosen_calls, k = 4 AS malformed, count(*) AS n FROM m WHERE NOT (g = p AND (g <> 'call' OR k IN (0, 2, 3, 7))) OR k IN (4, 5) GROUP BY g = 'call', k = 4")
 def on_policy_mine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _predictions(spark, sf_dir)
     mined = pairs.mine_on_policy(rows.drop("pred"), rows.select("id", "pred"))
@@ -337,8 +389,8 @@ def sample_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT event_type, median(value) AS p50, list(value ORDER BY value)[least(count(*), floor(0.95::DOUBLE * count(*))::BIGINT + 1)] AS p95, count(*) AS n FROM events GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("p50"), F.array_sort(F.collect_list("value")).alias("x"), F.count("*").alias("n"))
-    return rows.select("event_type", "p50", metrics.percentile_at(F.col("x"), 0.95).alias("p95"), "n")
+    rows = metrics.at_places(_table(spark, sf_dir, "events"), ["event_type"], "value", metrics.MEDIAN | {"p95": metrics.percentile_place(0.95)})
+    return rows.select("event_type", ((F.col("low") + F.col("high")) / 2).alias("p50"), "p95", "n")
 
 
 @_query(_SQL_JUDGED + """SELECT 'n' AS measure, '' AS value, count(*) AS n FROM m UNION ALL SELECT 'scenario', event_type, count(*) FROM m GROUP BY event_type UNION ALL SELECT 'kind', g, count(*) FROM m GROUP BY g
@@ -365,9 +417,30 @@ def _sql_unit(expr: str) -> str:
     return SQL_HASH.format(x=expr)
 
 
-@_query(f"SELECT 's' || lpad(i::VARCHAR, 6, '0') AS id, {_sql_weighted(seeds.SCENARIOS, _sql_unit(chr(39) + '0|' + chr(39) + ' || i || ' + chr(39) + '|scenario' + chr(39)))} AS scenario, {_sql_weighted(seeds.STYLE_WEIGHTS, _sql_unit(chr(39) + '0|' + chr(39) + ' || i || ' + chr(39) + '|style' + chr(39)))} AS style, true AS label_ok FROM range(500) t(i)")
+def _sql_pick(options, u: str) -> str:
+    return f"([{', '.join(map(_quoted, options))}])[floor(({u}) * {len(options)})::INTEGER + 1]"
+
+
+def _sql_chance(*parts: str) -> str:
+    """unit() of SQL expressions."""
+    return _sql_unit(" || '|' || ".join(parts))
+
+
+_SQL_SEEDS = f"""
+WITH r AS (SELECT i, 's' || lpad(i::VARCHAR, 6, '0') AS id, {_sql_weighted(seeds.SCENARIOS, _sql_chance("'0'", "i", "'scenario'"))} AS scenario, {_sql_weighted(seeds.STYLE_WEIGHTS, _sql_chance("'0'", "i", "'style'"))} AS style,
+  floor({_sql_chance("'0'", "i", "'slot'")} * {len(R.ASK)})::INTEGER + 1 AS slot, {_sql_pick(("unlock", "unlock", "lights", "window"), _sql_chance("'0'", "i", "'unsafe'"))} AS unsafe,
+  {_sql_pick(seeds.SINGLE_TOOLS, _sql_chance("'0'", "i", "'single'"))} AS single, [{", ".join(map(_quoted, seeds.MULTI_TOOLS))}] AS tools,
+  floor({_sql_chance("'0'", "i", "'first'")} * {len(seeds.MULTI_TOOLS)})::INTEGER AS a, floor({_sql_chance("'0'", "i", "'second'")} * {len(seeds.MULTI_TOOLS) - 1})::INTEGER + 1 AS step FROM range(500) t(i)),
+s AS (SELECT *, CASE WHEN scenario IN ('missing', 'followup') THEN ([{", ".join(_quoted(b) for _, b in R.ASK)}])[slot] END AS omitted,
+  CASE scenario WHEN 'single' THEN single WHEN 'multi' THEN tools[a + 1] || ',' || tools[(a + step) % {len(seeds.MULTI_TOOLS)} + 1] WHEN 'law' THEN 'lookup_traffic_law' WHEN 'chitchat' THEN ''
+    WHEN 'unsafe' THEN CASE unsafe WHEN 'unlock' THEN 'unlock_doors' WHEN 'lights' THEN 'set_lights' ELSE 'open_window' END ELSE ([{", ".join(_quoted(a) for a, _ in R.ASK)}])[slot] END AS called,
+  CASE scenario WHEN 'law' THEN {_sql_pick(R.LAW_TOPICS, _sql_chance("'0'", "i", "'topic'"))} WHEN 'chitchat' THEN {_sql_pick(R.CHITCHAT_TOPICS, _sql_chance("'0'", "i", "'topic'"))} END AS topic FROM r)
+"""
+
+
+@_query(_SQL_SEEDS + "SELECT id, scenario, style, called, omitted, topic FROM s")
 def seed_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeds.sample_seeds(spark, 500).select("id", "scenario", "style", seeds.check_seed_label().alias("label_ok"))
+    return seeds.sample_seeds(spark, 500).select("id", "scenario", "style", F.array_join(F.transform("calls", lambda c: c["name"]), ",").alias("called"), "omitted", "topic")
 
 
 @_query(f"SELECT w, count(*) AS n FROM (SELECT {_sql_weighted({'a': 0.5, 'b': 0.3, 'c': 0.2}, _sql_unit(chr(39) + '9|' + chr(39) + ' || event_id'))} AS w FROM events) GROUP BY w")
@@ -384,20 +457,35 @@ def sft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.size(F.filter("x.labels", lambda v: v == -100)).alias("n_masked"), F.size("x.input_ids").cast("long").alias("n_ids"))
 
 
-@_query("SELECT event_id, (CASE event_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false ELSE false END) AS same FROM events")
+@_query("""SELECT event_id, CASE WHEN event_id % 8 IN (0, 1) THEN true WHEN event_id % 8 IN (5, 6) THEN event_id % 30 = event_id % 31 ELSE false END AS same,
+  CASE event_id % 8 WHEN 1 THEN true WHEN 6 THEN (event_id % 30)::VARCHAR = (event_id % 31) || '0' ELSE false END AS same_text FROM events""")
 def argument_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The number, its text, another number, true: only the first two are the level that was meant."""
-    k, level = F.col("event_id") % 4, (F.col("event_id") % 30).cast("string")
-    said = F.when(k == 0, level).when(k == 1, F.concat(F.lit('" '), level, F.lit(' "'))).when(k == 2, F.concat(level, F.lit(".5"))).otherwise(F.lit("true"))
-    rows = _table(spark, sf_dir, "events").select("event_id", F.parse_json(level).alias("g"), F.parse_json(said).alias("p"))
-    return rows.select("event_id", V.arg_equal(F.lit("set_volume"), F.lit("level"), F.col("g"), F.col("p")).alias("same"))
+    """A level, and the same digits as a string, against: the number, its text, a fraction beside it, true, null, another number, another's text, a list."""
+    i = F.col("event_id")
+    k, level, other = i % 8, (i % 30).cast("string"), (i % 31).cast("string")
+    text = lambda *x: F.concat(F.lit('"'), *x, F.lit('"'))
+    said = (
+        F.when(k == 0, level).when(k == 1, text(F.lit(" "), level, F.lit(" "))).when(k == 2, F.concat(level, F.lit(".5"))).when(k == 3, F.lit("true"))
+        .when(k == 4, F.lit("null")).when(k == 5, other).when(k == 6, text(other, F.lit(".0"))).otherwise(F.concat(F.lit("["), level, F.lit("]")))
+    )
+    rows = _table(spark, sf_dir, "events").select("event_id", F.parse_json(level).alias("g"), F.parse_json(text(level)).alias("t"), F.parse_json(said).alias("p"))
+    return rows.select("event_id", V.arg_equal(F.lit("set_volume"), F.lit("level"), F.col("g"), F.col("p")).alias("same"), V.arg_equal(F.lit("lookup_sign"), F.lit("code"), F.col("t"), F.col("p")).alias("same_text"))
 
 
-@_query()
+@_query(f"""
+WITH t AS (SELECT unnest(from_json({_quoted(json.dumps(R.openai_tools(), ensure_ascii=False))}, '[{{"function":{{"name":"VARCHAR","parameters":{{"properties":"JSON","required":["VARCHAR"]}}}}}}]')) AS d),
+f AS (SELECT d."function".name AS tool, d."function".parameters.properties AS props, d."function".parameters.required AS req FROM t),
+k AS (SELECT tool, props, req, unnest(CASE WHEN len(json_keys(props)) = 0 THEN [NULL] ELSE json_keys(props) END) AS param FROM f)
+SELECT tool, param, props->param->>'type' AS type, coalesce(array_to_string(from_json(props->param->'enum', '["VARCHAR"]'), '|'), '') AS choices, (props->param->>'minimum')::DOUBLE AS minimum, (props->param->>'maximum')::DOUBLE AS maximum, (props->param->>'minLength')::DOUBLE AS min_length, coalesce(list_contains(req, param), false) AS required FROM k
+""")
 def tool_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.tools_frame(spark)
+    """The registry's table, which the function declarations for servers must agree with."""
+    return R.tools_frame(spark).select("tool", "param", "type", F.array_join("enum", "|").alias("choices"), "minimum", "maximum", F.col("min_length").cast("double").alias("min_length"), "required")
 
 
 @_query()
 def alias_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.aliases_frame(spark)
+
+
+from . import derived  # noqa: E402, F401  # registers its queries here
