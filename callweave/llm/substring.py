@@ -2,11 +2,14 @@
 
 Each window of k words has a Rabin-Karp hash. In two rounds of `packed` questions the windows' hashes are counted: the
 first counts their upper 32 + b bits (b bits name the partition), which leaves the windows that may be repeated; the
-second tells, for the full 64-bit hashes of those, which slice has the earliest. A slice then knows for each window
-whether its sequence starts earlier; such windows merge into maximal intervals, and their words go.
+second tells, for those, which slice has the earliest of each word sequence. A sequence is known there by two hashes of 64
+bits that have nothing in common, neither the words' hashes nor the base: among 10 ** 13 windows, two different ones are
+taken for the same once in 10 ** 12 corpora. A slice then knows for each window whether its sequence starts earlier; such
+windows merge into maximal intervals, and their words go.
 
 Texts of fewer than k words and null texts lose nothing. "Earlier" is a smaller doc_id (null ids first) or, in a
-document, an earlier start; rows of equal doc_id are in the order of their slices. Windows are judged on the input.
+document, an earlier start; rows of equal doc_id are in the order of their slices. Windows are judged on the input. A very
+long text is a slice of its own and is held whole by one worker, some ten times its bytes. No rows give none.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from pyspark.sql import DataFrame
 from . import packed
 from .words import hashes, runs, split, starts
 
+#: The seed of the words' second hashes, and the base of the windows': any number and any odd one.
+SEED, OTHER_BASE = 0x5BD1E995, 0xA0761D6478BD642F
+
 
 def _windows(row: pa.RecordBatch, k: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """Of a slice's row: words, their counts, window positions, window hashes."""
@@ -30,6 +36,11 @@ def _windows(row: pa.RecordBatch, k: int) -> tuple[list[list[bytes]], np.ndarray
     return words, counts, at, h[at] if len(at) else np.zeros(0, np.uint64)
 
 
+def _second(words: list[list[bytes]], counts: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the windows at some places."""
+    return runs(hashes(words, int(counts.sum()), SEED), k, OTHER_BASE)[at]
+
+
 def _first_ids(row: pa.RecordBatch, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The doc_id of each window; a null is the least long."""
     ids = np.array([-(1 << 63) if i is None else i for i in packed.ids_of(row).to_pylist()], np.int64)
@@ -82,30 +93,47 @@ def _later(slices: packed.Slices, rows: DataFrame, k: int, parts: int) -> DataFr
     """Second round. Answers: the hashes of a slice of which another slice has an earlier window."""
 
     def ask(row: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-        _, counts, at, h = _windows(row, k)
-        may = _candidates(row, h, parts) if len(h) else np.zeros(0, bool)
-        if may.any():
-            keys, first = np.unique(h[may], return_index=True)  # documents ascend: the first is the least
-            ids = _first_ids(row, counts, at[may][first])
-            for p, a, b in packed.cut(keys, parts):
-                yield p, np.concatenate((keys[a:b].view(np.int64), ids[a:b])).tobytes()
+        words, counts, at, h = _windows(row, k)
+        may = np.flatnonzero(_candidates(row, h, parts)) if len(h) else at
+        if len(may):
+            one, two = h[may], _second(words, counts, at[may], k)
+            order = np.lexsort((two, one))  # documents ascend: the first of equal ones is the earliest
+            one, two = one[order], two[order]
+            first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+            ids = _first_ids(row, counts, at[may][order[first]])
+            one, two = one[first], two[first]
+            for p, a, b in packed.cut(one, parts):
+                yield p, np.concatenate((one[a:b].view(np.int64), two[a:b].view(np.int64), ids[a:b])).tobytes()
 
     def answer(part: int, numbers: list[int], questions: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        halves = [np.frombuffer(q, np.int64).reshape(2, -1) for q in questions]
-        sizes = [x.shape[1] for x in halves]
-        keys, ids = (np.concatenate([x[i] for x in halves]) for i in (0, 1))
+        thirds = [np.frombuffer(q, np.int64).reshape(3, -1) for q in questions]
+        sizes = [x.shape[1] for x in thirds]
+        one, two, ids = (np.concatenate([x[i] for x in thirds]) for i in range(3))
         number = np.repeat(np.array(numbers), sizes)
-        order = np.lexsort((number, ids, keys))
-        later = np.zeros(len(keys), bool)
-        later[order[1:]] = keys[order[1:]] == keys[order[:-1]]
+        order = np.lexsort((number, ids, two, one))
+        later = np.zeros(len(one), bool)
+        later[order[1:]] = (one[order[1:]] == one[order[:-1]]) & (two[order[1:]] == two[order[:-1]])
         ends = np.cumsum(sizes)
         for own, lo, hi in zip(numbers, ends - sizes, ends, strict=True):
-            if later[lo:hi].any():
-                yield own, keys[lo:hi][later[lo:hi]].tobytes()
+            if (hit := later[lo:hi]).any():
+                yield own, np.concatenate((one[lo:hi][hit], two[lo:hi][hit])).tobytes()
 
     return packed.answered(slices, packed.asked(rows, ask), answer)
 
 
+def _repeats(one: np.ndarray, two: np.ndarray, later: list[np.ndarray]) -> np.ndarray:
+    """Which windows of a slice have an earlier one: in the slice, or by the answers."""
+    _, first, which = np.unique(one, return_index=True, return_inverse=True)
+    before = first[which]
+    out = (before != np.arange(len(one))) & (two[before] == two)
+    if later:
+        known = np.concatenate(later, axis=1)
+        known = known[:, np.argsort(known[0], kind="stable")]
+        at = np.minimum(np.searchsorted(known[0], one), known.shape[1] - 1)
+        out |= (known[0][at] == one) & (known[1][at] == two)
+    return out
+
+
 def removed(counts: np.ndarray, at: np.ndarray, repeats: np.ndarray, k: int) -> np.ndarray:
     """Which words a repeated window covers: the windows' union as maximal intervals."""
     edge = np.zeros(int(counts.sum()) + 1, np.int64)
@@ -128,10 +156,7 @@ def deduplicated(docs: DataFrame, k: int = 20, text: bool = False) -> DataFrame:
                 row = b.slice(i, 1)
                 words, counts, at, h = _windows(row, k)
                 answers = row.column(row.schema.get_field_index("answers"))[0].as_py() or ()
-                repeats = np.ones(len(h), bool)
-                repeats[np.unique(h, return_index=True)[1]] = False  # the first in this slice
-                if answers:
-                    repeats |= np.isin(h, np.concatenate([np.frombuffer(a["answer"], np.uint64) for a in answers]))
+                repeats = _repeats(h, _second(words, counts, at, k), [np.frombuffer(a["answer"], np.uint64).reshape(2, -1) for a in answers]) if len(h) else np.zeros(0, bool)
                 gone = removed(counts, at, repeats, k)
                 ends = np.cumsum(counts)
                 n_removed, kept = [], []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import xxhash
 
@@ -17,29 +19,31 @@ def split(texts: list[bytes], table: bytes | None = None) -> tuple[list[list[byt
     return words, np.fromiter(map(len, words), np.int64, len(words))
 
 
-def hashes(words: list[list[bytes]], total: int) -> np.ndarray:
+def hashes(words: list[list[bytes]], total: int, seed: int = 0) -> np.ndarray:
     """XXH64 of all words, in order."""
+    if seed:
+        return np.fromiter((h for w in words for h in map(xxhash.xxh64_intdigest, w, repeat(seed))), np.uint64, total)
     return np.fromiter((h for w in words for h in map(xxhash.xxh64_intdigest, w)), np.uint64, total)
 
 
-def runs(h: np.ndarray, k: int) -> np.ndarray:
+def runs(h: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
     """Rabin-Karp hashes of all runs of k, from those of half the length; mixed, so that any bits may be used."""
     out, length = h, 1
     for bit in bin(k)[3:]:
-        out = _then(out, out, length, length)
+        out = _then(out, out, length, length, base)
         length *= 2
         if bit == "1":
-            out = _then(out, h, length, 1)
+            out = _then(out, h, length, 1, base)
             length += 1
     return mix(out)
 
 
-def _then(a: np.ndarray, b: np.ndarray, la: int, lb: int) -> np.ndarray:
+def _then(a: np.ndarray, b: np.ndarray, la: int, lb: int, base: int) -> np.ndarray:
     """Hashes of runs of la + lb from those of la and lb."""
     n = min(len(a), len(b) - la)
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return a[:n] * np.uint64(pow(BASE, lb, 1 << 64)) + b[la : la + n]
+    return a[:n] * np.uint64(pow(base, lb, 1 << 64)) + b[la : la + n]
 
 
 def starts(counts: np.ndarray, k: int) -> np.ndarray:
