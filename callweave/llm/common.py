@@ -1,12 +1,12 @@
 """What the operators of this subpackage share: shipping code, scratch tables, text access.
 
-Nothing here depends on the size of the data: every helper works per Arrow batch or through Spark tables.
+Nothing here depends on the size of the data: every helper works per Arrow batch or through Spark tables. Arrow batches
+are as the session has them: Spark bounds them by bytes (spark.sql.execution.arrow.maxBytesPerBatch), so long texts and
+blobs make small ones. Scratch tables go as `operators.storage` says: with the scope that they are made in.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,39 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import storage
-
-_OWN_DIR: dict[str, str] = {}
-
-
-#: Rows of an Arrow batch for rows of texts, of large blobs and of a few numbers: a batch is held whole by JVM and worker.
-TEXT_ROWS, BLOB_ROWS, NUMBER_ROWS = 256, 16, 10_000
-
+from ..operators.storage import drop, scratch, ship
 
 #: Writer options for rows of large blobs: pages and row groups are measured after each row.
 BLOB_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 
 
-def ship(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Put this package on the executors, and set the session's Arrow batches for what runs next."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    storage.ship(spark)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir, or an own folder where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = _OWN_DIR.setdefault("scratch", f"file://{tempfile.mkdtemp(prefix='scratch_')}")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through Hadoop's file system, whatever store holds it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a table in the shared folder and read it again: lineage ends there, a lost executor loses nothing."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)

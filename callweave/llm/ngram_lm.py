@@ -10,7 +10,8 @@ A word without one before it in its document is scored by its unigram alone. A d
 UNITS of a nat, so that sums do not depend on any order; perplexity is exp(-score / words).
 
 Words are runs of bytes other than 9 to 13 and 32, A-Z lower-cased. Null texts and texts without words have score 0 and
-no perplexity. Rows of equal doc_id are documents of their own. No rows give none.
+no perplexity. Rows of equal doc_id are documents of their own. A very long text is a slice of its own, held whole by one
+worker. No rows give none.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 A row for each n-gram of a corpus costs more than the n-grams themselves. Here documents are stored once as slices of some
 megabytes; a slice asks each hash partition one question, a row with the sorted distinct hashes that fall into it; a
 partition answers each of its slices with a row; and a slice joins its answers. So any hash, however hot, is one entry of
-a slice at most, rows are few, and a hash partition holds about PARTITION entries of all slices.
+a slice at most, and a hash partition holds about PARTITION entries of all slices: there are as many partitions as that
+takes. Rows are slices times partitions while a slice has entries for all of them, and as many as entries beyond.
 
 Slices are stored as a table bucketed by slice id. A writing task numbers its slices so that they fall into a bucket of
 its own; so no text is ever shuffled, and the joins with answers shuffle the answers alone.
@@ -23,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOB_PAGES, BLOB_ROWS, batches, drop, scratch, ship, utf8
+from ..operators.storage import conf, on_release
+from .common import BLOB_PAGES, batches, drop, scratch, ship, utf8
 
 #: Bytes of text in a slice; a longer document is a slice of its own.
 SLICE = 2 << 20
-#: Entries that a hash partition is meant to hold, and the limit of partitions.
-PARTITION, MOST = 2 << 20, 1 << 16
+#: Entries that a hash partition is meant to hold.
+PARTITION = 2 << 20
 MOST_BUCKETS = 1 << 16
 
 
@@ -71,7 +73,7 @@ class Slices:
 
     def partitions(self, entry_bytes: int = 6) -> int:
         """Hash partitions, a power of two, for one entry each entry_bytes of text."""
-        return int(min(MOST, 1 << max(8, (self.text_bytes // entry_bytes // PARTITION).bit_length())))
+        return 1 << max(8, (self.text_bytes // entry_bytes // PARTITION).bit_length())
 
     def drop(self) -> None:
         spark = self.frame.sparkSession
@@ -112,16 +114,13 @@ def sliced(docs: DataFrame, size: int = SLICE) -> Slices:
     name, path = f"slices_{uuid.uuid4().hex}", scratch(spark, "slices")
     writer = rows.mapInArrow(run, "slice long, ids array<long>, lengths array<int>, texts binary, bytes long").write.format("parquet")
     # a task writes one bucket: no sort of blobs; and pages end by their size, not after a hundred blobs
-    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0")
-    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", "2")
-    try:
+    with conf(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
         writer.options(**BLOB_PAGES).option("compression", "none").option("path", path).bucketBy(buckets, "slice").saveAsTable(name)
-    finally:
-        spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", before)
     frame = spark.table(name)
     total = frame.agg(F.sum("bytes")).first()[0] or 0
-    ship(spark, BLOB_ROWS)
-    return Slices(frame.drop("bytes"), name, path, int(total), buckets)
+    own = Slices(frame.drop("bytes"), name, path, int(total), buckets)
+    on_release(own.drop)
+    return own
 
 
 def texts_of(row: pa.RecordBatch) -> list[bytes]:
@@ -199,10 +198,10 @@ def unstripped(data: bytes, size: int) -> np.ndarray:
 
 def cut(keys: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
     """Of sorted 64-bit hashes: (hash partition, from, to), by their upper bits; partitions without any are left out."""
-    shift = np.uint64(64 - (parts.bit_length() - 1))
-    edges = np.searchsorted(keys >> shift, np.arange(parts + 1, dtype=np.uint64))
-    for p in np.flatnonzero(np.diff(edges)).tolist():
-        yield p, int(edges[p]), int(edges[p + 1])
+    if len(keys):
+        part = keys >> np.uint64(64 - (parts.bit_length() - 1))
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        yield from zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)
 
 
 __all__ = ["Slices", "answered", "asked", "cut", "ids_of", "joined", "murmur3", "sliced", "stripped", "texts_of", "unstripped"]

@@ -14,7 +14,8 @@ Every piece has a rank among those of its length (its partition's count before i
 a slot of a pattern takes a run of ranks; so pieces find their places with no shuffle of their own.
 
 `pack` cuts documents of more than capacity ids into pieces of capacity, the first of which may be shorter. Null texts
-are empty: their document is the end id. Repeated rows and ids are documents of their own. No rows give none.
+are empty: their document is the end id. Repeated rows and ids are documents of their own. A very long text is encoded whole
+by one worker, and its pieces are rows. No rows give none.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NUMBER_ROWS, TEXT_ROWS, batches, ship, stored, utf8
+from .common import batches, ship, stored, utf8
 from .tokens import END_ID, default_path, encoded, encoder
 
 Pattern = tuple[int, ...]
@@ -182,7 +183,6 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, ids: boo
 def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_id: int = END_ID, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for: one row for each piece of docs (doc_id, text)."""
     cut, _ = stored(pieces(docs, capacity, tokenizer or default_path(), end_id, ids), "pieces")
-    ship(docs.sparkSession, NUMBER_ROWS if not ids else TEXT_ROWS)
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitslice
-from .common import NUMBER_ROWS, batches, drop, mix, ship, stored, utf8
+from .common import batches, drop, mix, ship, stored, utf8
 from .fingerprints import shingle_hashes, simhash
 from .jaccard import spanning_links
 
@@ -132,7 +132,7 @@ def links(grouped: DataFrame, radius: int) -> DataFrame:
 
     grouped: table, key, fp, without repeated rows.
     """
-    ship(grouped.sparkSession, NUMBER_ROWS)
+    ship(grouped.sparkSession)
 
     def portions(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -216,12 +216,14 @@ def _classes(fps: DataFrame, find: Callable[[DataFrame, int], DataFrame], node:
     """doc_id, fp, component_id for stored fingerprints; find(nodes, count) gives links."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     count = fps.select(F.approx_count_distinct("fp")).first()[0]
-    roots, _ = components(find(nodes, count))
+    roots, tables = components(find(nodes, count))
     linked = nodes.join(roots, F.col("fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("least").alias("class_least"))
     of_linked = linked.join(least, "root").select("fp", "class_least")
     # stored, so that Spark can split the rows of a fingerprint that very many documents have
     of_node, _ = stored(nodes.join(of_linked, "fp", "left").select("fp", F.coalesce("class_least", "least").alias("component_id")), "classes")
+    for at in tables:
+        drop(fps.sparkSession, at)
     return fps.select("doc_id", "fp").join(of_node, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -235,10 +237,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
 def similar(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
     """doc_id, component_id: links join documents whose sets of k-word shingles have a Jaccard similarity of share at least."""
     fps, _ = stored(shingle_sets(docs, k), "sets")
+    used: list[str] = []  # tables that nothing reads once the links are found
 
     def find(nodes: DataFrame, count: int) -> DataFrame:
         # texts of one set are one row of a group
-        one, _ = stored(fps.groupBy("fp").agg(F.first(F.struct("size", "bands")).alias("x"), F.min("doc_id").alias("least")).select("fp", "x.*", "least"), "nodes")
+        one, at = stored(fps.groupBy("fp").agg(F.first(F.struct("size", "bands")).alias("x"), F.min("doc_id").alias("least")).select("fp", "x.*", "least"), "nodes")
+        used.append(at)
         rows = one.select("fp", "size", F.explode("bands").alias("key"))
         own = [F.bit_xor(F.xxhash64("fp", F.lit(seed))).alias(f"of{seed}") for seed in (1, 2)]
         found = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("m"), *own).where("n > 1")
@@ -246,14 +250,18 @@ def similar(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
         found = found.groupBy("n", "m", "of1", "of2").agg(F.min("key").alias("key"))
         k_ = F.greatest(F.ceil(F.col("n") / CELL), F.ceil(F.col("m") / SHINGLES)).cast("long")
         dealt = rows.join(found.select("key", k_.alias("k")), "key").select("key", "fp", F.explode(_cells(F.col("k"))).alias("cell"))
-        members, _ = stored(dealt.select(F.xxhash64("key", "cell").alias("group"), "fp"), "members")
+        members, at = stored(dealt.select(F.xxhash64("key", "cell").alias("group"), "fp"), "members")
+        used.append(at)
         # sets are made again for the members alone, from one text of each
         wanted = members.select("fp").distinct().join(one, "fp").select("least").distinct()
         texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("least")), "left_semi")
         sets = shingle_sets(texts, k, whole=True).groupBy("fp").agg(F.first("hashes").alias("hashes"))
         return similar_links(members.join(sets, "fp"), share)
 
-    return _classes(fps, find).select("doc_id", "component_id")
+    out = _classes(fps, find).select("doc_id", "component_id")
+    for at in used:
+        drop(docs.sparkSession, at)
+    return out
 
 
 def without_copies(docs: DataFrame, k: int = 5) -> DataFrame:
