@@ -2,14 +2,16 @@
 
 `write` deals the documents to ranges of doc_id, encodes each range in order and stores shards of whole documents with
 about SHARD ids each: one row for a shard, its matrix and its documents' ids and lengths. `read` gives the documents back
-from the shards. A document longer than SHARD ids is a shard of its own. Null texts are empty documents, of the end id
-alone. Null ids come first. Rows with equal ids are in the order of their texts. No rows give no shards.
+from the shards; `tokens_at`, `counts` and `occurrences` answer from the shards' matrices without decoding them. A document
+longer than SHARD ids is a shard of its own, and a very long text is encoded whole by one worker. Null texts are empty
+documents, of the end id alone. Null ids come first. Rows with equal ids, null ones too, are in the order of the input, and
+may be dealt to more than one range. No rows give no shards.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOB_PAGES, BLOB_ROWS, batches, ship, utf8
+from .common import BLOB_PAGES, batches, ship, utf8
 from .tokens import END_ID, default_path, encoder
 from .wavelet import WaveletMatrix
 
@@ -70,18 +72,66 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
         if held:
             yield row()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "t").mapInArrow(run, SCHEMA).write.options(**BLOB_PAGES).option("compression", "snappy").parquet(path)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t"), F.monotonically_increasing_id().alias("place"))
+    rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "t").mapInArrow(run, SCHEMA).write.options(**BLOB_PAGES).option("compression", "snappy").parquet(path)
 
 
-def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
-    """doc_id, start (ids before it), n_tokens, ids_crc32 and, if asked for, ids (unsigned 32-bit little-endian) of each document under path."""
-    ship(spark, BLOB_ROWS)
+def _shards(spark: SparkSession, path: str) -> tuple[DataFrame, dict[int, int]]:
+    """The shards under path, and how many ids are before each of their parts."""
+    ship(spark)
     shards = spark.read.schema(SCHEMA).parquet(path)
     # partitions are doc_id ranges in order; the driver gets one number for each, some thousands at most
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()
     ends = np.cumsum([0] + [r["n"] for r in parts]).tolist()
-    bases = {r["part"]: b for r, b in zip(parts, ends, strict=False)}
+    return shards, {r["part"]: b for r, b in zip(parts, ends, strict=False)}
+
+
+def _asked(spark: SparkSession, path: str, answer: Callable[[WaveletMatrix, int], tuple[np.ndarray, np.ndarray]], names: tuple[str, str]) -> DataFrame:
+    """Two columns of numbers that answer(matrix, ids before it) gives for each shard."""
+    shards, bases = _shards(spark, path)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for part, inner, matrix in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                a, n = answer(WaveletMatrix.from_bytes(matrix), bases[part] + inner)
+                for lo in range(0, len(a), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(a[lo : lo + 10_000], pa.int64()), pa.array(n[lo : lo + 10_000], pa.int64())], list(names))
+
+    return shards.select("part", "inner", "matrix").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def tokens_at(spark: SparkSession, path: str, positions: list[int]) -> DataFrame:
+    """position, id: the ids at some positions in all ids under path; positions that there are not give no row."""
+    known = np.unique(np.array(positions, np.int64))
+
+    def answer(m: WaveletMatrix, start: int) -> tuple[np.ndarray, np.ndarray]:
+        own = known[np.searchsorted(known, start) : np.searchsorted(known, start + m.n)]
+        return own, np.array([m.access(int(p) - start) for p in own], np.int64)
+
+    return _asked(spark, path, answer, ("position", "id"))
+
+
+def counts(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """id, n: how often each of some ids occurs under path."""
+    wanted = np.unique(np.array(ids, np.int64))
+    own = _asked(spark, path, lambda m, start: (wanted, np.array([m.count(int(i)) for i in wanted], np.int64)), ("id", "n"))
+    return own.groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
+    """id, position: all positions of some ids in all ids under path."""
+    wanted = sorted(set(ids))
+
+    def answer(m: WaveletMatrix, start: int) -> tuple[np.ndarray, np.ndarray]:
+        found = [m.positions(i) for i in wanted]
+        return np.repeat(np.array(wanted, np.int64), [len(x) for x in found]), start + np.concatenate([np.zeros(0, np.int64), *found])
+
+    return _asked(spark, path, answer, ("id", "position"))
+
+
+def read(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
+    """doc_id, start (ids before it), n_tokens, ids_crc32 and, if asked for, ids (unsigned 32-bit little-endian) of each document under path."""
+    shards, bases = _shards(spark, path)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

@@ -121,8 +121,25 @@ class WaveletMatrix:
             i = self._select_in(level, bit, i - self.zeros[level] if bit else i)
         return i
 
+    def positions(self, value: int) -> np.ndarray:
+        """The positions of all occurrences of an id, ascending: their places in the last order, taken back plane by plane."""
+        if value < 0 or value >> self.bits:
+            return np.zeros(0, np.int64)
+        lo, hi = 0, self.n
+        for level in range(self.bits):
+            a, b = self._rank1(level, lo), self._rank1(level, hi)
+            lo, hi = (self.zeros[level] + a, self.zeros[level] + b) if value >> (self.bits - 1 - level) & 1 else (lo - a, hi - b)
+        at = np.arange(lo, hi)
+        for level in range(self.bits - 1, -1, -1):
+            if not len(at):
+                break
+            bit = value >> (self.bits - 1 - level) & 1
+            bits = np.unpackbits(self.planes[level], count=self.n, bitorder="little")
+            at = np.flatnonzero(bits == bit)[at - self.zeros[level] if bit else at]
+        return np.sort(at)
+
     def occurrences(self, value: int) -> list[int]:
-        return [self.select(value, k) for k in range(self.count(value))]
+        return self.positions(value).tolist()
 
     def decode(self) -> np.ndarray:
         """All ids: the planes' orders undone from the last plane up."""
