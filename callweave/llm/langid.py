@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import batches, ship, utf8
 from .quality import held_out, sampled
 
-BUCKETS, WIDTH = 1 << 15, 16
+BITS, WIDTH = 15, 16
+BUCKETS = 1 << BITS
 ORDERS = (3, 4)
 FOLDS, HELD = 3, 1
 SAMPLE, BYTES = 3000, 16 << 20
@@ -60,7 +61,7 @@ def subwords(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             if 0 < j < n - 1:
                 ok &= inner[j : j + m]
         at = np.flatnonzero(ok)
-        numbers.append((gram[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15))
+        numbers.append((gram[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS))
         owners.append(owner[at])
     if not numbers:
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
@@ -134,11 +135,11 @@ def train(texts: list[bytes], langs: list[str], passes: int = PASSES, seed: int
     return model
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on docs (doc_id, text, lang)."""
+def fit(docs: DataFrame, sample: int = SAMPLE, most: int = BYTES) -> Model:
+    """Train on docs (doc_id, text, lang): on sample rows and most bytes of text at most."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(FOLDS, HELD))
     own = known.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("t"), F.col("lang").cast("string").alias("y"))
-    rows = sampled(own.where(F.octet_length("t") > 0), sample, BYTES)
+    rows = sampled(own.where(F.octet_length("t") > 0), sample, most)
     if not rows:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     return train([bytes(r["t"]) for r in rows], [r["y"] for r in rows])

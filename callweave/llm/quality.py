@@ -118,11 +118,11 @@ def sampled(texts: DataFrame, sample: int, most: int, labels: DataFrame | None =
     return own.dropDuplicates(["id", "y", "h"]).orderBy(F.xxhash64("id"), "id", "y", "t").select("t", "y").collect()
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on docs (doc_id, text) with labels (doc_id, quality)."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = BYTES) -> Model:
+    """Train on docs (doc_id, text) with labels (doc_id, quality): on sample rows and most bytes of text at most."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(FOLDS, HELD))
     known = known.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("y")).distinct()
-    rows = sampled(docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("t")), sample, BYTES, known)
+    rows = sampled(docs.select(F.col("doc_id").cast("long").alias("id"), utf8().alias("t")), sample, most, known)
     if not rows:
         return Model(np.zeros(DIM, np.float32), 0.0)
     return train([bytes(r["t"]) for r in rows], np.array([r["y"] for r in rows], float))

@@ -11,8 +11,9 @@ fixed seed, for lack of a table of them: keys, tokens and passwords in assignmen
 `long_findings` does so for values of over MOST bytes, of which encoded data is none. The
 dictionary is the words around the training findings; usual pairs are counted in them.
 
-Null and empty texts have no candidates. A null path has no words. Rows of equal id are documents of their own. Positions
-are in characters.
+Null and empty texts have no candidates. A null path has no words. Rows of equal id are documents of their own. Very long
+texts are scanned whole; a word of any length is. As many votes as VOTES asks for are enough; equal features get equal
+votes, so copies of a text get the same findings. Positions are in characters.
 """
 
 from __future__ import annotations
@@ -44,6 +45,7 @@ _ANCHOR[[*b"0123456789=:"]] = True
 _VALUE = re.compile(rb"[A-Za-z0-9+/_=\-.~@$!#%&*^]{8,}")
 _PART = re.compile(rb"[^&=]+")
 _NAME = re.compile(rb"^[A-Za-z_][A-Za-z0-9_.\-]{0,40}(?:=|:(?!//))")
+_INNER = re.compile(rb"[A-Za-z_][A-Za-z0-9_.\-]{1,40}=(?=[^=])")
 _TRAIL = b".,;:!?'\")]}>=&*#$%"
 _WORDS = re.compile(rb"[a-z]{2,}")
 #: Words near a value that name it as secret, and words that name examples or something else.
@@ -84,9 +86,12 @@ def candidates(text: bytes) -> list[tuple[int, int]]:
             for m in _VALUE.finditer(word, skip):
                 own = m.group().rstrip(_TRAIL)
                 for part in [m] if len(own) <= MOST else _PART.finditer(word, m.start(), m.end()):
-                    own = part.group().rstrip(_TRAIL)
+                    start, end = part.span()
+                    if (name := _INNER.match(word, start, end)) and end - name.end() >= LEAST:
+                        start = name.end()  # a name inside quotes or brackets
+                    own = word[start:end].rstrip(_TRAIL)
                     if len(own) >= LEAST:
-                        found[lo + part.start()] = lo + part.start() + len(own)
+                        found[lo + start] = lo + start + len(own)
     return sorted(found.items())
 
 

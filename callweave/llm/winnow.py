@@ -5,8 +5,8 @@ both sides; so a shared span of K + W - 1 = N words has a fingerprint in common.
 the benchmark's, and a hit is extended by looking up the windows of N words around it, as exact words. Items of fewer
 than N words are one window of all their words; winnowing can't promise those, so their lengths are looked up directly.
 
-A benchmark of at most CARRIED bytes is carried to the executors. A larger one is joined in Spark: document fingerprints
-with their surrounding words against the windows that hold each fingerprint (`_hits_joined`).
+A benchmark whose index takes CARRIED bytes at most is carried to the executors. A larger one is joined in Spark: document
+fingerprints with their surrounding words against the windows that hold each fingerprint (`_hits_joined`).
 
 Null texts have no words, items without words and items without an id are no items. Rows of equal item_id are one item.
 Documents' ids may be null or repeated: each row is judged by its own text. No rows give none.
@@ -14,6 +14,7 @@ Documents' ids may be null or repeated: each row is judged by its own text. No r
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,7 +29,8 @@ from .common import batches, filtered, ship, stored, utf8
 from .words import hashes, runs, split, starts
 
 N, K, W = 8, 5, 4
-CARRIED = 4 << 20
+#: Bytes of a benchmark's index that may be carried to the executors, and bytes of its text from which an index is not tried.
+CARRIED, TRIED = 32 << 20, 4 << 20
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]")
 #: Lower-cases A-Z; what is in no word becomes a space.
 TABLE = bytes(c if _WORD.fullmatch(bytes([c])) else 32 for c in bytes(range(256)).lower())
@@ -65,6 +67,10 @@ class Index:
         short = sorted({len(w) for w in words if 0 < len(w) < N})
         self.short = {n: np.unique(np.concatenate([runs(hashes([w], n), n) for w in words if len(w) == n])) for n in short}
 
+    def size(self) -> int:
+        """Bytes that it takes to send."""
+        return len(pickle.dumps(self))
+
     def hits(self, h: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
         """(positions, n): places where a window of n words may occur, of texts' joined word hashes."""
         if len(self.prints):
@@ -192,9 +198,10 @@ def _hits_joined(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _index(benchmark: DataFrame, carried: int) -> tuple[DataFrame, Index | None]:
     """The benchmark's items (item, t), and their index if it may be carried."""
     items = benchmark.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), utf8().alias("t"))
-    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > carried:
+    if (items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) > min(carried, TRIED):
         return items, None
-    return items, Index([(r["item"], bytes(r["t"])) for r in items.collect()])
+    index = Index([(r["item"], bytes(r["t"])) for r in items.collect()])
+    return items, index if index.size() <= carried else None
 
 
 def _words(items: DataFrame) -> DataFrame:
