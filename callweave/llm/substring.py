@@ -2,10 +2,10 @@
 
 Each window of k words has a Rabin-Karp hash. In two rounds of `packed` questions the windows' hashes are counted: the
 first counts their upper 32 + b bits (b bits name the partition), which leaves the windows that may be repeated; the
-second tells, for those, which slice has the earliest of each word sequence. A sequence is known there by two hashes of 64
-bits that have nothing in common, neither the words' hashes nor the base: among 10 ** 13 windows, two different ones are
-taken for the same once in 10 ** 12 corpora. A slice then knows for each window whether its sequence starts earlier; such
-windows merge into maximal intervals, and their words go.
+second tells, for those, which slice has the earliest of each word sequence. A sequence is known there by two Rabin-Karp
+hashes of 64 bits to different bases: among 10 ** 13 windows, two of different words' hashes are taken for the same once
+in 10 ** 12 corpora; and words of one XXH64 matter where the nineteen words beside them are the same. A slice then knows
+for each window whether its sequence starts earlier; such windows merge into maximal intervals, and their words go.
 
 Texts of fewer than k words and null texts lose nothing. "Earlier" is a smaller doc_id (null ids first) or, in a
 document, an earlier start; rows of equal doc_id are in the order of their slices. Windows are judged on the input. A very
@@ -15,6 +15,7 @@ long text is a slice of its own and is held whole by one worker, some ten times
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from hashlib import sha256
 
 import numpy as np
@@ -24,21 +25,30 @@ from pyspark.sql import DataFrame
 from . import packed
 from .words import hashes, runs, split, starts
 
-#: The seed of the words' second hashes, and the base of the windows': any number and any odd one.
-SEED, OTHER_BASE = 0x5BD1E995, 0xA0761D6478BD642F
+#: The base of the windows' second hashes: any odd number.
+OTHER_BASE = 0xA0761D6478BD642F
 
 
-def _windows(row: pa.RecordBatch, k: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
-    """Of a slice's row: words, their counts, window positions, window hashes."""
-    words, counts = split(packed.texts_of(row))
-    at = starts(counts, k)
-    h = runs(hashes(words, int(counts.sum())), k)
-    return words, counts, at, h[at] if len(at) else np.zeros(0, np.uint64)
+@dataclass
+class _Windows:
+    """Of a slice's row: words, their counts, their hashes, window positions, window hashes."""
+
+    words: list[list[bytes]]
+    counts: np.ndarray
+    each: np.ndarray
+    at: np.ndarray
+    one: np.ndarray
+    k: int
 
+    def two(self, which: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Second hashes of some windows."""
+        return runs(self.each, self.k, OTHER_BASE)[self.at[which]] if len(self.at) else self.one
 
-def _second(words: list[list[bytes]], counts: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Other hashes of the windows at some places."""
-    return runs(hashes(words, int(counts.sum()), SEED), k, OTHER_BASE)[at]
+
+def _windows(row: pa.RecordBatch, k: int) -> _Windows:
+    words, counts = split(packed.texts_of(row))
+    at, each = starts(counts, k), hashes(words, int(counts.sum()))
+    return _Windows(words, counts, each, at, runs(each, k)[at] if len(at) else np.zeros(0, np.uint64), k)
 
 
 def _first_ids(row: pa.RecordBatch, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -60,7 +70,7 @@ def _repeated(slices: packed.Slices, k: int, parts: int) -> DataFrame:
     low = np.uint64(32 - (parts.bit_length() - 1))
 
     def ask(row: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-        tops = np.unique(_windows(row, k)[3] >> low)
+        tops = np.unique(_windows(row, k).one >> low)
         for p, a, b in packed.cut(tops << low, parts):
             yield p, tops[a:b].astype(np.uint32).tobytes()
 
@@ -93,14 +103,14 @@ def _later(slices: packed.Slices, rows: DataFrame, k: int, parts: int) -> DataFr
     """Second round. Answers: the hashes of a slice of which another slice has an earlier window."""
 
     def ask(row: pa.RecordBatch) -> Iterator[tuple[int, bytes]]:
-        words, counts, at, h = _windows(row, k)
-        may = np.flatnonzero(_candidates(row, h, parts)) if len(h) else at
+        w = _windows(row, k)
+        may = np.flatnonzero(_candidates(row, w.one, parts)) if len(w.one) else w.at
         if len(may):
-            one, two = h[may], _second(words, counts, at[may], k)
+            one, two = w.one[may], w.two(may)
             order = np.lexsort((two, one))  # documents ascend: the first of equal ones is the earliest
             one, two = one[order], two[order]
             first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-            ids = _first_ids(row, counts, at[may][order[first]])
+            ids = _first_ids(row, w.counts, w.at[may][order[first]])
             one, two = one[first], two[first]
             for p, a, b in packed.cut(one, parts):
                 yield p, np.concatenate((one[a:b].view(np.int64), two[a:b].view(np.int64), ids[a:b])).tobytes()
@@ -121,12 +131,16 @@ def _later(slices: packed.Slices, rows: DataFrame, k: int, parts: int) -> DataFr
     return packed.answered(slices, packed.asked(rows, ask), answer)
 
 
-def _repeats(one: np.ndarray, two: np.ndarray, later: list[np.ndarray]) -> np.ndarray:
+def _repeats(w: _Windows, later: list[np.ndarray]) -> np.ndarray:
     """Which windows of a slice have an earlier one: in the slice, or by the answers."""
-    _, first, which = np.unique(one, return_index=True, return_inverse=True)
-    before = first[which]
-    out = (before != np.arange(len(one))) & (two[before] == two)
-    if later:
+    one, two = w.one, w.two()
+    order = np.argsort(one, kind="stable")
+    ordered = one[order]
+    fresh = np.append(True, ordered[1:] != ordered[:-1])[: len(one)]
+    first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(one)), 0))] if len(one) else order
+    out = np.zeros(len(one), bool)
+    out[order] = ~fresh & (two[first] == two[order])
+    if later and len(one):
         known = np.concatenate(later, axis=1)
         known = known[:, np.argsort(known[0], kind="stable")]
         at = np.minimum(np.searchsorted(known[0], one), known.shape[1] - 1)
@@ -154,13 +168,14 @@ def deduplicated(docs: DataFrame, k: int = 20, text: bool = False) -> DataFrame:
         for b in it:
             for i in range(b.num_rows):
                 row = b.slice(i, 1)
-                words, counts, at, h = _windows(row, k)
+                w = _windows(row, k)
+                counts = w.counts
                 answers = row.column(row.schema.get_field_index("answers"))[0].as_py() or ()
-                repeats = _repeats(h, _second(words, counts, at, k), [np.frombuffer(a["answer"], np.uint64).reshape(2, -1) for a in answers]) if len(h) else np.zeros(0, bool)
-                gone = removed(counts, at, repeats, k)
+                repeats = _repeats(w, [np.frombuffer(a["answer"], np.uint64).reshape(2, -1) for a in answers])
+                gone = removed(counts, w.at, repeats, k)
                 ends = np.cumsum(counts)
                 n_removed, kept = [], []
-                for own, lo, hi in zip(words, (ends - counts).tolist(), ends.tolist(), strict=True):
+                for own, lo, hi in zip(w.words, (ends - counts).tolist(), ends.tolist(), strict=True):
                     mask = gone[lo:hi]
                     n = int(mask.sum())
                     n_removed.append(n)
