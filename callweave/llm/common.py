@@ -38,6 +38,13 @@ def utf8(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string").cast("binary"), F.lit(b""))
 
 
+def unused(names: list[str], name: str) -> str:
+    """A column's name that is none of names, whatever the case of letters."""
+    while name.lower() in {n.lower() for n in names}:
+        name += "_"
+    return name
+
+
 def filtered(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """The rows of docs, with all their columns, for which keep(texts as bytes) is true; whatever the columns' names."""
     ship(docs.sparkSession)
@@ -47,7 +54,7 @@ def filtered(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> Data
             out = b.filter(pa.array(np.asarray(keep(b.column(0).to_pylist()), bool)))
             yield pa.RecordBatch.from_arrays(out.columns[1:], out.schema.names[1:])
 
-    return docs.select(utf8().alias("text as bytes"), *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, docs.schema)
+    return docs.select(utf8().alias(unused(docs.columns, "text as bytes")), *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, docs.schema)
 
 
 def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -105,4 +112,4 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
-__all__ = ["batches", "drop", "filtered", "mix", "ranges", "scratch", "ship", "slices", "stored", "table", "utf8"]
+__all__ = ["batches", "drop", "filtered", "mix", "ranges", "scratch", "ship", "slices", "stored", "table", "unused", "utf8"]

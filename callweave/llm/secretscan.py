@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, ship, utf8
+from .common import batches, ship, unused, utf8
 
 #: Shortest value, and the longest that is one candidate even with signs of assignment in it.
 LEAST, MOST = 8, 512
@@ -416,4 +416,4 @@ def masked(docs: DataFrame, scanner: Scanner | None = None, path: str = "source"
                 columns[names.index("n_chars")] = pa.array(n_chars, columns[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in names), utf8().alias("text as bytes"), paths.alias("path as text")).mapInArrow(run, schema)
+    return docs.select(*(F.col(f"`{c}`") for c in names), utf8().alias(unused(names, "text as bytes")), paths.alias(unused(names, "path as text"))).mapInArrow(run, schema)
