@@ -43,7 +43,10 @@ ODD = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns with names that operators use themselves.
-EXTRA = "t string, score double, slice long, part int, row string, fp long, length long, piece int, number long"
+EXTRA = {
+    "t": "string", "score": "double", "slice": "long", "part": "int", "row": "string", "fp": "long", "length": "long", "piece": "int", "number": "long", "place": "long",
+    "text as bytes": "binary", "path as text": "string", "bands": "array<long>", "sketch": "binary", "group": "long", "key": "long", "best": "string", "h": "long",
+}
 
 
 def frame(spark, rows):
@@ -54,4 +57,4 @@ def odd(spark, empty=False):
     from pyspark.sql import functions as F
 
     base = spark.createDataFrame([] if empty else ODD, SCHEMA)
-    return base.select("*", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in EXTRA.split(", ")))
+    return base.select("*", *(F.lit(None).cast(kind).alias(name) for name, kind in EXTRA.items()))
