@@ -494,7 +494,10 @@ def test_broken_images_are_unsupported(spark):
 
 def test_media_of_documents(spark):
     rows = documents(80) + ODD
-    got = media.features(media.stored_media(frame(spark, rows))).toPandas()
+    images = media.stored_media(frame(spark, rows)).persist()
+    got = media.features(images).toPandas()
+    stored = Counter((r.doc_id, len(r.media), sha256(bytes(r.media)).hexdigest()) for r in images.collect())
+    assert Counter((r.doc_id, r.media_bytes, r.media_sha256) for r in media.features(images).collect()) == stored
     for doc, text in texts_of(rows):
         data = text.encode()
         payload = data + b" " * (-len(data) % 192 or (0 if data else 192))
