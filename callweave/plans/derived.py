@@ -429,7 +429,7 @@ def streamed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     _answers(spark, sf_dir).select(F.col("event_id").cast("string").alias("id"), "raw", state.alias("state")).write.json(own)
     for run in ("first", "second"):
         stream = spark.readStream.schema("id string, raw string, state string").json(own)
-        append_once(guarded(stream), out, f"{scratch(spark, 'checkpoint')}/{run}").awaitTermination()
+        append_once(guarded(stream), out, f"{scratch(spark, 'checkpoint')}/{run}").awaitTermination(1800)
     rows = spark.read.schema("id string, pred string, guarded string").json(out)
     return rows.select("id", F.get_json_object("pred", "$.kind").alias("pred"), F.get_json_object("guarded", "$.kind").alias("guarded"))
 
