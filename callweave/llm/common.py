@@ -1,13 +1,14 @@
 """What the operators of this subpackage share: shipping code, scratch tables, text access.
 
-Nothing here depends on the size of the data: every helper works per Arrow batch or through Spark tables. Arrow batches
-are as the session has them: Spark bounds them by bytes (spark.sql.execution.arrow.maxBytesPerBatch), so long texts and
-blobs make small ones. Scratch tables go as `operators.storage` says: with the scope that they are made in.
+Nothing here depends on the size of the data: every helper works per Arrow batch or through Spark tables. Steps over texts
+and blobs that an operator runs itself have batches of TEXT_ROWS and BLOB_ROWS; what its user runs has the session's, which
+Spark bounds by bytes (spark.sql.execution.arrow.maxBytesPerBatch). Scratch tables go as `operators.storage` says: with the scope that they are made in.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -16,16 +17,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators.storage import drop, scratch, ship
+from ..operators.storage import conf, drop, scratch, ship
 
+#: Rows of an Arrow batch of texts and of large blobs.
+TEXT_ROWS, BLOB_ROWS = 256, 16
 #: Writer options for rows of large blobs: pages and row groups are measured after each row.
 BLOB_PAGES = {"parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as a table in the shared folder and read it again: lineage ends there, a lost executor loses nothing."""
+def batched(spark: SparkSession, rows: int | None) -> AbstractContextManager[None]:
+    """Arrow batches of so many rows for what runs in it, as a batch is held whole by JVM and worker; None: the session's."""
+    return conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)) if rows else nullcontext()
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """Write df as a table in the shared folder, in Arrow batches of so many rows, and read it again: lineage ends there, a lost executor loses nothing."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with batched(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(StructType.fromJson(df.schema.jsonValue())).parquet(path), path
 
 
@@ -112,4 +121,4 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
-__all__ = ["batches", "drop", "filtered", "mix", "ranges", "scratch", "ship", "slices", "stored", "table", "unused", "utf8"]
+__all__ = ["batched", "batches", "drop", "filtered", "mix", "ranges", "scratch", "ship", "slices", "stored", "table", "unused", "utf8"]

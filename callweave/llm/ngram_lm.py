@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import packed
-from .common import mix
+from .common import BLOB_ROWS, batched, mix, stored
 from .words import hashes, runs, split
 
 LEAST, BACKOFF = 2, 0.4
@@ -107,7 +107,8 @@ def scored(docs: DataFrame, least: int = LEAST, backoff: float = BACKOFF) -> Dat
             n = [int(split(packed.texts_of(b.slice(i, 1)), _LOWER)[1].sum()) for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
 
-    total = slices.frame.select("lengths", "texts").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
+    with batched(docs.sparkSession, BLOB_ROWS):
+        total = slices.frame.select("lengths", "texts").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -136,4 +137,5 @@ def scored(docs: DataFrame, least: int = LEAST, backoff: float = BACKOFF) -> Dat
                 columns = [packed.ids_of(row), pa.array(counts), pa.array(back[ends] - back[ends - counts]), pa.array(score), pa.array(perplexity, mask=counts == 0)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_backoff", "log_score", "perplexity"])
 
-    return packed.joined(slices.frame, answers).mapInArrow(run, "doc_id long, n_words long, n_backoff long, log_score double, perplexity double")
+    out = packed.joined(slices.frame, answers).mapInArrow(run, "doc_id long, n_words long, n_backoff long, log_score double, perplexity double")
+    return stored(out, "scores", BLOB_ROWS)[0]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import conf, on_release
-from .common import BLOB_PAGES, batches, drop, scratch, ship, utf8
+from .common import BLOB_PAGES, TEXT_ROWS, batched, batches, drop, scratch, ship, utf8
 
 #: Bytes of text in a slice; a longer document is a slice of its own.
 SLICE = 2 << 20
@@ -114,7 +114,7 @@ def sliced(docs: DataFrame, size: int = SLICE) -> Slices:
     name, path = f"slices_{uuid.uuid4().hex}", scratch(spark, "slices")
     writer = rows.mapInArrow(run, "slice long, ids array<long>, lengths array<int>, texts binary, bytes long").write.format("parquet")
     # a task writes one bucket: no sort of blobs; and pages end by their size, not after a hundred blobs
-    with conf(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"):
+    with conf(spark, "spark.sql.maxConcurrentOutputFileWriters", "2"), batched(spark, TEXT_ROWS):
         writer.options(**BLOB_PAGES).option("compression", "none").option("path", path).bucketBy(buckets, "slice").saveAsTable(name)
     frame = spark.table(name)
     total = frame.agg(F.sum("bytes")).first()[0] or 0

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, ship, stored, utf8
+from .common import TEXT_ROWS, batches, ship, stored, utf8
 from .tokens import END_ID, default_path, encoded, encoder
 
 Pattern = tuple[int, ...]
@@ -182,7 +182,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str, end_id: int, ids: boo
 
 def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, end_id: int = END_ID, ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and ids if asked for: one row for each piece of docs (doc_id, text)."""
-    cut, _ = stored(pieces(docs, capacity, tokenizer or default_path(), end_id, ids), "pieces")
+    cut, _ = stored(pieces(docs, capacity, tokenizer or default_path(), end_id, ids), "pieces", TEXT_ROWS)
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))

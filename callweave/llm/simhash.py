@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitslice
-from .common import batches, drop, mix, ship, stored, utf8
+from .common import TEXT_ROWS, batches, drop, mix, ship, stored, utf8
 from .fingerprints import shingle_hashes, simhash
 from .jaccard import spanning_links
 
@@ -194,10 +194,10 @@ def similar_links(members: DataFrame, share: float) -> DataFrame:
     return members.select("group", "fp", "hashes").repartition("group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long").distinct()
 
 
-def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
+def components(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, list[str]]:
     """node, root for every node of the undirected edges (src, dst): root is the least node of its class; and tables to drop."""
     both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
-    both, at = stored(both, "edges")
+    both, at = stored(both, "edges", rows)
     labels, labels_at = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
         hop = both.join(labels.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("m"))
@@ -212,11 +212,11 @@ def components(edges: DataFrame) -> tuple[DataFrame, list[str]]:
             return labels, [labels_at]
 
 
-def _classes(fps: DataFrame, find: Callable[[DataFrame, int], DataFrame], node: str = "fp") -> DataFrame:
-    """doc_id, fp, component_id for stored fingerprints; find(nodes, count) gives links."""
+def _classes(fps: DataFrame, find: Callable[[DataFrame, int], DataFrame], rows: int | None = None) -> DataFrame:
+    """doc_id, fp, component_id for stored fingerprints; find(nodes, count) gives links, in Arrow batches of so many rows."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     count = fps.select(F.approx_count_distinct("fp")).first()[0]
-    roots, tables = components(find(nodes, count))
+    roots, tables = components(find(nodes, count), rows)
     linked = nodes.join(roots, F.col("fp") == F.col("node"))
     least = linked.groupBy("root").agg(F.min("least").alias("class_least"))
     of_linked = linked.join(least, "root").select("fp", "class_least")
@@ -229,14 +229,14 @@ def _classes(fps: DataFrame, find: Callable[[DataFrame, int], DataFrame], node:
 
 def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the least doc_id reachable over links of at most radius bits."""
-    fps, _ = stored(fingerprints(docs, k), "fps")
+    fps, _ = stored(fingerprints(docs, k), "fps", TEXT_ROWS)
     out = _classes(fps, lambda nodes, count: links(block_tables(nodes.select("fp"), radius, count), radius))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def similar(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
     """doc_id, component_id: links join documents whose sets of k-word shingles have a Jaccard similarity of share at least."""
-    fps, _ = stored(shingle_sets(docs, k), "sets")
+    fps, _ = stored(shingle_sets(docs, k), "sets", TEXT_ROWS)
     used: list[str] = []  # tables that nothing reads once the links are found
 
     def find(nodes: DataFrame, count: int) -> DataFrame:
@@ -258,7 +258,7 @@ def similar(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
         sets = shingle_sets(texts, k, whole=True).groupBy("fp").agg(F.first("hashes").alias("hashes"))
         return similar_links(members.join(sets, "fp"), share)
 
-    out = _classes(fps, find).select("doc_id", "component_id")
+    out = _classes(fps, find, TEXT_ROWS).select("doc_id", "component_id")
     for at in used:
         drop(docs.sparkSession, at)
     return out

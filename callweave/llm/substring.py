@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import packed
+from .common import BLOB_ROWS, stored
 from .words import hashes, runs, split, starts
 
 #: The base of the windows' second hashes: any odd number.
@@ -183,4 +184,4 @@ def deduplicated(docs: DataFrame, k: int = 20, text: bool = False) -> DataFrame:
                 columns = [packed.ids_of(row), pa.array(counts), pa.array(n_removed, pa.int64()), pa.array([sha256(t).hexdigest() for t in kept])]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array([t.decode() for t in kept])] * text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * text)
 
-    return packed.joined(slices.frame, later).mapInArrow(run, schema)
+    return stored(packed.joined(slices.frame, later).mapInArrow(run, schema), "deduplicated", BLOB_ROWS)[0]

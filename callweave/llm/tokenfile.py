@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOB_PAGES, batches, ship, utf8
+from .common import BLOB_PAGES, TEXT_ROWS, batched, batches, ship, utf8
 from .tokens import END_ID, default_path, encoder
 from .wavelet import WaveletMatrix
 
@@ -73,7 +73,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
             yield row()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t"), F.monotonically_increasing_id().alias("place"))
-    rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "t").mapInArrow(run, SCHEMA).write.options(**BLOB_PAGES).option("compression", "snappy").parquet(path)
+    shards = rows.repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place").select("doc_id", "t").mapInArrow(run, SCHEMA)
+    with batched(docs.sparkSession, TEXT_ROWS):
+        shards.write.options(**BLOB_PAGES).option("compression", "snappy").parquet(path)
 
 
 def _shards(spark: SparkSession, path: str) -> tuple[DataFrame, dict[int, int]]:
