@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from ..operators.storage import conf, drop, scratch, ship
 
@@ -54,16 +54,30 @@ def unused(names: list[str], name: str) -> str:
     return name
 
 
+def with_text(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with its texts as UTF-8 somewhere, and in which column: its own text, or one before the others if that is no string."""
+    if isinstance(docs.schema["text"].dataType, StringType):
+        return docs, docs.columns.index("text")
+    return docs.select(utf8().alias(unused(docs.columns, "text as bytes")), *(F.col(f"`{c}`") for c in docs.columns)), 0
+
+
+def texts_in(column: pa.Array) -> list[bytes]:
+    """Texts as bytes without a copy of their column; null becomes empty."""
+    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+
+
 def filtered(docs: DataFrame, keep: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
     """The rows of docs, with all their columns, for which keep(texts as bytes) is true; whatever the columns' names."""
     ship(docs.sparkSession)
+    rows, at = with_text(docs)
+    more = len(rows.columns) - len(docs.columns)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(it, 0, 4 << 20):
-            out = b.filter(pa.array(np.asarray(keep(b.column(0).to_pylist()), bool)))
-            yield pa.RecordBatch.from_arrays(out.columns[1:], out.schema.names[1:])
+        for b in batches(it, at, 4 << 20):
+            out = b.filter(pa.array(np.asarray(keep(texts_in(b.column(at))), bool)))
+            yield pa.RecordBatch.from_arrays(out.columns[more:], out.schema.names[more:])
 
-    return docs.select(utf8().alias(unused(docs.columns, "text as bytes")), *(F.col(f"`{c}`") for c in docs.columns)).mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, docs.schema)
 
 
 def slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
@@ -121,4 +135,4 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(np.asarray(starts, np.int64) - (ends - lengths), lengths)
 
 
-__all__ = ["batched", "batches", "drop", "filtered", "mix", "ranges", "scratch", "ship", "slices", "stored", "table", "unused", "utf8"]
+__all__ = ["batched", "batches", "drop", "filtered", "mix", "ranges", "scratch", "ship", "slices", "stored", "table", "texts_in", "unused", "utf8", "with_text"]

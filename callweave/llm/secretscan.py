@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, ship, unused, utf8
+from .common import batches, ship, texts_in, unused, utf8, with_text
 
 #: Shortest value, and the longest that is one candidate even with signs of assignment in it.
 LEAST, MOST = 8, 512
@@ -390,17 +390,20 @@ def masked(docs: DataFrame, scanner: Scanner | None = None, path: str = "source"
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(scanner or default_scanner())
-    schema = docs.schema
-    names = docs.columns
+    schema, names = docs.schema, docs.columns
     paths = F.col(path).cast("string") if path in names else F.lit(None).cast("string")
+    rows, text_at = with_text(docs)
+    rows = rows.select(paths.alias(unused(rows.columns, "path as text")), *(F.col(f"`{c}`") for c in rows.columns))
+    more = len(rows.columns) - len(names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         at = names.index("text")
-        for b in batches(it, len(names), 4 << 20):
-            texts = b.column(len(names)).to_pylist()
-            out, n_chars = b.column(at).to_pylist(), b.column(names.index("n_chars")).to_pylist() if "n_chars" in names else None
-            for i, (t, found) in enumerate(zip(texts, own.scan(texts, b.column(len(names) + 1).to_pylist()), strict=True)):
+        for b in batches(it, text_at + 1, 4 << 20):
+            texts = texts_in(b.column(text_at + 1))
+            columns = list(b.columns[more:])
+            out, n_chars = columns[at].to_pylist(), columns[names.index("n_chars")].to_pylist() if "n_chars" in names else None
+            for i, (t, found) in enumerate(zip(texts, own.scan(texts, b.column(0).to_pylist()), strict=True)):
                 pieces, last = [], 0
                 for a, e, s in found:
                     if s >= own.votes and a >= last:
@@ -410,10 +413,9 @@ def masked(docs: DataFrame, scanner: Scanner | None = None, path: str = "source"
                     out[i] = (b"".join(pieces) + t[last:]).decode()
                     if n_chars is not None:
                         n_chars[i] = len(out[i])
-            columns = list(b.columns[: len(names)])
             columns[at] = pa.array(out, columns[at].type)
             if n_chars is not None:
                 columns[names.index("n_chars")] = pa.array(n_chars, columns[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(*(F.col(f"`{c}`") for c in names), utf8().alias(unused(names, "text as bytes")), paths.alias(unused(names, "path as text"))).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
