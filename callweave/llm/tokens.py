@@ -21,8 +21,8 @@ import numpy as np
 from .common import mix, ranges
 
 END_ID = 2
-#: Parts of a generation; a part takes some 100 bytes.
-KEPT = 1 << 19
+#: Parts of a generation; a part takes some 80 bytes.
+KEPT = 3 << 18
 #: Bytes of a part that is kept: four words of 8 bytes, of which the last byte is the length.
 LONGEST = 31
 #: Parts and bytes of them that are encoded at once. Longer strings cost the library more for each byte.
@@ -52,7 +52,7 @@ class _Table:
 
     def __init__(self, kind: type, kept: int):
         self.kept = kept
-        self.bits = max(4, (2 * kept - 1).bit_length())
+        self.bits = max(4, (4 * kept // 3 - 1).bit_length())  # three quarters full at most
         self._keys = np.zeros((1 << self.bits, _KEY), np.uint64)
         self._number = np.zeros(1 << self.bits, np.int32)  # 0: free
         self.n, self.used = 1, 0
