@@ -7,8 +7,10 @@ give a spanning star of their links at most. A group larger than CELL is dealt t
 shares one. Classes are found by spreading the least member with pointer jumping in Spark tables.
 
 `near_duplicates` takes radius-limited links of documents' fingerprints as they are. `similar` is for a Jaccard similarity
-of SHARE of the shingle sets. Its groups are documents that share a band of shingle minima, which only finds candidates:
-the similarity of each pair of a group is computed from the sets, by `jaccard`.
+of SHARE of the shingle sets, where fingerprints differ in more bits than block tables reach. Its groups are documents that
+share a band of shingle minima. In a group, fingerprints of the distinct shingles are compared by `bitslice` as well, up to
+REACH bits; what it finds is decided by the sets' similarity itself. No radius holds all pairs of SHARE, so links that are
+beyond it are then found among the sets, exactly, by `jaccard`.
 
 Rows with a null text or without words have fingerprint zero and link like any other; for `similar` they are copies of
 each other. Null ids stay, with the class of their fingerprint. Empty input gives an empty result; other columns are not
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from . import bitslice
 from .common import TEXT_ROWS, batches, drop, mix, ship, stored, utf8
 from .fingerprints import shingle_hashes, simhash
-from .jaccard import spanning_links
+from .jaccard import alike, spanning_links
 
 #: Rows of a group that are compared together; a larger group is dealt to cells of two portions of about this size.
 CELL = 4096
@@ -41,10 +43,12 @@ BLOCKS = ((1 << 24, 6), (1 << 31, 7), (1 << 62, 8))
 SHARE = 0.8
 #: Bands of shingle minima, minima in each: a pair of similarity 0.8 shares a band but for 1 in 2 * 10^7, (1 - 0.8^4)^32.
 BANDS, ROWS = 32, 4
+#: Bits that fingerprints in a group of `similar` may differ in: a pair of SHARE differs in 9.7 of 64 on average, 2.9 the deviation.
+REACH = 20
 #: Shingles of a group that are compared together, as CELL for rows.
 SHINGLES = 1 << 21
-#: Links that are handed on at once.
-LINKS = 1 << 14
+#: Shingles of whole groups whose fingerprints are compared at once; a larger group is compared alone.
+AT_ONCE = 1 << 18
 #: Pairs merged at once.
 PAIRS = 1 << 16
 TEXTS = 4 << 20
@@ -75,7 +79,7 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int, whole: bool = False) -> DataFrame:
-    """doc_id, fp, size (distinct k-word shingles of A-Z lower-cased text) and the keys of their bands; whole: their hashes instead of the keys.
+    """doc_id, fp, size (distinct k-word shingles of A-Z lower-cased text) and the keys of their bands; whole: their SimHash and hashes instead of the keys.
 
     fp are 64 bits of all distinct shingles, whatever their repeats: texts of one fp have the same set.
     """
@@ -84,20 +88,22 @@ def shingle_sets(docs: DataFrame, k: int, whole: bool = False) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, "t", TEXTS):
-            fps, sizes, rest = [], [], []
+            fps, sizes, sims, rest = [], [], [], []
             for text in b.column(1).to_pylist():
                 h = np.unique(shingle_hashes(text.lower().split(), k))
                 fps.append(xxhash.xxh64_intdigest(h.tobytes()))
                 sizes.append(len(h))
                 rest.append(h.tobytes() if whole else _bands(h, multipliers).view(np.int64))
+                if whole:
+                    sims.append(simhash(h))
             if whole:
-                last = pa.array(rest, pa.binary())
+                last = {"simhash": pa.array(np.array(sims, np.uint64).view(np.int64)), "hashes": pa.array(rest, pa.binary())}
             else:
-                last = pa.ListArray.from_arrays(np.cumsum([0, *map(len, rest)]).astype(np.int32), np.concatenate(rest))
-            columns = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), last]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "size", "hashes" if whole else "bands"])
+                last = {"bands": pa.ListArray.from_arrays(np.cumsum([0, *map(len, rest)]).astype(np.int32), np.concatenate(rest))}
+            columns = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), *last.values()]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "size", *last])
 
-    kind = "hashes binary" if whole else "bands array<long>"
+    kind = "simhash long, hashes binary" if whole else "bands array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("t")).mapInArrow(run, f"doc_id long, fp long, size long, {kind}")
 
 
@@ -163,35 +169,74 @@ def links(grouped: DataFrame, radius: int) -> DataFrame:
     return _dealt(grouped).select("group", "fp").repartition("group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long").distinct()
 
 
+def group_links(keys: np.ndarray, sims: np.ndarray, sets: list[np.ndarray], share: float) -> tuple[list[int], list[int]]:
+    """Pairs of rows of one key, each similar by share at least, that join all rows which such pairs join; keys are sorted, sets without repeats or empty ones.
+
+    Fingerprints find for each row the first one before it within REACH bits, to be decided by the sets; the sets' index finds what is left.
+    """
+    n = len(keys)
+    before = np.full(n, n)
+    for a, b in bitslice.near_pairs(keys, sims, REACH):
+        np.minimum.at(before, b, a)
+    src: list[int] = []
+    dst: list[int] = []
+    for j in np.flatnonzero(before < n).tolist():
+        i = int(before[j])
+        if alike(sets[i], sets[j], share):
+            src.append(i)
+            dst.append(j)
+    parent = np.arange(n)
+    bitslice.merge(parent, np.array(src, np.int64), np.array(dst, np.int64))
+    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, n).tolist()
+    for lo, hi in zip([0, *ends], ends, strict=False):
+        a, b = spanning_links(sets[lo:hi], share, parent[lo:hi] - lo)
+        src += [lo + i for i in a]
+        dst += [lo + i for i in b]
+    return src, dst
+
+
 def similar_links(members: DataFrame, share: float) -> DataFrame:
-    """src, dst: links of members (group, fp, hashes) of one group with a Jaccard similarity of share, enough to join all that such links join."""
+    """src, dst: links of members (group, fp, simhash, hashes) of one group with a Jaccard similarity of share, enough to join all that such links join."""
     ship(members.sparkSession)
 
-    def groups(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    def groups(it: Iterator[pa.RecordBatch]) -> Iterator[dict[int, tuple[int, np.ndarray]]]:
         last, own = None, {}
         for b in it:
-            for group, fp, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for group, fp, sim, hashes in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group != last:
                     if own:
-                        yield [*own], [*own.values()]
+                        yield own
                     last, own = group, {}
-                own[fp] = np.frombuffer(hashes, np.uint64)
+                own[fp] = sim, np.frombuffer(hashes, np.uint64)
         if own:
-            yield [*own], [*own.values()]
+            yield own
+
+    def links_in(held: list[dict[int, tuple[int, np.ndarray]]]) -> tuple[list[int], list[int]]:
+        keys = np.repeat(np.arange(len(held)), [len(own) for own in held])
+        fps = [fp for own in held for fp in own]
+        sims = np.array([sim for own in held for sim, _ in own.values()], np.int64).view(np.uint64)
+        a, b = group_links(keys, sims, [hashes for own in held for _, hashes in own.values()], share)
+        return [fps[i] for i in a], [fps[i] for i in b]
+
+    def portions(it: Iterator[pa.RecordBatch]) -> Iterator[list[dict[int, tuple[int, np.ndarray]]]]:
+        held: list[dict[int, tuple[int, np.ndarray]]] = []
+        total = 0
+        for own in groups(it):
+            n = sum(len(hashes) for _, hashes in own.values())
+            if held and total + n > AT_ONCE:
+                yield held
+                held, total = [], 0
+            held.append(own)
+            total += n
+        if held:
+            yield held
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        src: list[int] = []
-        dst: list[int] = []
-        for fps, sets in groups(it):
-            a, b = spanning_links(sets, share)
-            src += [fps[i] for i in a]
-            dst += [fps[i] for i in b]
-            if len(src) >= LINKS:
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-                src, dst = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+        for held in portions(it):
+            src, dst = links_in(held)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    return members.select("group", "fp", "hashes").repartition("group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long").distinct()
+    return members.select("group", "fp", "simhash", "hashes").repartition("group").sortWithinPartitions("group").mapInArrow(run, "src long, dst long").distinct()
 
 
 def components(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, list[str]]:
@@ -255,7 +300,7 @@ def similar(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
         # sets are made again for the members alone, from one text of each
         wanted = members.select("fp").distinct().join(one, "fp").select("least").distinct()
         texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("least")), "left_semi")
-        sets = shingle_sets(texts, k, whole=True).groupBy("fp").agg(F.first("hashes").alias("hashes"))
+        sets = shingle_sets(texts, k, whole=True).groupBy("fp").agg(F.first("simhash").alias("simhash"), F.first("hashes").alias("hashes"))
         return similar_links(members.join(sets, "fp"), share)
 
     out = _classes(fps, find, TEXT_ROWS).select("doc_id", "component_id")

@@ -296,6 +296,36 @@ def test_links_of_sets_are_those_of_brute_force():
         assert classes(range(m), alike) == classes(range(m), lambda i, j: (i, j) in found or (j, i) in found)  # noqa: B023
 
 
+def test_groups_are_compared_by_fingerprints_and_decided_by_sets(monkeypatch):
+    rng = random.Random(13)
+    line = [rng.getrandbits(64) for _ in range(300)]
+    sets, keys = [], []
+    for key in range(30):
+        for _ in range(3):
+            own = [rng.getrandbits(64) for _ in range(rng.choice([4, 9, 60, 400]))]
+            own += line * (rng.random() < 0.3)  # similar fingerprints below 0.8
+            for _ in range(3):
+                sets.append({x if rng.random() < rng.choice([0.8, 0.9, 0.97]) else rng.getrandbits(64) for x in own})
+                keys.append(key)
+    even = {x for _ in range(4) for r in [rng.getrandbits(64)] for x in (r, r ^ (1 << 64) - 1)}
+    sets += [even, even | {(1 << 64) - 1, (1 << 64) - 2}]  # 0.8, and far apart in nearly all bits
+    keys += [30, 30]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    sims = np.array([simhash.simhash(h) for h in arrays], np.uint64)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if keys[i] == keys[j]]
+    alike = {p for p in pairs if 5 * len(sets[p[0]] & sets[p[1]]) >= 4 * len(sets[p[0]] | sets[p[1]])}
+    near = {(i, j) for i, j in pairs if (int(sims[i]) ^ int(sims[j])).bit_count() <= simhash.REACH}
+    assert alike & near and alike - near and near - alike
+    left = []
+    whole = simhash.spanning_links
+    monkeypatch.setattr(simhash, "spanning_links", lambda sets, share, known: left.append(len(set(known.tolist()))) or whole(sets, share, known))
+    a, b = simhash.group_links(np.array(keys), sims, arrays, 0.8)
+    found = {(max(p), min(p)) for p in zip(a, b, strict=True)}
+    assert found <= alike
+    assert classes(range(len(sets)), lambda i, j: (i, j) in found or (j, i) in found) == classes(range(len(sets)), lambda i, j: (i, j) in alike or (j, i) in alike)
+    assert len(left) == 31 and sum(left) < len(sets)  # fingerprints have joined rows before the index of sets is asked
+
+
 def test_pairs_are_decided_by_their_similarity_itself(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 4)
     rng = random.Random(11)
