@@ -49,6 +49,8 @@ REACH = 20
 SHINGLES = 1 << 21
 #: Shingles of whole groups whose fingerprints are compared at once; a larger group is compared alone.
 AT_ONCE = 1 << 18
+#: Bytes of bitmaps of row numbers that go to the executors; larger ones are joined in Spark.
+MARKS = 32 << 20
 #: Pairs merged at once.
 PAIRS = 1 << 16
 TEXTS = 4 << 20
@@ -279,8 +281,22 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
-    """doc_id, component_id: links join documents whose sets of k-word shingles have a Jaccard similarity of share at least."""
+def numbered(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows whose number is one of numbers (number, from monotonically_increasing_id). Rows are shuffled only if bitmaps of the numbers take more than MARKS."""
+    bucket, place = F.bitmap_bucket_number("number"), F.bitmap_bit_position("number")
+    marks, _ = stored(numbers.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits")), "marks")
+    small = marks.select(F.sum(F.octet_length("bits"))).first()[0] or 0
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    both = rows.withColumn("bucket", bucket).join(F.broadcast(marks) if small <= MARKS else marks, "bucket")
+    return both.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*rows.columns)
+
+
+def similar(docs: DataFrame, k: int = 5, share: float = SHARE, pick: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id, component_id: links join documents whose sets of k-word shingles have a Jaccard similarity of share at least.
+
+    pick(docs, wanted): the rows of docs with a doc_id of wanted (least); a join unless given.
+    """
+    pick = pick or (lambda docs, wanted: docs.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("least")), "left_semi"))
     fps, _ = stored(shingle_sets(docs, k), "sets", TEXT_ROWS)
     used: list[str] = []  # tables that nothing reads once the links are found
 
@@ -299,8 +315,7 @@ def similar(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
         used.append(at)
         # sets are made again for the members alone, from one text of each
         wanted = members.select("fp").distinct().join(one, "fp").select("least").distinct()
-        texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("least")), "left_semi")
-        sets = shingle_sets(texts, k, whole=True).groupBy("fp").agg(F.first("simhash").alias("simhash"), F.first("hashes").alias("hashes"))
+        sets = shingle_sets(pick(docs.select("doc_id", "text"), wanted), k, whole=True).groupBy("fp").agg(F.first("simhash").alias("simhash"), F.first("hashes").alias("hashes"))
         return similar_links(members.join(sets, "fp"), share)
 
     out = _classes(fps, find, TEXT_ROWS).select("doc_id", "component_id")
@@ -311,9 +326,13 @@ def similar(docs: DataFrame, k: int = 5, share: float = SHARE) -> DataFrame:
 
 def without_copies(docs: DataFrame, k: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, less all but one of each class of `similar`: the one of the least doc_id, null ids last; of rows of one doc_id, any one."""
-    rows, _ = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text", F.monotonically_increasing_id().alias("number")), "rows")
+    rows, _ = stored(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.monotonically_increasing_id().alias("number")), "rows")
+
+    def pick(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+        return numbered(docs.withColumnRenamed("doc_id", "number"), wanted.withColumnRenamed("least", "number")).withColumnRenamed("number", "doc_id")
+
     # classes are found over row numbers that ascend by doc_id within a node, whatever the ids are
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").cast("long").alias("doc_id"), F.col("number").alias("number"))
-    classes = similar(rows.select(F.col("number").alias("doc_id"), "text"), k).select(F.col("doc_id").alias("number"), F.col("component_id"))
-    best = classes.join(rows.select("number", "doc_id"), "number").groupBy("component_id").agg(F.min(order).alias("best"))
-    return rows.join(best.select(F.col("best.number").alias("number")), "number", "left_semi").select("row.*")
+    classes = similar(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), k, pick=pick).select(F.col("doc_id").alias("number"), F.col("component_id"))
+    best = classes.join(rows.select("number", F.col("row.doc_id").alias("doc_id")), "number").groupBy("component_id").agg(F.min(order).alias("best"))
+    return numbered(rows, best.select(F.col("best.number").alias("number"))).select("row.*")

@@ -366,6 +366,29 @@ def test_copies_that_differ_in_repeats_are_caught(spark):
     assert [r.doc_id for r in simhash.without_copies(frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])).collect()] == [0]
 
 
+@pytest.mark.parametrize("marks", [1 << 20, 0])
+def test_rows_of_numbers_are_those_of_a_join(spark, monkeypatch, marks):
+    monkeypatch.setattr(simhash, "MARKS", marks)
+    rows = spark.range(0, 120_000, 1, 3).select(F.monotonically_increasing_id().alias("number"), F.col("id").alias("own"))
+    for wanted in (rows.where("own % 7 = 0 or own % 40000 in (1, 2, 8, 9, 32767, 32768, 32769, 39999)"), rows.where("own = 0"), rows.where("own < 0"), rows):
+        expected = sorted(r.own for r in wanted.collect())
+        assert sorted(r.own for r in simhash.numbered(rows, wanted.select("number")).collect()) == expected
+
+
+def test_rows_without_copies_are_not_shuffled(spark):
+    rng = random.Random(17)
+    texts = [" ".join(f"w{rng.randrange(900)}" for _ in range(50)) for _ in range(40)]
+    docs = frame(spark, [(i, texts[i % 40] if i % 9 else None, "en", "s", i) for i in range(100)]).withColumn("number", F.lit(1)).withColumn("bits", F.lit("b")).repartition(5)
+    with storage.conf(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        out = simhash.without_copies(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "rangepartitioning" not in plan
+        first = {}
+        for r in docs.orderBy("doc_id").collect():
+            first.setdefault(r.text, tuple(r))
+        assert sorted(tuple(r) for r in out.collect()) == sorted(first.values())
+
+
 # quality, language ---------------------------------------------------------------------------------------------------
 
 
