@@ -118,6 +118,7 @@ def spelled(x: Column) -> Column:
         F.when(x.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(x), F.lit("nan"))
         .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+        .when((x == 0) & x.cast("string").startswith("-"), F.lit("-0"))
         .when((x == F.floor(x)) & (size < 1e6), x.cast("bigint").cast("string"))
         .when((size < 1e21) & (size >= 1e-5), exact)
         .otherwise(F.regexp_replace(F.format_string("%.5e", x), r"\.?0+e", "e"))

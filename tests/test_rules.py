@@ -75,6 +75,11 @@ def test_numbers_are_spelled_as_by_printf(spark):
     assert one(spark, V.spelled(F.lit(None).cast("double"))) is None
 
 
+def test_a_zero_keeps_its_sign(spark):
+    rows = spark.createDataFrame([(0.0,), (-0.0,)], "v double").select(V.spelled(F.col("v")).alias("s"), V.spelled(-F.col("v")).alias("t")).collect()
+    assert [tuple(r) for r in rows] == [("0", "-0"), ("-0", "0")]
+
+
 def test_arguments_must_be_an_object(spark):
     assert one(spark, U.validate_variant(F.lit("lock_doors"), F.parse_json(F.lit("[1]")))) == ["lock_doors: cần kiểu object, nhận list"]
     assert one(spark, U.validate_variant(F.lit("set_volume"), F.parse_json(F.lit('{"level": 5}')))) == []
