@@ -99,8 +99,8 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_SQL_TURNS + "SELECT a, b, round(shared / (na + nb - shared), 6) AS similarity FROM p WHERE shared / (na + nb - shared) > 0.85")
 def ngram_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored(_turns(spark, sf_dir).select("seq", "key", dedup.gram_set(F.col("text")).alias("grams")), "grams")
-    return dedup.similar_pairs(rows, 0.85).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    rows = _turns(spark, sf_dir)
+    return dedup.similar_pairs(rows, dedup.sketched(rows, 0.85), 0.85).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @_query(_SQL_TURNS + """, near AS MATERIALIZED (SELECT a, b FROM p WHERE shared / (na + nb - shared) > 0.85),

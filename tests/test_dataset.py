@@ -1,4 +1,6 @@
 import json
+import os
+import pathlib
 import random
 import sys
 import time
@@ -51,6 +53,34 @@ def test_dedup_is_the_greedy_one(spark, threshold):
     assert got.count() == len(rows)
 
 
+def syllables(rng, n):
+    return "".join(rng.choice(("the", "on ", "er", "ing ", "an", "re ", "th", "ea", "st ", "ble", "of ", "ti", "ha", "ou ")) for _ in range(n))
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.85])
+def test_dedup_in_tiles_is_the_greedy_one(spark, threshold, monkeypatch):
+    monkeypatch.setattr(dedup, "ROWS", 20)
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ab"), syllables(rng, rng.choice((3, 20, 60, 150)))) for i in range(150)]
+    rows += [(1000 + i, key, text.rsplit(" ", rng.randint(1, 3))[0]) for i, key, text in rows[::2]]
+    rows += [(2000, None, "mo cua so"), (2001, None, "mo cua so"), (2002, "a", None), (2003, "a", None), (2004, "a", ""), (2005, "a", " ")]
+    got = dedup.dedupe(spark.createDataFrame(rows, "seq int, key string, text string"), F.col("seq"), F.col("key"), F.col("text"), threshold)
+    assert {r.seq for r in got.where("duplicate").collect()} == greedy([r for r in rows if None not in r], threshold)
+
+
+def test_dedup_of_texts_of_the_same_ngrams_keeps_little(spark):
+    """Most texts share most n-grams: what is stored is less than the texts, and few pairs go to the sets."""
+    rng = random.Random(9)
+    texts = [syllables(rng, rng.randint(100, 200)) for _ in range(1000)]
+    rows = spark.createDataFrame([(i, "a", t) for i, t in enumerate(texts)], "seq int, key string, text string").repartition(2)
+    folder = storage.folder(spark).removeprefix("file://")
+    size = lambda: sum(p.stat().st_size for p in pathlib.Path(folder).rglob("*.parquet")) if os.path.isdir(folder) else 0
+    with storage.scope(spark):
+        before = size()
+        got = dedup.dedupe(rows, F.col("seq"), F.col("key"), F.col("text")).where("duplicate").count()
+        assert got == 0 and size() - before < sum(map(len, texts)) / 2
+
+
 def test_dedup_of_nothing(spark):
     empty = spark.createDataFrame([], "seq int, key string, text string")
     assert dedup.dedupe(empty, F.col("seq"), F.col("key"), F.col("text")).count() == 0
