@@ -22,9 +22,15 @@ def stripped(s: Column) -> Column:
 def load_json(s: Column) -> Column:
     """The text of the first JSON value: code fences go, then what precedes the first brace or bracket unless the whole is JSON; null if that is no value."""
     bare = stripped(F.regexp_replace(F.regexp_replace(stripped(s), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
-    start = F.regexp_extract(bare, r"(?s)[\{\[].*$", 0)
-    scalar = bare.rlike(r'(?s)^("|-?[0-9]|true|false|null)') & F.try_parse_json(bare).isNotNull()
-    return F.when(scalar, bare).when((start != "") & F.try_parse_json(start).isNotNull(), start).when((start != "") & (F.from_json(start, "map<string,string>").isNotNull() & start.startswith("{")), start)
+
+    def of_start(start: Column) -> Column:
+        return F.when(start == "", F.lit(None).cast("string")).when(F.try_parse_json(start).isNotNull() | (start.startswith("{") & F.from_json(start, "map<string,string>").isNotNull()), start)
+
+    def of_bare(b: Column) -> Column:
+        scalar = b.rlike(r'^("|-?[0-9]|true|false|null)') & F.try_parse_json(b).isNotNull()
+        return F.when(scalar, b).otherwise(let(F.regexp_extract(b, r"(?s)[\{\[].*$", 0), of_start))
+
+    return let(bare, of_bare)
 
 
 def _call(json: Column) -> Column:
@@ -39,23 +45,25 @@ def _call(json: Column) -> Column:
         absent = ~has & ~F.map_contains_key(kinds, F.lit("parameters"))
         k = kind(field)
         empty = F.create_map().cast("map<string,variant>")
-        inner = load_json(as_text(field))
         args = (
             F.when(absent, empty)
             .when(k == "dict", arguments_of(text))
             .when((k == "str") & (stripped(as_text(field)) == ""), empty)
-            .when((k == "str") & inner.startswith("{"), arguments_of(inner))
+            .when(k == "str", let(load_json(as_text(field)), lambda t: F.when(t.startswith("{"), arguments_of(t))))
         )
-        name = value("name")
-        good = (kind(name) == "str") & (as_text(name) != "") & args.isNotNull()
-        return F.when(F.coalesce(good, F.lit(False)), F.struct(as_text(name).alias("name"), args.alias("arguments")).cast(CALL))
+
+        def named(y: Column) -> Column:
+            good = (kind(y["name"]) == "str") & (as_text(y["name"]) != "") & y["args"].isNotNull()
+            return F.when(F.coalesce(good, F.lit(False)), F.struct(as_text(y["name"]).alias("name"), y["args"].alias("arguments")).cast(CALL))
+
+        return let(F.struct(value("name").alias("name"), args.alias("args")), named)
 
     def maps(s: Column) -> Column:
         return F.struct(F.from_json(s, "map<string,variant>").alias("kinds"), F.from_json(s, "map<string,string>").alias("texts"))
 
     nested = lambda x: kind(F.try_element_at(x["kinds"], F.lit("function"))) == "dict"
-    outer = let(maps(json), lambda x: F.when(nested(x), F.try_element_at(x["texts"], F.lit("function"))).otherwise(json))
-    return F.when(json.startswith("{"), let(maps(outer), of))
+    inner = let(maps(json), lambda x: F.when(nested(x), maps(F.try_element_at(x["texts"], F.lit("function")))).otherwise(x))
+    return F.when(json.startswith("{"), let(inner, of))
 
 
 @once
@@ -78,9 +86,14 @@ def parse_output(raw: Column) -> Column:
 
     def of_text(t: Column) -> Column:
         closed = F.regexp_extract_all(t, F.lit(r"(?s)<tool_call>(.*?)</tool_call>"), 1)
-        rest = F.regexp_replace(t, r"(?s)<tool_call>.*?</tool_call>", "")
-        open_ = F.when(F.contains(rest, F.lit("<tool_call>")), F.array(F.regexp_extract(rest, r"(?s)<tool_call>(.*)$", 1))).otherwise(F.array().cast("array<string>"))
-        return F.struct(F.concat(closed, open_).alias("blocks"), stripped(F.regexp_replace(rest, r"(?s)<tool_call>.*$", "")).alias("rest"))
+        left = F.when(F.contains(t, F.lit("<tool_call>")), F.regexp_replace(t, r"(?s)<tool_call>.*?</tool_call>", "")).otherwise(t)
+
+        def of_left(rest: Column) -> Column:
+            more = F.contains(rest, F.lit("<tool_call>"))
+            open_ = F.when(more, F.array(F.regexp_extract(rest, r"(?s)<tool_call>(.*)$", 1))).otherwise(F.array().cast("array<string>"))
+            return F.struct(F.concat(closed, open_).alias("blocks"), stripped(F.when(more, F.regexp_replace(rest, r"(?s)<tool_call>.*$", "")).otherwise(rest)).alias("rest"))
+
+        return let(left, of_left)
 
     def of_parts(x: Column) -> Column:
         rest = x["rest"]

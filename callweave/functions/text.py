@@ -199,10 +199,12 @@ def classify_text(text: Column, strong: Iterable[str] = STRONG_REFUSALS, weak: I
         return hit
 
     end = "(" + "|".join(question_words) + r")\s*(" + "|".join(question_tails) + r")?\s*[.!…]*$"
-    low = F.lower(F.regexp_replace(text, r"^\s+|\s+$", ""))
-    last = F.regexp_replace(low, r"(?s)^.*[.!?…]\s+", "")
-    asks = low.rlike(r"\?(\s|$)") | last.rlike(end)
-    return let(normalize(text, keep_diacritics=True), lambda t: F.when((t == "") | t.isNull(), F.lit("reply")).when(any_of(t, strong), F.lit("refuse")).when(asks, F.lit("ask")).when(any_of(t, weak), F.lit("refuse")).otherwise(F.lit("reply")))
+
+    def asks(low: Column) -> Column:
+        return low.rlike(r"\?(\s|$)") | F.regexp_replace(low, r"(?s)^.*[.!?…]\s+", "").rlike(end)
+
+    question = let(F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")), asks)
+    return let(normalize(text, keep_diacritics=True), lambda t: F.when((t == "") | t.isNull(), F.lit("reply")).when(any_of(t, strong), F.lit("refuse")).when(question, F.lit("ask")).when(any_of(t, weak), F.lit("refuse")).otherwise(F.lit("reply")))
 
 
 def seed_hash(s: Column) -> Column:

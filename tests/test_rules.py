@@ -198,3 +198,8 @@ def test_registry_declarations():
     assert [t["function"]["name"] for t in tools] == ["set_volume", "lock_doors"]
     assert tools[0]["function"]["parameters"] == {"type": "object", "properties": {"level": {"type": "integer", "minimum": 0, "maximum": 30}}, "required": ["level"]}
     assert len(R.TOOLS) == 17
+
+
+def test_the_parser_names_its_texts_once(spark):
+    """What an expression repeats is computed again in each row."""
+    assert str(P.load_json(F.col("s"))).count("regexp_replace") <= 4
