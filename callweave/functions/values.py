@@ -217,7 +217,7 @@ def calls_equal(gold: Column, pred: Column) -> Column:
 
     def step(used: Column, g: Column) -> Column:
         at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(pred), F.lit(1))), lambda i: ~F.array_contains(used, i) & call_equal(g, F.try_element_at(pred, i)))
-        return F.concat(used, F.when(F.size(at) > 0, F.slice(at, 1, 1)).otherwise(F.array(F.lit(-1))))
+        return F.concat(used, let(at, lambda x: F.when(F.size(x) > 0, F.slice(x, 1, 1)).otherwise(F.array(F.lit(-1)))))
 
     met = F.aggregate(gold, F.array().cast("array<int>"), step)
     return (F.size(gold) == F.size(pred)) & ((F.size(gold) == 0) | ~F.array_contains(met, -1))
@@ -238,16 +238,25 @@ def arg_counts(gold: Column, pred: Column) -> Column:
 
     def step(acc: Column, g: Column) -> Column:
         at = F.array_min(F.filter(F.sequence(F.lit(1), F.greatest(F.size(pred), F.lit(1))), lambda i: ~F.array_contains(acc["used"], i) & (F.try_element_at(pred, i)["name"] == g["name"])))
-        p = F.try_element_at(pred, F.coalesce(at, F.lit(2147483647)))
-        ga, pa = canonical(g["name"], g["arguments"]), canonical(p["name"], p["arguments"])
-        hit = F.size(F.filter(F.map_entries(ga), lambda e: F.map_contains_key(pa, e["key"]) & arg_equal(g["name"], e["key"], e["value"], F.try_element_at(pa, e["key"]))))
-        met = at.isNotNull()
-        return F.struct(
-            F.when(met, F.concat(acc["used"], F.array(at))).otherwise(acc["used"]).alias("used"),
-            (acc["tp"] + F.when(met, hit).otherwise(F.lit(0))).alias("tp"),
-            (acc["fp"] + F.when(met, F.size(pa) - hit).otherwise(F.lit(0))).alias("fp"),
-            (acc["fn"] + F.size(ga) - F.when(met, hit).otherwise(F.lit(0))).alias("fn"),
-        )
+        met = lambda x: x["at"].isNotNull()
+
+        def found(at: Column) -> Column:
+            p = F.try_element_at(pred, F.coalesce(at, F.lit(2147483647)))
+            return F.struct(at.alias("at"), canonical(g["name"], g["arguments"]).alias("ga"), F.when(at.isNotNull(), canonical(p["name"], p["arguments"])).alias("pa"))
+
+        def with_hit(x: Column) -> Column:
+            hit = F.size(F.filter(F.map_entries(x["ga"]), lambda e: F.map_contains_key(x["pa"], e["key"]) & arg_equal(g["name"], e["key"], e["value"], F.try_element_at(x["pa"], e["key"]))))
+            return F.struct(x["at"].alias("at"), F.size(x["ga"]).alias("ga"), F.size(x["pa"]).alias("pa"), F.when(met(x), hit).otherwise(F.lit(0)).alias("hit"))
+
+        def added(x: Column) -> Column:
+            return F.struct(
+                F.when(met(x), F.concat(acc["used"], F.array(x["at"]))).otherwise(acc["used"]).alias("used"),
+                (acc["tp"] + x["hit"]).alias("tp"),
+                (acc["fp"] + F.when(met(x), x["pa"] - x["hit"]).otherwise(F.lit(0))).alias("fp"),
+                (acc["fn"] + x["ga"] - x["hit"]).alias("fn"),
+            )
+
+        return let(let(let(at, found), with_hit), added)
 
     zero = F.struct(F.array().cast("array<int>").alias("used"), F.lit(0).alias("tp"), F.lit(0).alias("fp"), F.lit(0).alias("fn"))
 

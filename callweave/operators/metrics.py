@@ -154,9 +154,11 @@ def compute_metrics(rows: DataFrame, pred: str = "pred", by: list[str] | None =
 
 def report(rows: DataFrame) -> DataFrame:
     """system, dataset, variant (raw, guarded) and all measures, sorted."""
-    raw = compute_metrics(rows, "pred", ["system", "dataset"]).withColumn("variant", F.lit("raw"))
-    guarded = compute_metrics(rows, "pred_guarded", ["system", "dataset"]).withColumn("variant", F.lit("guarded"))
-    return raw.unionByName(guarded).orderBy("system", "dataset", F.desc("variant"))
+    variant = lambda name, pred: F.struct(F.lit(name).alias("variant"), F.col(pred).alias("pred"))
+    others = [c for c in rows.columns if c not in ("pred", "pred_guarded")]
+    both = rows.select(*others, F.explode(F.array(variant("raw", "pred"), variant("guarded", "pred_guarded"))).alias("v")).select(*others, "v.variant", "v.pred")
+    out = compute_metrics(both, "pred", ["system", "dataset", "variant"])
+    return out.select(*(c for c in out.columns if c != "variant"), "variant").orderBy("system", "dataset", F.desc("variant"))
 
 
 def note_counts(rows: DataFrame, k: int = 5) -> DataFrame:
